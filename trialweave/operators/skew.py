@@ -156,7 +156,7 @@ def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str = "mid_rank"
 def split_by_size(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
     """True when the optimizer's size estimate of ``df`` is within ``limit_bytes``."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+    return int(size) <= limit_bytes
 
 
 def small_side(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:

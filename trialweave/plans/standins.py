@@ -52,7 +52,7 @@ samples AS (
          CASE WHEN l_linenumber <= 3 THEN 'midline anterior' WHEN l_linenumber <= 5 THEN 'midline medial'
               ELSE 'midline posterior' END AS region,
          (date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) % 600) * 2 - 100 AS time_ms,
-         l_extendedprice / 1000 AS amplitude,
+         l_extendedprice / 997 AS amplitude,
          CASE l_linestatus WHEN 'O' THEN 'overlay' ELSE 'legacy' END AS source
   FROM lineitem WHERE l_returnflag IN ('A', 'R')
 )"""
@@ -73,7 +73,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), line.cast("string")).alias("sensor"),
         F.when(line <= 3, "midline anterior").when(line <= 5, "midline medial").otherwise("midline posterior").alias("region"),
         ((F.datediff("l_shipdate", F.lit("1995-01-01")) % 600) * 2 - 100).alias("time_ms"),
-        (F.col("l_extendedprice") / 1000).alias("amplitude"),
+        (F.col("l_extendedprice") / 997).alias("amplitude"),
         F.when(F.col("l_linestatus") == "O", "overlay").otherwise("legacy").alias("source"),
     )
 
