@@ -15,6 +15,7 @@ from trialweave.runtime import pin
 
 LIMIT_CONF = "spark.trialweave.window.maxGroupRows"
 DEFAULT_LIMIT = 2_000_000
+SMALL_INPUT_BYTES = 64 << 20
 
 
 def group_limit(df: DataFrame) -> int:
@@ -59,10 +60,13 @@ def _order(order: list[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
 
+def groups_fit(df: DataFrame, keys: list[str]) -> bool:
+    """Whether every group may be handled by one task: a small planner estimate, else a count."""
+    return split_by_size(df, SMALL_INPUT_BYTES) or largest_group(df, keys) <= group_limit(df)
+
+
 def _plain(df: DataFrame, keys: list[str], chunked: bool | None) -> bool:
-    if chunked is not None:
-        return not chunked
-    return largest_group(df, keys) <= group_limit(df)
+    return groups_fit(df, keys) if chunked is None else not chunked
 
 
 def scan_last(df, keys, order, reverse=False, inclusive=False, chunked=None, **values: Column) -> DataFrame:
@@ -162,3 +166,23 @@ def split_by_size(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
 def small_side(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """Broadcast hint only behind a size check; otherwise the planner and AQE choose the join."""
     return F.broadcast(df) if split_by_size(df, limit_bytes) else df
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], chunked=None) -> DataFrame:
+    """Type-7 quantiles. Values are counted first; large groups are ranked across tasks instead."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    if _plain(counts, keys, chunked):
+        q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs.values()]), F.col("_n")).alias("_q")
+        return counts.groupBy(*keys).agg(q).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    cum = scan_sum(counts, keys, [value], chunked=True, _c=F.col("_n"))
+    cum = with_group_stats(cum, keys, _total=F.sum("_n"))
+    aggs = []
+    for n, p in probs.items():
+        h = (F.col("_total") - 1) * F.lit(p)
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("_total") - 1)
+        aggs += [F.min(F.when(F.col("_c") > lo, F.col(value))).alias(f"_lo_{n}"),
+                 F.min(F.when(F.col("_c") > hi, F.col(value))).alias(f"_hi_{n}"), F.max(h - lo).alias(f"_f_{n}")]
+    g = cum.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
+                             for n in probs])
