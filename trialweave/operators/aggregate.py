@@ -179,10 +179,13 @@ def hull_vertices(points: np.ndarray) -> np.ndarray:
     if len(pts) < 3:
         return pts
 
+    def turn(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
     def half(seq):
         out: list = []
         for p in seq:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]

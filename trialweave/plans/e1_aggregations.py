@@ -227,8 +227,7 @@ def e16(spark, sf):
     ids = lambda df, c, s: df.select(F.col(c).alias("id")).distinct().withColumn("stage", F.lit(s))
     m = (ids(table(spark, sf, "customer"), "c_custkey", "enrolled").unionByName(ids(o, "o_custkey", "ordered"))
          .unionByName(ids(o.filter("o_orderstatus = 'F'"), "o_custkey", "finished")).unionByName(ids(table(spark, sf, "events"), "user_id", "logged")))
-    g = m.groupBy("stage").pivot("grp", [d.GROUP_ODD, d.GROUP_EVEN]) if "grp" in m.columns else m.withColumn(
-        "grp", d.group_from_parity(F.col("id"))).groupBy("stage").pivot("grp", [d.GROUP_ODD, d.GROUP_EVEN])
+    g = m.withColumn("grp", d.group_from_parity(F.col("id"))).groupBy("stage").pivot("grp", [d.GROUP_ODD, d.GROUP_EVEN])
     w = g.agg(F.count(F.lit(1)))
     a, b = F.coalesce(F.col(d.GROUP_ODD), F.lit(0)), F.coalesce(F.col(d.GROUP_EVEN), F.lit(0))
     return w.select("stage", a.alias("n_english"), b.alias("n_norwegian"), (a + b).alias("n_total"))
