@@ -48,6 +48,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes row placement and cuts lineage; survives executor loss."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: fixes every value, cuts lineage, survives executor loss.
+
+    One pass over the plan (an eager checkpoint would run it twice), and the readers get column pruning.
+    """
+    path = scratch_dir(df.sparkSession, "pin")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
