@@ -59,7 +59,7 @@ def m02(spark, sf):
 
 @query("m03_stratum_logit")
 def m03(spark, sf):
-    lab = labelled(spark, sf).withColumn("pos", F.floor(F.col("k") / 10) / 10)
+    lab = labelled(spark, sf).withColumn("pos", d.level_index(F.col("session"), d.SESSIONS) / 3)
     fit = st.stratum_logit(lab, "y", ["viol", "pos"], ["entity"])
     return st.logit_table(spark, fit, ["viol", "pos"])
 
