@@ -56,3 +56,10 @@ def composite_key(*cols: str, sep: str = "|") -> Column:
     for c in cols:
         ok = ok & F.col(c).isNotNull()
     return F.when(ok, whole)
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a zone-less timestamp, whatever the session time zone is."""
+    day = F.datediff(ts, F.lit("1970-01-01")).cast("bigint") * 86_400_000_000
+    clock = F.hour(ts).cast("bigint") * 3_600_000_000 + F.minute(ts).cast("bigint") * 60_000_000
+    return day + clock + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

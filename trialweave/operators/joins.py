@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.operators.skew import (
@@ -156,3 +159,27 @@ def edge_distance(points: DataFrame, edges: DataFrame, keys: list[str], position
     u = scan_last(u, keys, ["_at", "_id", "_edge"], reverse=True, _after=F.col("_edge"))
     d = F.least(F.col("_at") - F.col("_before"), F.col("_after") - F.col("_at"))
     return u.filter("_id is not null").select(*keys, F.col("_id").alias(point_id), d.alias("edge_distance"))
+
+
+def align_sequences(left: DataFrame, right: DataFrame, unit: list[str], order: str, code: str, left_id: str, right_id: str) -> DataFrame:
+    """Order-preserving pairs of equal codes by longest matching blocks, per recording unit.
+
+    The alignment is defined on two whole sequences, so the unit (one recording session) is the group.
+    """
+    types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    schema = ", ".join(f"{u} {types[u]}" for u in unit) + f", {left_id} bigint, {right_id} bigint, block_no int"
+
+    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values([order, left_id]), b.sort_values([order, right_id])
+        rows = []
+        if len(a) and len(b):
+            match = SequenceMatcher(None, a[code].tolist(), b[code].tolist(), autojunk=False)
+            for n, (i, j, size) in enumerate(match.get_matching_blocks()):
+                rows += [(a[left_id].iloc[i + k], b[right_id].iloc[j + k], n) for k in range(size)]
+        out = pd.DataFrame(rows, columns=[left_id, right_id, "block_no"])
+        for u in unit:
+            out[u] = a[u].iloc[0] if len(a) else b[u].iloc[0]
+        return out[[*unit, left_id, right_id, "block_no"]]
+
+    l, r = left.select(*unit, order, code, left_id), right.select(*unit, order, code, right_id)
+    return l.groupBy(*unit).cogroup(r.groupBy(*unit)).applyInPandas(align, schema)

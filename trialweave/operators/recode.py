@@ -112,7 +112,7 @@ def absolute_clock(df, keys, order, is_segment: Column, segment_clock: Column, p
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Days rounded half-even to one decimal."""
-    us = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    us = d.micros(later) - d.micros(earlier)
     return F.bround(us / F.lit(86_400_000_000.0), 1)
 
 

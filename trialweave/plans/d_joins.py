@@ -158,6 +158,14 @@ def d10(spark, sf):
                               ["ts", "right_id"], "left_id", "right_id")
 
 
+@query("d11_sequence_alignment")
+def d11(spark, sf):
+    # two code sequences of one recording day: recorded clicks and logged views, coded by k modulo 10
+    t = trials(spark, sf).select("entity", F.to_date("ts").alias("day"), d.micros(F.col("ts")).alias("us"), (F.col("k") % 10).alias("code"), "event_id", "event_type")
+    side = lambda kind, name: t.filter(F.col("event_type") == kind).withColumnRenamed("event_id", name)
+    return jn.align_sequences(side("click", "left_id"), side("view", "right_id"), ["entity", "day"], "us", "code", "left_id", "right_id")
+
+
 ASOF_SQL = f"""{MARKERS_SQL},
 b AS (SELECT *, sum(CASE WHEN code IN (5, 6, 7, 8, 254, 255) THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY pos, seq
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bid FROM markers),

@@ -189,7 +189,7 @@ def e36(spark, sf):
 SELECT user_id, CAST(ts AS DATE) AS day, event_type, CAST(count(DISTINCT event_id) AS BIGINT) AS n_events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::DOUBLE, 6) AS duration_min
 FROM events GROUP BY ALL HAVING count(*) > 1""")
 def e37(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).distinct()
+    e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", d.micros(F.col("ts")).alias("us")).distinct()
     g = e.groupBy("user_id", "day", "event_type").agg(_n().alias("n_events"), F.min("us").alias("a"), F.max("us").alias("b")).filter("n_events > 1")
     return g.select("user_id", "day", "event_type", "n_events", r6((F.col("b") - F.col("a")) / F.lit(60_000_000.0), "duration_min"))
 
@@ -202,7 +202,7 @@ ph AS (SELECT entity, session, phase, s, coalesce(nxt, CASE WHEN l > s THEN l EN
 
 
 def phases(spark, sf):
-    t = trials(spark, sf).select("entity", "session", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    t = trials(spark, sf).select("entity", "session", "event_type", d.micros(F.col("ts")).alias("us"))
     out = ag.phase_durations(t, ["entity", "session"], PHASES, "us", "event_type")
     return out.withColumn("duration_min", (F.col("end") - F.col("start")) / F.lit(60_000_000.0))
 

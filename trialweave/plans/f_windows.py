@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialweave.functions.design import micros
 from trialweave.operators import windows as wn
 from trialweave.operators.recode import zscore
 from trialweave.operators.skew import first_per_key, mid_ranks, scan_last, scan_shift, scan_sum
@@ -142,7 +143,7 @@ WITH p AS (SELECT user_id, event_id, ts, event_type FROM events),
 n AS (SELECT *, first_value(CASE WHEN event_type = 'signup' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM p)
 SELECT user_id, event_id, CAST(nxt - epoch_us(ts) AS BIGINT) AS to_next_us FROM n""")
 def f14(spark, sf):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", us.alias("us"))
     d = scan_last(e, ["user_id"], ["ts", "event_id"], reverse=True, nxt=F.when(F.col("event_type") == PHASES[0], F.col("us")))
     return d.select("user_id", "event_id", (F.col("nxt") - F.col("us")).alias("to_next_us"))

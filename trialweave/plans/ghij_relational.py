@@ -153,7 +153,7 @@ def i03(spark, sf):
     o = F.col("o_orderdate")
     back = F.coalesce(F.try_to_timestamp(F.date_format(o, "dd/MM/yyyy"), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.date_format(o, "dd/MM/yyyy"), F.lit("dd/MM/yyyy")))
     return table(spark, sf, "orders").select(
-        "o_orderkey", F.date_format(o, "yyyy-MM-dd HH:mm").alias("stamp"), F.unix_micros(o.cast("timestamp")).alias("us"),
+        "o_orderkey", F.date_format(o, "yyyy-MM-dd HH:mm").alias("stamp"), d.micros(o).alias("us"),
         F.datediff(o, F.lit("1995-01-01")).cast("bigint").alias("days"), (back == o.cast("timestamp")).alias("round_trip"))
 
 

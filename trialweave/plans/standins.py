@@ -95,14 +95,14 @@ markers AS (
 )"""
 
 
-def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").withColumn(
+def markers(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    t = (table(spark, sf_dir, "events") if events is None else events).withColumn(
         "k", F.nullif(F.regexp_extract("props", '"k": *(-?[0-9]+)', 1), F.lit("")).try_cast("int")
     )
     k, et = F.col("k"), F.col("event_type")
     return t.select(
         F.col("user_id").alias("recording"), F.col("event_id").alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"),
+        d.micros(F.col("ts")).alias("pos"),
         F.when(et == "signup", 5 + k % 4).when(et == "view", 1 + k % 3).when(et == "click", 40 + k % 60)
         .when(et == "error", 110 + k).when(et == "purchase", 101 + k % 3).alias("code"),
     )
