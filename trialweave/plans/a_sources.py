@@ -157,7 +157,7 @@ def a11(spark, sf):
     e = table(spark, sf, "events")
     cut = F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).otherwise(F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type"))
     e.select(cut.alias("value")).write.text(root)
-    good, note = lg.read_truncated(spark, root, "event_id bigint, user_id bigint, event_type string", header=False)
+    good, note = lg.read_truncated(spark, root, "event_id bigint, user_id bigint, event_type string")
     return good.agg(F.sum("event_id").alias("id_sum")).crossJoin(note.agg(F.sum("n_records").alias("n_records"), F.sum("n_cut").alias("n_cut")))
 
 

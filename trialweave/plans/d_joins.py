@@ -160,10 +160,10 @@ def d10(spark, sf):
 
 @query("d11_sequence_alignment")
 def d11(spark, sf):
-    # two code sequences of one recording day: recorded clicks and logged views, coded by k modulo 10
-    t = trials(spark, sf).select("entity", F.to_date("ts").alias("day"), d.micros(F.col("ts")).alias("us"), (F.col("k") % 10).alias("code"), "event_id", "event_type")
+    # two code sequences of one recording session: recorded clicks and logged views, coded by k modulo 10
+    t = trials(spark, sf).select("entity", "session", d.micros(F.col("ts")).alias("us"), (F.col("k") % 10).alias("code"), "event_id", "event_type")
     side = lambda kind, name: t.filter(F.col("event_type") == kind).withColumnRenamed("event_id", name)
-    return jn.align_sequences(side("click", "left_id"), side("view", "right_id"), ["entity", "day"], "us", "code", "left_id", "right_id")
+    return jn.align_sequences(side("click", "left_id"), side("view", "right_id"), ["entity", "session"], "us", "code", "left_id", "right_id")
 
 
 ASOF_SQL = f"""{MARKERS_SQL},

@@ -70,15 +70,16 @@ def read_logs(spark: SparkSession, paths, cols: list[str] | None = None, delimit
     return blank_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), nulls)
 
 
-def read_truncated(spark: SparkSession, paths, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Complete records of possibly cut files, and the number of dropped records per file."""
-    raw = spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema + ", _corrupt string").csv(paths)
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
-    bad = F.col("_corrupt").isNotNull()
-    # every column is named, so the parser sees whole records when it judges them
-    whole = F.struct(*[c for c in raw.columns if c not in ("_corrupt", "file")])
-    note = raw.groupBy("file").agg(F.count_if(bad).alias("n_cut"), F.count(whole).alias("n_records"))
-    return raw.filter(~bad).drop("_corrupt"), note
+def read_truncated(spark: SparkSession, paths, schema: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Complete records of possibly cut files (one record per line), and the number of cut records per file."""
+    t = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
+    if header is not None:
+        t = t.filter(F.col("value") != header)
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    r = t.select("file", F.from_csv("value", schema + ", _corrupt string", opts).alias("r"))
+    bad = F.col("r._corrupt").isNotNull()
+    note = r.groupBy("file").agg(F.count_if(bad).alias("n_cut"), F.count(F.lit(1)).alias("n_records"))
+    return r.filter(~bad).select("file", "r.*").drop("_corrupt"), note
 
 
 def batch_first(batch: DataFrame, named: DataFrame, entity: str) -> DataFrame:

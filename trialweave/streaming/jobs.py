@@ -40,16 +40,13 @@ def durations(stream: DataFrame, keys: list[str], ts: str, width: str) -> DataFr
 def last_marker(markers: DataFrame, key: str = "recording") -> DataFrame:
     """Nearest preceding property marker since the last boundary, carried as state per recording.
 
-    State is one (code, position) pair; a batch of one key is ordered before it is read. The pair
-    expires with the session's inactivity limit, so idle recordings do not accumulate.
+    State is one (code, position) pair, dropped again at a boundary; a batch of one key is ordered
+    before it is read, and its size is bounded by the trigger.
     """
     types = {f.name: f.dataType.simpleString() for f in markers.schema.fields}
     out = f"{key} {types[key]}, seq bigint, code int, prop_marker int, lag_us bigint"
 
     def step(name, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         prop, at = state.get if state.exists else (None, None)
         rows = pd.concat(list(pdfs)).sort_values(["pos", "seq"])
         hits = []
@@ -60,12 +57,14 @@ def last_marker(markers: DataFrame, key: str = "recording") -> DataFrame:
                 prop, at = None, None
             elif code in d.PROPERTY_CODES:
                 prop, at = int(code), int(pos)
-        state.update((prop, at))
-        state.setTimeoutDuration(7 * 86_400_000)
+        if prop is not None:
+            state.update((prop, at))
+        elif state.exists:
+            state.remove()
         frame = pd.DataFrame(hits, columns=[key, "seq", "code", "prop_marker", "lag_us"])
         yield frame.astype({"prop_marker": "Int32", "lag_us": "Int64"})
 
-    return markers.groupBy(key).applyInPandasWithState(step, out, "prop int, pos bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return markers.groupBy(key).applyInPandasWithState(step, out, "prop int, pos bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
