@@ -60,8 +60,8 @@ def stratum_logit(df: DataFrame, y: str, xcols: list[str], strata: list[str], ma
     """
     k = len(xcols)
     use = informative_strata(df.na.drop(subset=[y, *xcols]), strata, y)
-    cells = pin(use.groupBy(*strata, *xcols).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).cast("double").alias("s")))
-    base = cells.groupBy(*strata).agg(F.sum("n").alias("tot_n"), F.sum("s").alias("tot_s"))
+    cells = pin(use.groupBy(*strata, *xcols).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(y).cast("double").alias("_y")))
+    base = cells.groupBy(*strata).agg(F.sum("_n").alias("tot_n"), F.sum("_y").alias("tot_s"))
     state = base.select(*strata, F.log(F.col("tot_s") / (F.col("tot_n") - F.col("tot_s"))).alias("alpha"))
     beta = np.zeros(k)
     cov = np.full((k, k), np.nan)
@@ -69,7 +69,7 @@ def stratum_logit(df: DataFrame, y: str, xcols: list[str], strata: list[str], ma
     def moments(state, beta):
         eta = F.col("alpha") + sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, xcols)), F.lit(0.0))
         mu = 1 / (1 + F.exp(-eta))
-        j = cells.join(state, strata).withColumns({"_w": F.col("n") * mu * (1 - mu), "_r": F.col("s") - F.col("n") * mu})
+        j = cells.join(state, strata).withColumns({"_w": F.col("_n") * mu * (1 - mu), "_r": F.col("_y") - F.col("_n") * mu})
         x = [F.col(c) for c in xcols]
         return j.groupBy(*strata, "alpha").agg(
             F.sum("_w").alias("A"), F.sum("_r").alias("g"), *[F.sum(F.col("_w") * x[i]).alias(f"B{i}") for i in range(k)],
@@ -92,10 +92,10 @@ def stratum_logit(df: DataFrame, y: str, xcols: list[str], strata: list[str], ma
             break
     eta = F.col("alpha") + sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, xcols)), F.lit(0.0))
     mu = 1 / (1 + F.exp(-eta))
-    dev = lambda m: -2 * (F.col("s") * F.log(m) + (F.col("n") - F.col("s")) * F.log(1 - m))
+    dev = lambda m: -2 * (F.col("_y") * F.log(m) + (F.col("_n") - F.col("_y")) * F.log(1 - m))
     rate = F.col("tot_s") / F.col("tot_n")
     j = cells.join(state, strata).join(base, strata)
-    out = j.agg(F.sum(dev(mu)).alias("d1"), F.sum(dev(rate)).alias("d0"), F.sum("n").alias("n_rows")).first()
+    out = j.agg(F.sum(dev(mu)).alias("d1"), F.sum(dev(rate)).alias("d0"), F.sum("_n").alias("n_rows")).first()
     return {"beta": beta, "se": np.sqrt(np.diag(cov)), "lr": out["d0"] - out["d1"], "n": int(out["n_rows"]), "strata": base.count(), "df": k}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialweave.functions import design as d
 from trialweave.operators.recode import blank_to_null
@@ -43,10 +43,15 @@ def log_fields(files: DataFrame) -> DataFrame:
         F.when(known, F.regexp_extract(name, LOG_NAME, 1)).try_cast("bigint").alias("entity"), F.when(known, part).alias("part"))
 
 
+def _plain_path(path: Column) -> Column:
+    """File path as the readers take it (the metadata column percent-encodes blanks and the like)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def delimiters(spark: SparkSession, paths) -> DataFrame:
     """Delimiter of each file from its header line: ';' wins when it outnumbers ','."""
     t = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_id"))
+        _plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_id"))
     head = t.filter("_start = 0").groupBy("file").agg(F.min_by("value", "_id").alias("header"))
     semi, comma = F.regexp_count("header", F.lit(";")), F.regexp_count("header", F.lit(","))
     return head.select("file", "header", F.when(semi > comma, ";").otherwise(",").alias("delimiter"))
