@@ -152,6 +152,8 @@ def test_distributions(spark):
     for r in df.select("z", "p", dist.norm_cdf("z").alias("c"), dist.norm_quantile("p").alias("q")).collect():
         assert r["c"] == pytest.approx(Z.cdf(r["z"]), abs=1e-12) and r["q"] == pytest.approx(Z.inv_cdf(r["p"]), abs=1e-12)
     assert dist.t_quantile(0.975, 10) == pytest.approx(2.2281388519649385) and dist.t_quantile(0.975, 1) == pytest.approx(12.706204736432095)
+    for r in spark.range(1, 1500, 7).select("id", dist.t_quantile_col(0.975, F.col("id")).alias("t")).collect():
+        assert r["t"] == pytest.approx(dist.t_quantile(0.975, r["id"]), abs=2e-10)
     assert dist.gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05) and dist.gamma_tail(1.0, 2.0) == pytest.approx(math.exp(-2))
     assert dist.beta_inc(2, 3, 0.4) == pytest.approx(0.5248)
 

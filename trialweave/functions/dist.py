@@ -8,6 +8,7 @@ numpy, meant for the small per-group result tables.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -163,11 +164,6 @@ def _map2(fn, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or pd.isna(y) else fn(float(x), float(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def t_quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
-    return _map2(t_quantile, p, df)
-
-
 @F.pandas_udf(DoubleType())
 def t_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _map2(t_two_sided, t, df)
@@ -189,6 +185,21 @@ def binom_half_two_sided_udf(k: pd.Series, n: pd.Series) -> pd.Series:
     return _map2(one, k, n)
 
 
+def t_quantile_col(p: float, dof: Column, table_size: int = 200) -> Column:
+    """t quantile for whole degrees of freedom and a fixed p, without leaving the JVM.
+
+    Small degrees of freedom are looked up in an array computed once by ``t_quantile``; beyond it the
+    expansion in 1/dof about the normal quantile is exact to about 1e-10.
+    """
+    z = NormalDist().inv_cdf(p)
+    g = (z, (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96, (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384,
+         (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160)
+    head = F.array(*[F.lit(t_quantile(p, k)) for k in range(1, table_size + 1)])
+    n = dof.cast("double")
+    tail = sum((F.lit(c) / F.pow(n, F.lit(float(i))) for i, c in enumerate(g[1:], 1)), F.lit(z))
+    return F.when(dof >= 1, F.when(dof <= table_size, F.get(head, dof.cast("int") - 1)).otherwise(tail))
+
+
 def norm_quantile(col: str) -> Column:
     return F.expr(norm_quantile_sql(col))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.functions import design as d
-from trialweave.functions.dist import norm_quantile, t_quantile_udf
+from trialweave.functions.dist import norm_quantile, t_quantile_col
 from trialweave.operators.filters import in_windows, rt_rule, valid_trials
 from trialweave.operators.joins import paired_difference
 from trialweave.operators.skew import first_per_key, scan_shift, with_group_stats
@@ -63,8 +63,7 @@ def add_pooled_session(df: DataFrame, keys: list[str], value: str, session: str
 
 def t_interval(df: DataFrame, mean: str, se: str, n: str, level: float = 0.975, clamp: bool = False) -> DataFrame:
     """Student interval on a small per-group table."""
-    dof = F.when(F.col(n) > 1, (F.col(n) - 1).cast("double"))
-    out = df.withColumn("_t", t_quantile_udf(F.lit(level), dof))
+    out = df.withColumn("_t", t_quantile_col(level, F.col(n) - 1))
     low, high = F.col(mean) - F.col("_t") * F.col(se), F.col(mean) + F.col("_t") * F.col(se)
     if clamp:
         low, high = F.greatest(F.lit(0.0), low), F.least(F.lit(1.0), high)

@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_index, with_group_stats
+from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_index, small_side, with_group_stats
 from trialweave.operators.stats import auc_from_counts, hash_order, permuted_indicator
 from trialweave.operators.windows import adjust_p, islands
 from trialweave.runtime import pin
@@ -194,6 +194,7 @@ def generalise(patterns: DataFrame, domain: str, entity: str, unit: str, y: str,
     train = patterns.join(trials.filter("in_training").select(domain, unit), [domain, unit], "left_semi")
     m = class_moments(train, [domain, "time_bin"], "pattern", y, p).filter("moments[0] + moments[1] >= 4")
     w = m.select(F.col(domain).alias("train_set"), "time_bin", weights_of(F.col("moments"), p).alias("weights")).filter("weights is not null")
+    w = small_side(pin(w))  # one row per domain and time bin; written first, so its size is known before it is broadcast
     test = patterns.select(F.col(domain).alias("test_set"), "time_bin", "pattern", y).join(w, "time_bin").filter("train_set <> test_set")
     scored = test.select("train_set", "test_set", "time_bin", y, dot("pattern", "weights").alias("_score"))
     return auc_from_counts(scored, ["train_set", "test_set", "time_bin"], "_score", y)

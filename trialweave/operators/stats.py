@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialweave.functions.dist import chi2_tail1, chi2_tail_udf, norm_tail_sql, t_quantile_udf, t_two_sided_udf
+from trialweave.functions.dist import chi2_tail1, chi2_tail_udf, norm_tail_sql, t_quantile_col, t_two_sided_udf
 from trialweave.operators.filters import informative_strata
 from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_index, scan_sum, with_group_stats
 from trialweave.runtime import pin
@@ -243,8 +243,8 @@ def signed_rank(df: DataFrame, by: list[str], diff: str) -> DataFrame:
 def equivalence(df: DataFrame, keys: list[str], value: str, bound: float, alpha: float = 0.05) -> DataFrame:
     """Two one-sided tests: the 1-2*alpha interval must lie inside +-bound."""
     g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"), F.count(value).alias("n"))
-    g = g.filter("n > 1").withColumn("dof", (F.col("n") - 1).cast("double"))
-    g = g.withColumns({"_t90": t_quantile_udf(F.lit(1 - alpha), "dof"), "_t95": t_quantile_udf(F.lit(1 - alpha / 2), "dof")})
+    g = g.filter("n > 1").withColumn("dof", F.col("n") - 1)
+    g = g.withColumns({"_t90": t_quantile_col(1 - alpha, F.col("dof")), "_t95": t_quantile_col(1 - alpha / 2, F.col("dof"))})
     m, se = F.col("mean"), F.col("se")
     g = g.withColumns({"ci90_low": m - F.col("_t90") * se, "ci90_high": m + F.col("_t90") * se,
                        "ci95_low": m - F.col("_t95") * se, "ci95_high": m + F.col("_t95") * se})

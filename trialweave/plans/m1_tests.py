@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import design as d
 from trialweave.functions.dist import (
-    binom_half_two_sided_udf, chi2_tail1_sql, chi2_tail_udf, norm_tail_sql, t_quantile_udf, t_values_sql,
+    binom_half_two_sided_udf, chi2_tail1_sql, chi2_tail_udf, norm_tail_sql, t_quantile_col, t_values_sql,
 )
 from trialweave.operators import aggregate as ag
 from trialweave.operators import joins as jn
@@ -31,7 +31,7 @@ SELECT l_suppkey, round(m, 8) AS mean, round(m - t * se, 8) AS ci_low, round(m +
 def m01(spark, sf):
     x = F.col("l_discount")
     g = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg(x).alias("m"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.count(x).alias("n"))
-    g = g.withColumns({"t": t_quantile_udf(F.lit(0.975), (F.col("n") - 1).cast("double")), "q": F.pow((F.col("m") - 0.05) / F.col("se"), 2)})
+    g = g.withColumns({"t": t_quantile_col(0.975, F.col("n") - 1), "q": F.pow((F.col("m") - 0.05) / F.col("se"), 2)})
     return g.select("l_suppkey", r6("m", "mean", 8), r6(F.col("m") - F.col("t") * F.col("se"), "ci_low", 8), r6(F.col("m") + F.col("t") * F.col("se"), "ci_high", 8),
                     r6(F.expr(chi2_tail1_sql("q")), "chi2_p", 8))
 
