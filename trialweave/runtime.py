@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/trialweave/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers once, so that they import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_trialweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="trialweave-")) / "trialweave.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._trialweave_shipped = True
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: fixes every value, cuts lineage, survives executor loss.
 
