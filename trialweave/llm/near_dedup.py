@@ -19,7 +19,7 @@ empty; extra columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from trialweave.llm import query
-from trialweave.llm.common import free_name, shuffle_width, table
+from trialweave.llm.common import free_name, table
 from trialweave.runtime import pin
 
 BANDS, ROWS = 32, 4
@@ -163,7 +163,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _attach(pairs: DataFrame, values: DataFrame, value: str, side: str, spread: int = 64) -> DataFrame:
     """Add ``value`` of the class named in ``side``. A class named by many pairs has its row copied once per ``spread`` pairs."""
-    copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_copies"))
+    copies = pin(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_copies")))
     rows = values.join(copies, values["cls"] == copies[side]).select(F.col(side), F.col(value).alias(f"{value}_{side}"), "_copies")
     rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     other = "b" if side == "a" else "a"
@@ -182,8 +182,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(pin(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = pin(large)
+        large = pin(both.where("v > u").join(pin(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = pin(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = pin(small)
@@ -194,15 +193,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def link_classes(classes: DataFrame, sets: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(cls, comp) of every class that has a link. ``classes``: cls, bands, sig; ``sets``: cls, set of a superset of the candidates."""
+def link_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, miss: float) -> DataFrame:
+    """(cls, comp) of every class that has a link. ``classes``: cls, bands, sig; ``sets_of``: (cls) → (cls, set)."""
     percent = round(100 * threshold)
     at = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = pin(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
     open_ = pin(at.join(shared, "bucket").withColumn("comp", F.col("cls")))
     wanted = pin(open_.select("cls").distinct())
     sigs = pin(classes.select("cls", "sig").join(wanted, "cls"))
-    sets = pin(sets.join(wanted, "cls"))
+    sets = pin(sets_of(wanted))
     links, tested, pivots = None, None, 1
     while True:
         mixed = pin(open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
@@ -242,3 +241,42 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, size, known).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["cls", "set"])
 
     return docs.mapInArrow(run, "cls binary, set binary")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.75, miss: float = 1e-6) -> DataFrame:
+    """One row per document: id, th (hash of its text), n_shingles, component_id. ``miss`` is the chance that a link is pruned unseen."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    sketch = pin(_sketches(rows, shingle))
+    some = sketch.where(F.col("cls").isNotNull())
+    classes = pin(some.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Full sets from one document per class; texts are read again, and only those of candidates are kept."""
+        keys = pin(classes.join(wanted, "cls").select("cls", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th")))
+        texts = rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        return _full_sets(texts.select("cls", "text"), shingle).groupBy("cls").agg(F.first("set").alias("set"))
+
+    linked = link_classes(classes, sets_of, threshold, miss)
+    owned = pin(classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "rep"))
+    heads = pin(owned.groupBy("comp").agg(F.min("rep").alias("head")))
+    named = pin(owned.join(heads, "comp").select("cls", F.col("head.id").alias("component_id"), F.lit(True).alias("_has")))
+    out = sketch.join(named, "cls", "left")
+    return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("_has"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id; rows equal in id and text stay once."""
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    times = free_name(docs, "_times")
+    kept = pin(found.groupBy("id", "th").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias(times)))
+    kept = kept.select(F.col("id").alias("_kid"), F.col("th").alias("_kth"), F.when(F.col("n") == 0, 1).otherwise(F.col(times)).alias(times))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kid")) & (F.xxhash64(docs[text_col]) == F.col("_kth"))).drop("_kid", "_kth")
+    if kept.where(F.col(times) > 1).isEmpty():
+        return rows.drop(times)
+    return rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_col, text_col])).drop(times)
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
