@@ -33,7 +33,7 @@ WORDS = re.compile(r"\w{1,32}")
 WINDOW, STEP = 64, 32
 HIDDEN, DIM = 8, 10
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +192,7 @@ class Scorer:
                 self.gates[known + i : known + i + len(new[i : i + 50_000])] = self.net.gates(word_features(new[i : i + 50_000]))
         return ids
 
-    def window_logits(self, texts: list[str], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, texts: list[str], block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows of all texts, and the number of windows of each text (0 without words)."""
         if len(self.index) > CACHE_WORDS:
             self._reset()
@@ -358,8 +358,8 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 values = scorer.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], names=[*part.schema.names, name])
 
