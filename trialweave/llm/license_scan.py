@@ -17,14 +17,14 @@ are left out of the query and kept by ``scan``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import ascii_lower, free_name, table
 
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATOR_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The base phrases and their labels.
@@ -53,29 +53,54 @@ Unlicense | unlicense | (?:the )?unlicense
 WTFPL | wtfpl | wtfpl(?: version)?(?: 2)?
 Beerware | beerware | beerware
 CC0-1.0 | cc0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)?
-GPL-1.0 | g | gnu general public license (?:version |v)?1|gpl (?:version |v)?1(?: 0)?|gplv1
-GPL-2.0 | g | gnu general public license (?:version |v)?2|gpl (?:version |v)?2(?: 0)?|gplv2
-GPL-3.0 | g | gnu general public license (?:version |v)?3|gpl (?:version |v)?3(?: 0)?|gplv3
-GPL | g | gnu general public license|gnu gpl|gpl
-LGPL-2.0 | l | gnu (?:library|lesser) general public license (?:version |v)?2(?: 0)?|lgpl (?:version |v)?2(?: 0)?
-LGPL-2.1 | l | gnu lesser general public license (?:version |v)?2 1|lgpl (?:version |v)?2 1
-LGPL-3.0 | l | gnu lesser general public license (?:version |v)?3|lgpl (?:version |v)?3(?: 0)?|lgplv3
-LGPL | l | gnu lesser general public license|gnu lgpl|lgpl
+GPL-1.0 | general public | gnu general public license (?:version |v)?1
+GPL-1.0 | gpl | gpl (?:version |v)?1(?: 0)?
+GPL-1.0 | gplv1 | gplv1
+GPL-2.0 | general public | gnu general public license (?:version |v)?2
+GPL-2.0 | gpl | gpl (?:version |v)?2(?: 0)?
+GPL-2.0 | gplv2 | gplv2
+GPL-3.0 | general public | gnu general public license (?:version |v)?3
+GPL-3.0 | gpl | gpl (?:version |v)?3(?: 0)?
+GPL-3.0 | gplv3 | gplv3
+GPL | general public | gnu general public license
+GPL | gpl | gnu gpl
+GPL | gpl | gpl
+LGPL-2.0 | general public | gnu (?:library|lesser) general public license (?:version |v)?2(?: 0)?
+LGPL-2.0 | lgpl | lgpl (?:version |v)?2(?: 0)?
+LGPL-2.1 | general public | gnu lesser general public license (?:version |v)?2 1
+LGPL-2.1 | lgpl | lgpl (?:version |v)?2 1
+LGPL-3.0 | general public | gnu lesser general public license (?:version |v)?3
+LGPL-3.0 | lgpl | lgpl (?:version |v)?3(?: 0)?
+LGPL-3.0 | lgplv3 | lgplv3
+LGPL | general public | gnu lesser general public license
+LGPL | lgpl | gnu lgpl
+LGPL | lgpl | lgpl
 AGPL-1.0 | affero | affero general public license (?:version |v)?1
-AGPL-3.0 | a | gnu affero general public license(?: (?:version |v)?3)?|agpl (?:version |v)?3(?: 0)?|agplv3
+AGPL-3.0 | general | gnu affero general public license(?: (?:version |v)?3)?
+AGPL-3.0 | agpl | agpl (?:version |v)?3(?: 0)?
+AGPL-3.0 | agplv3 | agplv3
 GFDL-1.1 | documentation | gnu free documentation license (?:version |v)?1 1
 GFDL-1.2 | documentation | gnu free documentation license (?:version |v)?1 2
 GFDL-1.3 | documentation | gnu free documentation license (?:version |v)?1 3
 GFDL | documentation | gnu free documentation license
-MPL-1.0 | m | mozilla public license (?:version |v)?1 0|mpl 1 0
-MPL-1.1 | m | mozilla public license (?:version |v)?1 1|mpl 1 1
-MPL-2.0 | m | mozilla public license (?:version |v)?2(?: 0)?|mpl 2 0
-EPL-1.0 | e | eclipse public license (?:version |v)?1(?: 0)?|epl 1 0
-EPL-2.0 | e | eclipse public license (?:version |v)?2(?: 0)?|epl 2 0
-EUPL-1.1 | e | european union public licen[cs]e (?:version |v)?1 1|eupl 1 1
-EUPL-1.2 | e | european union public licen[cs]e (?:version |v)?1 2|eupl 1 2
-CDDL-1.0 | c | common development and distribution license(?: (?:version |v)?1 0)?|cddl 1 0
-CDDL-1.1 | c | common development and distribution license (?:version |v)?1 1|cddl 1 1
+MPL-1.0 | mozilla | mozilla public license (?:version |v)?1 0
+MPL-1.0 | mpl | mpl 1 0
+MPL-1.1 | mozilla | mozilla public license (?:version |v)?1 1
+MPL-1.1 | mpl | mpl 1 1
+MPL-2.0 | mozilla | mozilla public license (?:version |v)?2(?: 0)?
+MPL-2.0 | mpl | mpl 2 0
+EPL-1.0 | eclipse | eclipse public license (?:version |v)?1(?: 0)?
+EPL-1.0 | epl | epl 1 0
+EPL-2.0 | eclipse | eclipse public license (?:version |v)?2(?: 0)?
+EPL-2.0 | epl | epl 2 0
+EUPL-1.1 | european union | european union public licen[cs]e (?:version |v)?1 1
+EUPL-1.1 | eupl | eupl 1 1
+EUPL-1.2 | european union | european union public licen[cs]e (?:version |v)?1 2
+EUPL-1.2 | eupl | eupl 1 2
+CDDL-1.0 | distribution | common development and distribution license(?: (?:version |v)?1 0)?
+CDDL-1.0 | cddl | cddl 1 0
+CDDL-1.1 | distribution | common development and distribution license (?:version |v)?1 1
+CDDL-1.1 | cddl | cddl 1 1
 CPL-1.0 | common | common public license(?: (?:version |v)?1 0)?
 IPL-1.0 | ibm | ibm public license(?: (?:version |v)?1 0)?
 SPL-1.0 | sun | sun public license(?: (?:version |v)?1 0)?
@@ -91,9 +116,9 @@ OFL-1.0 | sil | sil open font license (?:version )?1 0
 OFL-1.1 | sil | sil open font license(?: (?:version )?1 1)?
 AFL-2.1 | academic | academic free license (?:version |v)?2 1
 AFL-3.0 | academic | academic free license(?: (?:version |v)?3 0)?
-OSL-1.1 | open | open software license (?:version |v)?1 1
-OSL-2.1 | open | open software license (?:version |v)?2 1
-OSL-3.0 | open | open software license(?: (?:version |v)?3 0)?
+OSL-1.1 | open software | open software license (?:version |v)?1 1
+OSL-2.1 | open software | open software license (?:version |v)?2 1
+OSL-3.0 | open software | open software license(?: (?:version |v)?3 0)?
 MS-PL | microsoft | microsoft public license|ms pl
 MS-RL | microsoft | microsoft reciprocal license|ms rl
 MS-LPL | microsoft | microsoft limited public license
@@ -103,27 +128,37 @@ CeCILL-1.0 | cecill | cecill (?:version |v)?1 0
 CeCILL-2.1 | cecill | cecill(?: (?:version |v)?2 1)?
 CeCILL-B | cecill | cecill b
 CeCILL-C | cecill | cecill c
-CC-BY-1.0 | c | cc by 1 0|creative commons attribution 1 0(?: generic)?
-CC-BY-2.0 | c | cc by 2 0|creative commons attribution 2 0(?: generic)?
-CC-BY-3.0 | c | cc by 3 0|creative commons attribution 3 0(?: unported)?
-CC-BY-4.0 | c | cc by 4 0|creative commons attribution 4 0(?: international)?
-CC-BY | c | cc by|creative commons attribution
-CC-BY-SA-2.0 | c | cc by sa 2 0|creative commons attribution share ?alike 2 0(?: generic)?
-CC-BY-SA-3.0 | c | cc by sa 3 0|creative commons attribution share ?alike 3 0(?: unported)?
-CC-BY-SA-4.0 | c | cc by sa 4 0|creative commons attribution share ?alike 4 0(?: international)?
-CC-BY-SA | c | cc by sa|creative commons attribution share ?alike
-CC-BY-NC-2.0 | nc | cc by nc 2 0
-CC-BY-NC-3.0 | nc | cc by nc 3 0
-CC-BY-NC-4.0 | nc | cc by nc 4 0
-CC-BY-NC-4.0 | commercial | creative commons attribution non ?commercial 4 0(?: international)?
-CC-BY-NC | commercial | creative commons attribution non ?commercial
+CC-BY-1.0 | cc by | cc by 1 0
+CC-BY-1.0 | creative commons | creative commons attribution 1 0(?: generic)?
+CC-BY-2.0 | cc by | cc by 2 0
+CC-BY-2.0 | creative commons | creative commons attribution 2 0(?: generic)?
+CC-BY-3.0 | cc by | cc by 3 0
+CC-BY-3.0 | creative commons | creative commons attribution 3 0(?: unported)?
+CC-BY-4.0 | cc by | cc by 4 0
+CC-BY-4.0 | creative commons | creative commons attribution 4 0(?: international)?
+CC-BY | cc by | cc by
+CC-BY | creative commons | creative commons attribution
+CC-BY-SA-2.0 | cc by | cc by sa 2 0
+CC-BY-SA-2.0 | creative commons | creative commons attribution share ?alike 2 0(?: generic)?
+CC-BY-SA-3.0 | cc by | cc by sa 3 0
+CC-BY-SA-3.0 | creative commons | creative commons attribution share ?alike 3 0(?: unported)?
+CC-BY-SA-4.0 | cc by | cc by sa 4 0
+CC-BY-SA-4.0 | creative commons | creative commons attribution share ?alike 4 0(?: international)?
+CC-BY-SA | cc by | cc by sa
+CC-BY-SA | creative commons | creative commons attribution share ?alike
+CC-BY-NC-2.0 | cc by | cc by nc 2 0
+CC-BY-NC-3.0 | cc by | cc by nc 3 0
+CC-BY-NC-4.0 | cc by | cc by nc 4 0
+CC-BY-NC-4.0 | creative commons | creative commons attribution non ?commercial 4 0(?: international)?
+CC-BY-NC | creative commons | creative commons attribution non ?commercial
 CC-BY-NC-SA-4.0 | nc sa | cc by nc sa 4 0
 CC-BY-NC-SA | nc sa | cc by nc sa(?: [123] 0)?
 CC-BY-NC-ND-4.0 | nc nd | cc by nc nd 4 0
 CC-BY-NC-ND | nc nd | cc by nc nd(?: [123] 0)?
 CC-BY-ND-4.0 | by nd | cc by nd 4 0
 CC-BY-ND | by nd | cc by nd(?: [123] 0)?
-ODbL-1.0 | open | open (?:data commons )?(?:open )?database license(?: 1 0)?|odbl(?: 1 0)?
+ODbL-1.0 | database | open (?:data commons )?(?:open )?database license(?: 1 0)?
+ODbL-1.0 | odbl | odbl(?: 1 0)?
 ODC-By-1.0 | odc | odc by(?: 1 0)?
 PDDL-1.0 | public domain | public domain dedication and license(?: 1 0)?
 BUSL-1.1 | business | business source license(?: (?:version )?1 1)?
@@ -137,7 +172,7 @@ MulanPSL-2.0 | mulan | mulan (?:psl|permissive software license)(?: (?:version |
 W3C | w3c | w3c software(?: notice)?(?: and)?
 OpenRAIL-M | rail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?
 RPL-1.5 | reciprocal | reciprocal public license(?: 1 5)?
-QPL-1.0 | public | q public license(?: (?:version )?1 0)?
+QPL-1.0 | q public | q public license(?: (?:version )?1 0)?
 LPPL-1.3c | latex | latex project public license(?: (?:version )?1 3c)?
 TCL | tcl | tcl tk
 ICU | icu | icu
@@ -148,7 +183,7 @@ Zend-2.0 | zend | zend(?: engine)?(?: license)?(?: version)?(?: 2 0)?
 FORMS = """
 2 | (?:licensed|released|distributed|published|available|provided|covered) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: public)?(?: licen[cs]e)?(?: version \\d+(?: \\d+)?)?
 2 | spdx licen[cs]e identifier (?:{})(?: only| or later)?
-1 | (?:terms of|subject to|see|under) (?:the )?(?:{})(?: licen[cs]e)?
+1 | (?:terms of|subject to) (?:the )?(?:{})(?: licen[cs]e)?
 1 | (?:the )?(?:{}) licen[cs]e
 """
 
@@ -171,7 +206,9 @@ copyright-notice | 0 | copyright | copyright (?:c )?(?:19|20)\\d\\d
 unknown-license | 0 | licen | (?:licensed|released|distributed) under (?:the )?
 """
 
-GATE = r"licen[cs]|rights reserved|public domain|copyright|confidential|redistribut|permission|commercial|research|spdx|free software|cc0|unlicense|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|under|terms of|subject to|affero"
+#: Every rule needs one of these in the lower-cased text; "cc" stands for the one base phrase without such a word.
+STEMS = ("licen", "released", "distributed", "published", "available", "provided", "covered", "terms", "subject", "reserved", "domain", "copyright", "confidential", "redistribut", "permission", "commercial", "research", "affero", "free software")
+CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 WEIGHT = {3: 1.0, 2: 0.9, 1: 0.6, 0: 0.3}
 
 
@@ -191,17 +228,21 @@ def normalise(text: Column) -> Column:
 
 def _places(norm: Column, rule: Column) -> Column:
     """All places of a rule as structs (label, priority, low, high), words counted from 0, both ends included."""
-    hits = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
+    none = F.array().cast("array<struct<label:string,priority:int,low:int,high:int>>")
     marked = F.split(F.trim(F.regexp_replace(norm, rule["mark"], F.lit("\u0001$1"))), " ")
     starts = F.filter(F.transform(marked, lambda w, i: F.when(w.startswith("\u0001"), i)), lambda i: i.isNotNull())
-    spans = F.zip_with(starts, hits, lambda at, hit: F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), at.alias("low"), (at + F.length(hit) - F.length(F.replace(hit, F.lit(" "), F.lit("")))).alias("high")))
-    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast("array<struct<label:string,priority:int,low:int,high:int>>"))
+    spans = lambda hits: F.zip_with(starts, hits, lambda at, hit: F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), at.alias("low"), (at + F.length(hit) - F.length(F.replace(hit, F.lit(" "), F.lit("")))).alias("high")))
+    once = F.array(F.regexp_extract_all(norm, rule["regex"], F.lit(0)))
+    return F.get(F.transform(once, lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(none)), 0)
 
 
 def detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Column:
     """Array of (label, priority, low, high) of every place of every rule."""
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{rx})(?= )").alias("regex"), F.lit(f"(?<= )({rx})(?= )").alias("mark")) for label, p, k, rx in rules])
-    return F.flatten(F.transform(F.filter(listed, lambda r: F.contains(norm, r["keyword"])), lambda r: _places(norm, r)))
+    grouped: dict[str, list] = {}
+    for label, priority, keyword, rx in rules:
+        grouped.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(f"(?<= )(?:{rx})(?= )").alias("regex"), F.lit(f"(?<= )({rx})(?= )").alias("mark")))
+    listed = F.array(*[F.struct(F.lit(keyword).alias("keyword"), F.array(*own).alias("rules")) for keyword, own in grouped.items()])
+    return F.flatten(F.transform(F.filter(listed, lambda g: F.contains(norm, g["keyword"])), lambda g: F.flatten(F.transform(g["rules"], lambda r: _places(norm, r)))))
 
 
 def unsuppressed(found: Column, top: int = 3) -> Column:
@@ -212,16 +253,29 @@ def unsuppressed(found: Column, top: int = 3) -> Column:
     return F.filter(found, lambda a: (a["priority"] == top) | ~beaten(a))
 
 
-def scan(docs: DataFrame, text_col: str = "text", rules: Sequence[tuple[str, int, str, str]] | None = None, gate: str = GATE) -> DataFrame:
+def default_gate(low: Column) -> Column:
+    gate = F.contains(low, F.lit("cc")) & low.rlike(CC)
+    for stem in reversed(STEMS):
+        gate = F.contains(low, F.lit(stem)) | gate
+    return gate
+
+
+def count_words(text: Column) -> Column:
+    """Number of words: the pieces between separators, less the empty ones at either end."""
+    pieces = F.split(text, SEPARATOR_ANY_CASE)
+    return (F.size(pieces) - (F.get(pieces, 0) == "").cast("int") - ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")).cast("bigint")
+
+
+def scan(docs: DataFrame, text_col: str = "text", rules: Sequence[tuple[str, int, str, str]] | None = None, gate: Callable[[Column], Column] = default_gate) -> DataFrame:
     """``docs`` plus n_words, found (every place) and kept (places after suppression).
 
-    ``gate`` must match (in the lower-cased text) wherever a rule can.
+    ``gate`` must hold (of the lower-cased text) wherever a rule can match.
     """
     norm, found = free_name(docs, "_norm"), free_name(docs, "found")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<label:string,priority:int,low:int,high:int>>")
-    gated = docs.withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint"))
-    gated = gated.withColumn(norm, F.when(ascii_lower(text).rlike(gate), normalise(text)))
+    gated = docs.withColumn("n_words", count_words(text))
+    gated = gated.withColumn(norm, F.when(gate(ascii_lower(text)), normalise(text)))
     gated = gated.withColumn(found, F.when(F.col(norm).isNotNull(), detections(F.col(norm), rules or signature_rules())).otherwise(none)).drop(norm)
     return gated.withColumn("kept", unsuppressed(F.col(found)))
 
