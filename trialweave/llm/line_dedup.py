@@ -142,7 +142,8 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with shortened texts and two more columns, last: ``_n_lines`` and ``_n_deleted`` (non-blank lines)."""
     rid, rth, cuts, total, gone = (free_name(docs, n) for n in ("_rid", "_rth", "_runs", "_n_lines", "_n_deleted"))
     runs = pin(repeated_runs(docs, id_col, text_col, window, min_words)).toDF(rid, rth, cuts)
-    joined = docs.join(runs, docs[id_col].eqNullSafe(F.col(rid)) & (F.xxhash64(docs[text_col]) == F.col(rth)), "left").drop(rid, rth)
+    # the runs grow with the corpus: texts are dealt by document at every size
+    joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(F.col(rid)) & (F.xxhash64(docs[text_col]) == F.col(rth)), "left").drop(rid, rth)
     schema = docs.select("*", F.lit(0).alias(total), F.lit(0).alias(gone)).schema
     at = docs.columns.index(text_col)
 
