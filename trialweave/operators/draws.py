@@ -269,16 +269,20 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, lo: float, hi: fl
     return d.groupBy(*keys, "point", "x").agg((F.avg(F.exp(-u * u / 2)) / (F.max("_h") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))
 
 
-def exclusion_claim(records: DataFrame, primary: str, version: str, n_expected: int) -> DataFrame:
-    """One row: empty reason when every reported fit is clean and the grid is complete, else why not."""
-    no = F.lit(False)
-    m = records.filter(F.coalesce(F.col("applicable"), no) & (F.col("prior") == "informative") & ~F.coalesce(F.col("is_robustness"), no) & (F.col("structure") == primary))
-    a = m.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("version").eqNullSafe(F.lit(version))).alias("old"),
-        F.count_if(~F.col("invalid_rows").eqNullSafe(F.lit(0))).alias("invalid"), F.count_if(~F.coalesce(F.col("applied"), no)).alias("stale"), F.countDistinct("model").alias("cells"))
-    s = lambda c: F.col(c).cast("string")
-    reason = (F.when(F.col("n") == 0, "no fitted model carries a record of this exclusion").when(F.col("old") > 0, "some fitted models use a superseded specification")
-              .when(F.col("invalid") > 0, "some fitted models predate the removal of the invalid exports")
-              .when(F.col("stale") > 0, F.concat(s("stale"), F.lit(" of "), s("n"), F.lit(" fitted models still contain these datasets")))
-              .when(F.col("cells") < n_expected, F.concat(F.lit("only "), s("cells"), F.lit(f" of the {n_expected} models have been refitted under it"))).otherwise(""))
-    return a.select(F.col("n").alias("n_records"), F.col("cells").alias("n_cells"), reason.alias("reason"))
+def claim_requirements(records: DataFrame, structure: str, version: str, n_cells: int) -> DataFrame:
+    """What a claim about an exclusion needs of the reported fits: one row per requirement with the number of faults.
+
+    The claim may be printed when every row has 0 faults. ``unit`` says what is counted.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    reported = records.filter(yes("applicable") & ~yes("is_robustness") & F.col("prior").eqNullSafe("informative") & F.col("structure").eqNullSafe(structure))
+    differs = lambda c, v: F.count_if(~F.col(c).eqNullSafe(F.lit(v)))
+    requirements = (
+        ("exclusion_applied", "fits", F.count_if(~yes("applied"))),
+        ("valid_rows_only", "fits", differs("invalid_rows", 0)),
+        ("current_version", "fits", differs("version", version)),
+        ("every_cell_fitted", "cells", F.greatest(F.lit(n_cells) - F.countDistinct("model"), F.lit(0))),
+    )
+    one = reported.agg(*[n.cast("bigint").alias(name) for name, _, n in requirements], F.count(F.lit(1)).alias("n_fits"))
+    rows = F.array(*[F.struct(F.lit(name).alias("requirement"), F.lit(unit).alias("unit"), F.col(name).alias("n_faults")) for name, unit, _ in requirements])
+    return one.select(F.explode(rows).alias("r"), "n_fits").select("r.*", "n_fits", (F.col("r.n_faults") == 0).alias("met"))

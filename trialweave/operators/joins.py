@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.operators.skew import (
-    first_per_key, null_safe_join, scan_index, scan_last, scan_max, small_side, with_group_stats,
+    first_per_key, null_safe_join, scan_index, scan_last, scan_max, scan_shift, scan_sum, small_side, with_group_stats,
 )
 
 
@@ -56,20 +58,48 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str) ->
 
 def clock_match(events: DataFrame, segments: DataFrame, keys: list[str], clock: str, event_id: str, segment_id: str,
                 tolerance: int) -> DataFrame:
-    """Pairs of the same key with |clock difference| <= tolerance, each side used once.
+    """Pairs of the same key with |clock difference| <= tolerance, each side used once and as many pairs as possible.
 
-    Rows of one key and clock are numbered, and only equal numbers may pair, so repeated stamps
-    cannot produce all pairs. The nearest candidate wins on the segment side, then on the event side.
+    Both sides are read in clock order and each row takes the earliest row of the other side that is still free and
+    near enough. Rows further apart than the tolerance cannot affect each other, so every stretch between such gaps
+    is matched on its own, streamed from a sorted partition: only the free rows within one tolerance are held.
+    Rows without a clock match nothing.
     """
-    ev = scan_index(events, keys + [clock], [event_id], "_k")
-    sg = scan_index(segments, keys + [clock], [segment_id], "_k")
-    e = ev.select(*keys, "_k", F.col(clock).alias("_te"), event_id, F.floor(F.col(clock) / tolerance).alias("_b"))
-    s = sg.select(*keys, "_k", F.col(clock).alias("_ts"), segment_id, F.explode(F.array(*[
-        F.floor(F.col(clock) / tolerance) + i for i in (-1, 0, 1)])).alias("_b"))
-    cand = e.join(s, keys + ["_k", "_b"]).withColumn("_d", F.abs(F.col("_te") - F.col("_ts"))).filter(F.col("_d") <= tolerance)
-    per_seg = first_per_key(cand.select(*keys, segment_id, "_d", "_te", event_id), [segment_id], ["_d", "_te", event_id])
-    best = first_per_key(per_seg, [event_id], ["_d", segment_id])
-    return best.select(event_id, segment_id, *keys, F.col("_d").alias("clock_difference"))
+    types = {c: t for df in (events, segments) for c, t in df.dtypes}
+    side = lambda df, name, other, n: df.where(F.col(clock).isNotNull()).select(
+        *keys, F.col(clock).alias("_t"), F.lit(n).alias("_side"), F.col(name).alias("_own"),
+        *[(F.col(name) if c == name else F.lit(None).cast(types[c])).alias(f"_{c}") for c in (event_id, segment_id)])
+    rows = side(events, event_id, segment_id, 0).unionByName(side(segments, segment_id, event_id, 1))
+    order = ["_t", "_side", "_own"]
+    rows = scan_shift(rows, keys, order, _before=F.col("_t"))
+    rows = scan_sum(rows, keys, order, _stretch=(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > tolerance)).cast("int"))
+    dealt = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", *order)
+    dealt = dealt.select(*keys, "_stretch", "_t", "_side", f"_{event_id}", f"_{segment_id}")
+    n = len(keys)
+    schema = ", ".join([f"{event_id} {types[event_id]}", f"{segment_id} {types[segment_id]}", *[f"{k} {types[k]}" for k in keys], "clock_difference bigint"])
+
+    def run(batches):
+        free, group = deque(), None  # free rows are all of one side
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[: n + 1] != group:
+                    free.clear()
+                    group = row[: n + 1]
+                t, kind = row[n + 1], row[n + 2]
+                while free and free[0][0] < t - tolerance:
+                    free.popleft()
+                if free and free[0][1] != kind:
+                    other = free.popleft()
+                    pair = (row, other[2]) if kind == 0 else (other[2], row)
+                    out.append((pair[0][n + 3], pair[1][n + 4], *row[:n], t - other[0]))
+                else:
+                    free.append((t, kind, row))
+            cols = list(zip(*out)) or [()] * (n + 3)
+            kinds = [batch.schema.field(n + 3).type, batch.schema.field(n + 4).type, *[batch.schema.field(i).type for i in range(n)], pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[event_id, segment_id, *keys, "clock_difference"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def unique_fallback(events: DataFrame, segments: DataFrame, matched: DataFrame, keys: list[str], event_id: str,

@@ -14,28 +14,37 @@ def violations(df: DataFrame, check: str, severity: str, entity: Column, conditi
         F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), entity.cast("bigint").alias("entity"), F.lit(detail).alias("detail"))
 
 
-def presence_checks(m: DataFrame) -> DataFrame:
-    """Consistency checks over the presence matrix (one row per enrolled entity)."""
-    e = F.col("entity")
-    no = F.lit(False)
-    att = [F.coalesce(F.col(f"attended_{s}"), no) for s in d.SESSIONS]
-    any_att = reduce(lambda a, b: a | b, att)
-    # a gap is a missed session between two attended ones
-    gap = (att[0] & ~att[1] & (att[2] | att[3])) | (att[1] & ~att[2] & att[3]) | (att[0] & ~att[2] & att[3] & ~att[1])
-    acc, erp = F.coalesce(F.col("usable_accuracy"), no), F.coalesce(F.col("usable_signal"), no)
-    rules = [
-        violations(m, "data_without_attendance", "error", e, acc & ~any_att, "present in a stage but attended no session"),
-        violations(m, "non_monotonic_attendance", "info", e, gap, "attended a later session after missing an earlier one"),
-        violations(m, "group_parity_mismatch", "error", e, F.col("recorded_group").isNotNull() & (F.col("recorded_group") != d.group_from_parity(e)),
-                   "recorded group disagrees with the odd/even rule"),
-        violations(m, "enrolled_no_attendance", "info", e, ~any_att, "enrolled but no session recorded"),
-        violations(m, "signal_without_accuracy", "warning", e, erp & ~acc, "usable signal but no usable judgement data"),
-        violations(m, "accuracy_without_signal", "warning", e, acc & ~erp, "usable judgement data but no usable signal"),
-        violations(m, "incomplete_predictors", "info", e, acc & F.col("predictor").isNull(), "has data but a missing predictor"),
+#: stage flag → sessions of which at least one must have been attended
+STAGE_SESSIONS = {"usable_accuracy": d.SESSIONS, "usable_signal": d.SESSIONS[1:]}
+
+
+def presence_rules(stages: dict[str, tuple[int, ...]] = STAGE_SESSIONS) -> list[tuple[str, str, Column]]:
+    """(rule, severity, condition on a row of the presence matrix)."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    at = lambda s: flag(f"attended_{s}")
+    some = lambda cs: reduce(lambda a, b: a | b, cs)
+    rules = [(f"{stage}:no_session", "error", flag(stage) & ~some([at(s) for s in sessions])) for stage, sessions in stages.items()]
+    rules += [(f"{one}:without:{other}", "warning", flag(one) & ~flag(other)) for one in stages for other in stages if one != other]
+    came = [at(s) for s in d.SESSIONS]
+    hole = [came[i] & ~came[k] & some(came[k + 1 :]) for i in range(len(came)) for k in range(i + 1, len(came) - 1)]
+    return rules + [
+        ("id:missing", "error", F.col("entity").isNull()),
+        ("secondary_id:missing", "info", F.col("secondary_id").isNull()),
+        ("group:parity", "error", F.col("recorded_group") != d.group_from_parity(F.col("entity"))),
+        ("attendance:hole", "info", some(hole)),
+        ("attendance:none", "info", ~some(came)),
+        ("predictor:missing", "info", some([flag(s) for s in stages]) & F.col("predictor").isNull()),
     ]
-    dup = m.groupBy("secondary_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity")).filter("secondary_id is not null and n > 1")
-    rules.append(violations(dup, "duplicate_secondary_id", "error", F.col("entity"), F.lit(True), "secondary id maps to more than one entity"))
-    return reduce(DataFrame.unionByName, rules)
+
+
+def presence_checks(m: DataFrame) -> DataFrame:
+    """(rule, severity, entity) of every row that breaks a rule, and of every id that stands on several rows."""
+    broken = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, c in presence_rules()])
+    each = m.select(F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("b"), "entity").select("b.rule", "b.severity", F.col("entity").cast("bigint").alias("entity"))
+    twice = [m.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity")).filter("n > 1")
+             .select(F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.col("entity").cast("bigint").alias("entity"))
+             for c, rule in (("entity", "id:repeated"), ("secondary_id", "secondary_id:repeated"))]
+    return reduce(DataFrame.unionByName, [each, *twice])
 
 
 def raise_if_any(df: DataFrame, what: str, limit: int = 10) -> DataFrame:

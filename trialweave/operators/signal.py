@@ -99,6 +99,8 @@ def with_margins(blocks: DataFrame, recording: list[str], order: str, samples: s
     side = lambda shift: blocks.select(*recording, (F.col(order) + shift).alias(order), F.col(samples).alias(f"_n{shift}"))
     d = blocks.join(side(1), [*recording, order], "left").join(side(-1), [*recording, order], "left")
     none = F.array().cast("array<double>")
+    short = F.lit(f"a neighbouring block is shorter than the margin of {margin} samples")
+    d = d.withColumn("_n1", F.when(F.size("_n1") < margin, F.raise_error(short)).otherwise(F.col("_n1"))).withColumn("_n-1", F.when(F.size("_n-1") < margin, F.raise_error(short)).otherwise(F.col("_n-1")))
     before = F.coalesce(F.when(F.size("_n1") > margin, F.slice("_n1", -margin, margin)).otherwise(F.col("_n1")), none)
     after = F.coalesce(F.slice("_n-1", 1, margin), none)
     return d.withColumns({"keep_start": F.size(before), "keep_length": F.size(samples), samples: F.concat(before, F.col(samples), after)}).drop("_n1", "_n-1")

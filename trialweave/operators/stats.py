@@ -90,6 +90,8 @@ def stratum_logit(df: DataFrame, y: str, xcols: list[str], strata: list[str], ma
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise ValueError(f"the stratum logit did not converge in {max_iter} steps")
     eta = F.col("alpha") + sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, xcols)), F.lit(0.0))
     mu = 1 / (1 + F.exp(-eta))
     dev = lambda m: -2 * (F.col("_y") * F.log(m) + (F.col("_n") - F.col("_y")) * F.log(1 - m))
@@ -159,16 +161,14 @@ def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, n_boot:
 # --- classical tests on moments and ranks -------------------------------------------------
 
 def chi_square(df: DataFrame, by: list[str], row: str, col: str) -> DataFrame:
-    """Chi-square of a contingency table from its cell counts."""
-    cells = df.groupBy(*by, row, col).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    """Chi-square of a contingency table from its observed cells: t (sum of o² / (r c) - 1), empty cells add nothing."""
+    cells = pin(df.groupBy(*by, row, col).agg(F.count(F.lit(1)).cast("double").alias("o")))
     r = cells.groupBy(*by, row).agg(F.sum("o").alias("_r"))
     c = cells.groupBy(*by, col).agg(F.sum("o").alias("_c"))
-    t = r.groupBy(*by).agg(F.sum("_r").alias("_t"), F.count(F.lit(1)).alias("_nr"))
-    grid = null_safe_join(null_safe_join(r, c, by, "inner") if by else r.crossJoin(c), t, by, "inner") if by else r.crossJoin(c).crossJoin(t)
-    full = null_safe_join(grid, cells, by + [row, col]).withColumn("o", F.coalesce("o", F.lit(0.0)))
-    e = F.col("_r") * F.col("_c") / F.col("_t")
-    return full.groupBy(*by).agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("chi2"),
-                                 ((F.countDistinct(row) - 1) * (F.countDistinct(col) - 1)).cast("double").alias("dof"), F.max("_t").cast("bigint").alias("n"))
+    full = null_safe_join(null_safe_join(cells, r, by + [row], "inner"), c, by + [col], "inner")
+    levels = lambda k: F.count_distinct(F.struct(F.col(k)))
+    g = full.groupBy(*by).agg(F.sum(F.col("o") * F.col("o") / (F.col("_r") * F.col("_c"))).alias("_s"), F.sum("o").alias("_t"), levels(row).alias("_nr"), levels(col).alias("_nc"))
+    return g.select(*by, (F.col("_t") * (F.col("_s") - 1)).alias("chi2"), ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("double").alias("dof"), F.col("_t").cast("bigint").alias("n"))
 
 
 def welch(df: DataFrame, by: list[str], group: Column, value: str) -> DataFrame:

@@ -105,32 +105,39 @@ def d07(spark, sf):
     return jn.reconcile(a, b, ["id"], "n")
 
 
-# segments re-export the condition events with a clock jitter below one sample; every seventh is far off
+# three successive condition events share a stamp and segments re-export them with a jitter, so stamps repeat and
+# segments compete for events; every seventh segment is far off
 _CLOCK_SQL = f"""{MARKERS_SQL},
-ev AS (SELECT recording, code, pos AS abs_us, seq AS event_id FROM markers WHERE code IN (101, 102, 103)),
-sg AS (SELECT recording, code, pos + (seq % 3 - 1) * 900 + CASE WHEN seq % 7 = 0 THEN 5000000 ELSE 0 END AS abs_us, seq AS segment_id FROM markers WHERE code IN (101, 102, 103))"""
+ev AS (SELECT recording, code, seq // 3 * 2100 AS abs_us, seq AS event_id FROM markers WHERE code IN (101, 102, 103)),
+sg AS (SELECT recording, code, seq // 3 * 2100 + (seq % 3 - 1) * 900 + CASE WHEN seq % 7 = 0 THEN 500000 ELSE 0 END AS abs_us, seq AS segment_id FROM markers WHERE code IN (101, 102, 103)),
+en AS (SELECT *, row_number() OVER (PARTITION BY recording, code ORDER BY abs_us, event_id) AS i FROM ev),
+sn AS (SELECT *, row_number() OVER (PARTITION BY recording, code ORDER BY abs_us, segment_id) AS j FROM sg),
+walk(recording, code, i, j, event_id, segment_id, dd) AS (
+ SELECT DISTINCT recording, code, 1::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM en
+ UNION ALL
+ SELECT recording, code, CASE WHEN en.abs_us <= sn.abs_us + 2000 THEN i + 1 ELSE i END, CASE WHEN sn.abs_us <= en.abs_us + 2000 THEN j + 1 ELSE j END,
+  CASE WHEN abs(en.abs_us - sn.abs_us) <= 2000 THEN en.event_id END, CASE WHEN abs(en.abs_us - sn.abs_us) <= 2000 THEN sn.segment_id END, abs(en.abs_us - sn.abs_us)
+ FROM (SELECT recording, code, i, j FROM walk) JOIN en USING (recording, code, i) JOIN sn USING (recording, code, j)),
+c AS (SELECT recording, code, event_id, segment_id, dd FROM walk WHERE event_id IS NOT NULL)"""
 
 
 def _clock_sides(spark, sf):
     m = markers(spark, sf).filter(F.col("code").isin(*d.CONDITION_CODES))
-    ev = m.select("recording", "code", F.col("pos").alias("abs_us"), F.col("seq").alias("event_id"))
-    shift = (F.col("seq") % 3 - 1) * 900 + F.when(F.col("seq") % 7 == 0, 5_000_000).otherwise(0)
-    sg = m.select("recording", "code", (F.col("pos") + shift).alias("abs_us"), F.col("seq").alias("segment_id"))
+    at = F.floor(F.col("seq") / 3) * 2100
+    ev = m.select("recording", "code", at.alias("abs_us"), F.col("seq").alias("event_id"))
+    shift = (F.col("seq") % 3 - 1) * 900 + F.when(F.col("seq") % 7 == 0, 500_000).otherwise(0)
+    sg = m.select("recording", "code", (at + shift).alias("abs_us"), F.col("seq").alias("segment_id"))
     return ev, sg
 
 
-@query("d08_clock_match", f"""WITH {_CLOCK_SQL},
-c AS (SELECT event_id, segment_id, ev.recording, ev.code, abs(ev.abs_us - sg.abs_us) AS dd FROM ev JOIN sg
-  ON ev.recording = sg.recording AND ev.code = sg.code AND abs(ev.abs_us - sg.abs_us) <= 2000)
-SELECT event_id, segment_id, recording, code, CAST(dd AS BIGINT) AS clock_difference FROM c
-QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY dd, event_id) = 1 AND row_number() OVER (PARTITION BY event_id ORDER BY dd, segment_id) = 1""")
+@query("d08_clock_match", f"""WITH RECURSIVE {_CLOCK_SQL}
+SELECT event_id, segment_id, recording, code, dd AS clock_difference FROM c""")
 def d08(spark, sf):
     ev, sg = _clock_sides(spark, sf)
     return jn.clock_match(ev, sg, ["recording", "code"], "abs_us", "event_id", "segment_id", 2000)
 
 
-@query("d09_unique_fallback", f"""WITH {_CLOCK_SQL},
-c AS (SELECT event_id, segment_id FROM ev JOIN sg ON ev.recording = sg.recording AND ev.code = sg.code AND abs(ev.abs_us - sg.abs_us) <= 2000),
+@query("d09_unique_fallback", f"""WITH RECURSIVE {_CLOCK_SQL},
 e AS (SELECT recording, code, count(*) AS n, min(event_id) AS event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM c) GROUP BY ALL),
 s AS (SELECT recording, code, count(*) AS n, min(segment_id) AS segment_id FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM c) GROUP BY ALL)
 SELECT recording, code, e.event_id, s.segment_id FROM e JOIN s USING (recording, code) WHERE e.n = 1 AND s.n = 1""")

@@ -35,14 +35,14 @@ def e26(spark, sf):
 
 # parent = the property marker; kept unless a word marker was seen; exported when a sentence was seen
 _FATE_SQL = f"""{ASOF_SQL},
-fate AS (SELECT recording, seq, code, least((pos - prop_marker_pos) // {6 * HOUR}::BIGINT, 3) AS lag, CASE WHEN prop_marker IS NULL THEN 'no parent segment'
+fate AS (SELECT recording, seq, code, (pos - prop_marker_pos) // {6 * HOUR}::BIGINT AS lag, CASE WHEN prop_marker IS NULL THEN 'no parent segment'
   WHEN word IS NOT NULL THEN 'parent removed by hand' WHEN sentence IS NULL THEN 'kept parent, no child'
   WHEN sentence % 2 = 0 THEN 'in table but not in file' ELSE 'exported' END AS fate FROM asof_events WHERE code IN (101, 102, 103))"""
 
 
 def fates(spark, sf):
     e = asof_events(spark, sf)
-    lag = F.least(F.floor((F.col("pos") - F.col("prop_marker_pos")) / (6 * HOUR)), F.lit(3))
+    lag = F.floor((F.col("pos") - F.col("prop_marker_pos")) / (6 * HOUR))
     fate = (F.when(F.col("prop_marker").isNull(), "no parent segment").when(F.col("word").isNotNull(), "parent removed by hand")
             .when(F.col("sentence").isNull(), "kept parent, no child").when(F.col("sentence") % 2 == 0, "in table but not in file").otherwise("exported"))
     return e.select("recording", "seq", "code", F.when(F.col("prop_marker").isNotNull(), lag).alias("lag"), fate.alias("fate"))
@@ -86,13 +86,13 @@ _RULES = {"actual": (0, 24, -1, 6), "child_short": (0, 24, -1, 5), "child_late":
 
 @query("e29_rule_what_if", "WITH " + ASOF_SQL + ", e AS (SELECT (pos - prop_marker_pos) AS lag FROM asof_events WHERE code IN (101, 102, 103) AND prop_marker IS NOT NULL)\n"
        + " UNION ALL ".join(
-           f"SELECT '{r}' AS rule, CAST(least(lag // {6 * HOUR}::BIGINT, 5) AS BIGINT) AS lag_bin, CAST(count(*) AS BIGINT) AS n, "
+           f"SELECT '{r}' AS rule, CAST(lag // {6 * HOUR}::BIGINT AS BIGINT) AS lag_bin, CAST(count(*) AS BIGINT) AS n, "
            f"CAST(count(*) FILTER (lag + {c0} * {HOUR}::BIGINT >= {p0} * {HOUR}::BIGINT AND lag + {c0 + cl} * {HOUR}::BIGINT <= {p0 + pl} * {HOUR}::BIGINT) AS BIGINT) AS kept FROM e GROUP BY ALL"
            for r, (p0, pl, c0, cl) in _RULES.items()))
 def e29(spark, sf):
     e = asof_events(spark, sf).filter("prop_marker is not null").select((F.col("pos") - F.col("prop_marker_pos")).alias("lag"))
     flags = {r: (F.col("lag") + c0 * HOUR >= p0 * HOUR) & (F.col("lag") + (c0 + cl) * HOUR <= (p0 + pl) * HOUR) for r, (p0, pl, c0, cl) in _RULES.items()}
-    wide = e.select(F.least(F.floor(F.col("lag") / (6 * HOUR)), F.lit(5)).alias("lag_bin"), *[c.alias(r) for r, c in flags.items()])
+    wide = e.select(F.floor(F.col("lag") / (6 * HOUR)).alias("lag_bin"), *[c.alias(r) for r, c in flags.items()])
     return wide.unpivot(["lag_bin"], list(_RULES), "rule", "keep").groupBy("rule", "lag_bin").agg(_n().alias("n"), _n(F.col("keep")).alias("kept"))
 
 
@@ -247,10 +247,10 @@ def e42(spark, sf):
 
 
 @query("e43_step_spread", f"""WITH {ASOF_SQL},
-s AS (SELECT least((pos - prop_marker_pos) // {HOUR}, 24) AS step FROM asof_events WHERE code IN (101, 102, 103) AND prop_marker IS NOT NULL)
+s AS (SELECT (pos - prop_marker_pos) // {HOUR} AS step FROM asof_events WHERE code IN (101, 102, 103) AND prop_marker IS NOT NULL)
 SELECT CAST(step AS BIGINT) AS step_hours, CAST(count(*) AS BIGINT) AS n, round((SELECT avg(step) FROM s), 6) AS mean_step FROM s GROUP BY step""")
 def e43(spark, sf):
-    s = asof_events(spark, sf).filter("prop_marker is not null").select(F.least(F.floor((F.col("pos") - F.col("prop_marker_pos")) / HOUR), F.lit(24)).alias("step_hours"))
+    s = asof_events(spark, sf).filter("prop_marker is not null").select(F.floor((F.col("pos") - F.col("prop_marker_pos")) / HOUR).alias("step_hours"))
     g = s.groupBy("step_hours").agg(_n().alias("n"))
     mean = g.agg((F.sum(F.col("step_hours") * F.col("n")) / F.sum("n")).alias("m"))
     return g.crossJoin(F.broadcast(mean)).select("step_hours", "n", r6("m", "mean_step"))

@@ -88,7 +88,7 @@ def m04b(spark, sf):
 @query("m05_chi_square", f"""WITH {CLEAN_SQL},
 c AS (SELECT session, property, condition, count(*)::DOUBLE AS o FROM dedup GROUP BY ALL),
 e AS (SELECT *, sum(o) OVER (PARTITION BY session, property) * sum(o) OVER (PARTITION BY session, condition) / sum(o) OVER (PARTITION BY session) AS e, sum(o) OVER (PARTITION BY session) AS n FROM c)
-SELECT session, round(sum((o - e) * (o - e) / e), 6) AS chi2, 2.0::DOUBLE AS dof, CAST(max(n) AS BIGINT) AS n, round(exp(-sum((o - e) * (o - e) / e) / 2), 8) AS p FROM e GROUP BY session""")
+SELECT session, round(sum((o - e) * (o - e) / e), 6) AS chi2, ((count(DISTINCT property) - 1) * (count(DISTINCT condition) - 1))::DOUBLE AS dof, CAST(max(n) AS BIGINT) AS n, round(exp(-sum((o - e) * (o - e) / e) / 2), 8) AS p FROM e GROUP BY session""")
 def m05(spark, sf):
     g = st.chi_square(dedup(spark, sf), ["session"], "property", "condition")
     return g.withColumn("p", chi2_tail_udf("chi2", "dof")).select("session", r6("chi2", "chi2"), "dof", "n", r6("p", "p", 8))

@@ -172,14 +172,16 @@ def m40(spark, sf):
 @query("m44_exclusion_claim", """
 WITH r AS (SELECT 'cell_' || CAST(p_size AS VARCHAR) AS model, p_partkey % 5 <> 0 AS applicable, CASE WHEN p_partkey % 7 = 0 THEN 'weak' ELSE 'informative' END AS prior, p_partkey % 11 = 0 AS is_robustness,
   CASE WHEN p_partkey % 3 = 0 THEN 'base' ELSE 'maximal' END AS structure, 'v2' AS version, 0 AS invalid_rows, p_retailprice < 1080 AS applied FROM part),
-m AS (SELECT * FROM r WHERE applicable AND prior = 'informative' AND NOT is_robustness AND structure = 'maximal')
-SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(count(DISTINCT model) AS BIGINT) AS n_cells, CASE WHEN count(*) = 0 THEN 'no fitted model carries a record of this exclusion'
- WHEN count(*) FILTER (NOT applied) > 0 THEN CAST(count(*) FILTER (NOT applied) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' fitted models still contain these datasets'
- WHEN count(DISTINCT model) < 50 THEN 'only ' || CAST(count(DISTINCT model) AS VARCHAR) || ' of the 50 models have been refitted under it' ELSE '' END AS reason FROM m""")
+m AS (SELECT * FROM r WHERE applicable AND prior = 'informative' AND NOT is_robustness AND structure = 'maximal'),
+f AS (SELECT 'exclusion_applied' AS requirement, 'fits' AS unit, count(*) FILTER (NOT applied) AS n_faults, count(*) AS n_fits FROM m
+ UNION ALL SELECT 'valid_rows_only', 'fits', count(*) FILTER (invalid_rows <> 0), count(*) FROM m
+ UNION ALL SELECT 'current_version', 'fits', count(*) FILTER (version <> 'v2'), count(*) FROM m
+ UNION ALL SELECT 'every_cell_fitted', 'cells', greatest(50 - count(DISTINCT model), 0), count(*) FROM m)
+SELECT requirement, unit, CAST(n_faults AS BIGINT) AS n_faults, CAST(n_fits AS BIGINT) AS n_fits, n_faults = 0 AS met FROM f""")
 def m44(spark, sf):
     k = F.col("p_partkey")
     r = table(spark, sf, "part").select(
         F.concat(F.lit("cell_"), F.col("p_size").cast("string")).alias("model"), (k % 5 != 0).alias("applicable"), F.when(k % 7 == 0, "weak").otherwise("informative").alias("prior"),
         (k % 11 == 0).alias("is_robustness"), F.when(k % 3 == 0, "base").otherwise("maximal").alias("structure"), F.lit("v2").alias("version"), F.lit(0).alias("invalid_rows"),
         (F.col("p_retailprice") < 1080).alias("applied"))
-    return dr.exclusion_claim(r, "maximal", "v2", 50)
+    return dr.claim_requirements(r, "maximal", "v2", 50)

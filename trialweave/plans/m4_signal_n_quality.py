@@ -22,7 +22,7 @@ def m41(spark, sf):
     e = table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 25).alias("recording"), F.col("vec_id").alias("block"), F.col("embedding").cast("array<double>").alias("samples"))
     sections = sg.filter_sections(1.0, 8.0, FS)
-    margin = min(64, max(sg.decay_samples(s) for s in sections))
+    margin = max(sg.decay_samples(s) for s in sections)
     chunks = sg.with_margins(e, ["recording"], "block", "samples", margin)
     return sg.filter_chunks(chunks, "samples", ("keep_start", "keep_length"), 1.0, 8.0, FS).select("recording", "block", "samples")
 
@@ -94,14 +94,19 @@ mx AS (SELECT c_custkey AS entity, coalesce(a2, FALSE) AS a2, coalesce(a3, FALSE
 
 
 @query("n01_presence_checks", f"""WITH {_MATRIX_SQL}
-SELECT 'data_without_attendance' AS check_name, 'error' AS severity, entity, 'present in a stage but attended no session' AS detail FROM mx WHERE acc AND NOT (a2 OR a3 OR a4 OR a6)
-UNION ALL SELECT 'non_monotonic_attendance', 'info', entity, 'attended a later session after missing an earlier one' FROM mx WHERE (a2 AND NOT a3 AND (a4 OR a6)) OR (a3 AND NOT a4 AND a6)
-UNION ALL SELECT 'group_parity_mismatch', 'error', entity, 'recorded group disagrees with the odd/even rule' FROM mx WHERE rec <> CASE WHEN entity % 2 = 1 THEN 'Mini-English' ELSE 'Mini-Norwegian' END
-UNION ALL SELECT 'enrolled_no_attendance', 'info', entity, 'enrolled but no session recorded' FROM mx WHERE NOT (a2 OR a3 OR a4 OR a6)
-UNION ALL SELECT 'signal_without_accuracy', 'warning', entity, 'usable signal but no usable judgement data' FROM mx WHERE erp AND NOT acc
-UNION ALL SELECT 'accuracy_without_signal', 'warning', entity, 'usable judgement data but no usable signal' FROM mx WHERE acc AND NOT erp
-UNION ALL SELECT 'incomplete_predictors', 'info', entity, 'has data but a missing predictor' FROM mx WHERE acc AND pred IS NULL
-UNION ALL SELECT 'duplicate_secondary_id', 'error', min(entity), 'secondary id maps to more than one entity' FROM mx GROUP BY sid HAVING count(*) > 1""")
+SELECT rule, severity, entity FROM (
+ SELECT 'usable_accuracy:no_session' AS rule, 'error' AS severity, entity FROM mx WHERE acc AND NOT (a2 OR a3 OR a4 OR a6)
+ UNION ALL SELECT 'usable_signal:no_session', 'error', entity FROM mx WHERE erp AND NOT (a3 OR a4 OR a6)
+ UNION ALL SELECT 'usable_accuracy:without:usable_signal', 'warning', entity FROM mx WHERE acc AND NOT erp
+ UNION ALL SELECT 'usable_signal:without:usable_accuracy', 'warning', entity FROM mx WHERE erp AND NOT acc
+ UNION ALL SELECT 'id:missing', 'error', entity FROM mx WHERE entity IS NULL
+ UNION ALL SELECT 'secondary_id:missing', 'info', entity FROM mx WHERE sid IS NULL
+ UNION ALL SELECT 'group:parity', 'error', entity FROM mx WHERE rec <> CASE WHEN entity % 2 = 1 THEN 'Mini-English' ELSE 'Mini-Norwegian' END
+ UNION ALL SELECT 'attendance:hole', 'info', entity FROM mx WHERE (a2 AND NOT a3 AND (a4 OR a6)) OR ((a2 OR a3) AND NOT a4 AND a6)
+ UNION ALL SELECT 'attendance:none', 'info', entity FROM mx WHERE NOT (a2 OR a3 OR a4 OR a6)
+ UNION ALL SELECT 'predictor:missing', 'info', entity FROM mx WHERE (acc OR erp) AND pred IS NULL
+ UNION ALL SELECT 'id:repeated', 'error', min(entity) FROM mx WHERE entity IS NOT NULL GROUP BY entity HAVING count(*) > 1
+ UNION ALL SELECT 'secondary_id:repeated', 'error', min(entity) FROM mx WHERE sid IS NOT NULL GROUP BY sid HAVING count(*) > 1)""")
 def n01(spark, sf):
     t = trials(spark, sf)
     s, et, low = F.col("session"), F.col("event_type"), F.col("k") < 20

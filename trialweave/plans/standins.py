@@ -46,7 +46,7 @@ SAMPLES_SQL = """
 samples AS (
   SELECT l_suppkey AS entity,
          CASE l_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 6 END AS session,
-         CASE l_returnflag WHEN 'A' THEN 'Grammatical' WHEN 'R' THEN 'Ungrammatical' END AS condition,
+         CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_orderkey // 4 % 2 = 0) THEN 'Grammatical' ELSE 'Ungrammatical' END AS condition,
          CASE WHEN l_quantity <= 25 THEN 'm1' ELSE 'm2' END AS marker,
          'c' || CAST(l_linenumber AS VARCHAR) AS sensor,
          CASE WHEN l_linenumber <= 3 THEN 'midline anterior' WHEN l_linenumber <= 5 THEN 'midline medial'
@@ -54,7 +54,7 @@ samples AS (
          (date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) % 600) * 2 - 100 AS time_ms,
          l_extendedprice / 997 AS amplitude,
          CASE l_linestatus WHEN 'O' THEN 'overlay' ELSE 'legacy' END AS source
-  FROM lineitem WHERE l_returnflag IN ('A', 'R')
+  FROM lineitem
 )"""
 WINDOWS_SQL = """
 windows(window_name, min_ms, max_ms) AS (VALUES ('200_500', 200, 498), ('300_600', 300, 598), ('400_900', 400, 898))"""
@@ -63,12 +63,13 @@ N_REGIONS = 3
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    li = table(spark, sf_dir, "lineitem")
+    control = (F.col("l_returnflag") == "A") | ((F.col("l_returnflag") == "N") & (F.floor(F.col("l_orderkey") / 4) % 2 == 0))
     line = F.col("l_linenumber")
     return li.select(
         F.col("l_suppkey").alias("entity"),
         F.element_at(F.array(*[F.lit(s) for s in d.SESSIONS]), (F.col("l_orderkey") % 4 + 1).cast("int")).alias("session"),
-        F.when(F.col("l_returnflag") == "A", d.CONTROL).when(F.col("l_returnflag") == "R", d.VIOLATION).alias("condition"),
+        F.when(control, d.CONTROL).otherwise(d.VIOLATION).alias("condition"),
         F.when(F.col("l_quantity") <= 25, "m1").otherwise("m2").alias("marker"),
         F.concat(F.lit("c"), line.cast("string")).alias("sensor"),
         F.when(line <= 3, "midline anterior").when(line <= 5, "midline medial").otherwise("midline posterior").alias("region"),
@@ -147,30 +148,33 @@ TERMS = (
 _term_case = " ".join(f"WHEN {i + 1} THEN '{t}'" for i, t in enumerate(TERMS))
 DRAWS_SQL = f"""
 draws AS (
-  SELECT 'm' || CAST(label AS VARCHAR) AS model, vec_id % 4 AS chain, vec_id // 4 AS iter,
-         CASE i {_term_case} END AS parameter, CAST(embedding[i] AS DOUBLE) AS value
-  FROM embeddings, (SELECT unnest(range(1, 9)) AS i)
+  SELECT 'm' || CAST(label AS VARCHAR) AS model, vec_id % 4 AS chain, vec_id // 4 * 8 + g AS iter,
+         CASE i {_term_case} END AS parameter, CAST(embedding[g * 8 + i] AS DOUBLE) AS value
+  FROM embeddings, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(0, 8)) AS g)
 )"""
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
+    # one vector holds eight draws of eight terms
     pairs = F.array(*[
-        F.struct(F.lit(t).alias("parameter"), F.element_at(F.col("embedding"), i + 1).cast("double").alias("value"))
-        for i, t in enumerate(TERMS)
+        F.struct(F.lit(g).alias("g"), F.lit(t).alias("parameter"), F.element_at(F.col("embedding"), g * 8 + i + 1).cast("double").alias("value"))
+        for g in range(8) for i, t in enumerate(TERMS)
     ])
     return e.select(
         F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"), (F.col("vec_id") % 4).alias("chain"),
         F.floor(F.col("vec_id") / 4).cast("bigint").alias("iter"), F.explode(pairs).alias("p"),
-    ).select("model", "chain", "iter", "p.parameter", "p.value")
+    ).select("model", "chain", (F.col("iter") * 8 + F.col("p.g")).alias("iter"), "p.parameter", "p.value")
 
 
 def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"), (F.col("vec_id") % 4).alias("chain"),
-        F.floor(F.col("vec_id") / 4).cast("bigint").alias("iter"),
-        *[F.element_at(F.col("embedding"), i + 1).cast("double").alias(t) for i, t in enumerate(TERMS)],
+        F.floor(F.col("vec_id") / 4).cast("bigint").alias("iter"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"), "embedding",
+    ).select(
+        "model", "chain", (F.col("iter") * 8 + F.col("g")).alias("iter"),
+        *[F.element_at(F.col("embedding"), F.col("g") * 8 + i + 1).cast("double").alias(t) for i, t in enumerate(TERMS)],
     )
 
 

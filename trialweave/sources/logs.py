@@ -76,15 +76,23 @@ def read_logs(spark: SparkSession, paths, cols: list[str] | None = None, delimit
 
 
 def read_truncated(spark: SparkSession, paths, schema: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Complete records of possibly cut files (one record per line), and the number of cut records per file."""
-    t = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
+    """Records of possibly cut files (one record per line) and a note per file.
+
+    A short record inside a file is kept with nulls for what it lacks; a short record at the end of a file was cut by
+    the transfer and is dropped. The note has n_records, n_padded and n_cut (0 or 1).
+    """
+    t = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     if header is not None:
         t = t.filter(F.col("value") != header)
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    r = t.select("file", F.from_csv("value", schema + ", _corrupt string", opts).alias("r"))
-    bad = F.col("r._corrupt").isNotNull()
-    note = r.groupBy("file").agg(F.count_if(bad).alias("n_cut"), F.count(F.lit(1)).alias("n_records"))
-    return r.filter(~bad).select("file", "r.*").drop("_corrupt"), note
+    r = t.select("file", "_block", "_row", F.from_csv("value", schema + ", _corrupt string", opts).alias("r"))
+    r = r.withColumn("_short", F.col("r._corrupt").isNotNull())
+    last = r.groupBy("file").agg(F.max(F.struct("_block", "_row", "_short")).alias("last"), F.count(F.lit(1)).alias("n_records"), F.count_if("_short").alias("n_short"))
+    cut = F.col("last._short").cast("bigint")
+    note = last.select("file", "n_records", (F.col("n_short") - cut).alias("n_padded"), cut.alias("n_cut"))
+    ends = last.filter("last._short").select("file", F.col("last._block").alias("_block"), F.col("last._row").alias("_row"))
+    kept = r.join(ends, ["file", "_block", "_row"], "left_anti")
+    return kept.select("file", "r.*").drop("_corrupt"), note
 
 
 def batch_first(batch: DataFrame, named: DataFrame, entity: str) -> DataFrame:
