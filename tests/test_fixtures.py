@@ -198,7 +198,7 @@ def test_permutations_keep_counts(spark):
     df = spark.createDataFrame([(i, i % 3, int(i % 4 == 0)) for i in range(60)], "id int, s int, y int")
     p = st.permuted_indicator(df, ["s"], "id", "y", 10, 1).groupBy("perm", "s").agg(F.sum("shuffled").alias("a"), F.sum("y").alias("b"))
     assert p.filter("a <> b").count() == 0
-    r = one(st.permutation_condition(df.withColumn("x", (F.col("id") % 5 == 0).cast("int")), "x", "y", ["s"], "id", 10, 1))
+    r = one(st.permutation_condition(df.withColumn("x", (F.col("id") % 5 == 0).cast("int")), "x", "y", ["s"], 10, 1))
     assert 1 / 11 <= r["p"] <= 1
 
 
@@ -302,3 +302,52 @@ def test_duplicate_lookup_refused(spark):
     dim = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError, match="repeated keys"):
         jn.checked_left_join(spark.createDataFrame([(1,)], "k int"), dim, ["k"])
+
+
+# --- matching and reading: repeated stamps, contested events, cut files -------------------
+
+@pytest.mark.parametrize("events, segments, expected", [
+    ([(1, 1000), (2, 1000)], [(10, 1000), (11, 1500)], {(1, 10), (2, 11)}),
+    ([(1, 1000), (2, 2500)], [(10, 1100), (11, 1200)], {(1, 10), (2, 11)}),
+    ([(1, 0), (2, 9000)], [(10, 3000), (11, None)], set()),
+])
+def test_clock_match_finds_free_neighbours(spark, events, segments, expected):
+    from trialweave.operators.joins import clock_match
+
+    ev = spark.createDataFrame([("r", *e) for e in events], "rec string, event_id long, us long")
+    sg = spark.createDataFrame([("r", *s) for s in segments], "rec string, segment_id long, us long")
+    got = {(r.event_id, r.segment_id) for r in clock_match(ev, sg, ["rec"], "us", "event_id", "segment_id", 2000).collect()}
+    assert got == expected
+
+
+def test_truncated_files_keep_padded_records(spark, tmp_path):
+    from trialweave.sources.logs import read_truncated
+
+    (tmp_path / "a.csv").write_text("1,2,x\n3,4\n5,6,y\n7")
+    (tmp_path / "b.csv").write_text("8,9,z\n")
+    good, note = read_truncated(spark, str(tmp_path), "a long, b long, c string")
+    assert sorted((r.a, r.b, r.c) for r in good.collect()) == [(1, 2, "x"), (3, 4, None), (5, 6, "y"), (8, 9, "z")]
+    assert sorted((r.n_records, r.n_padded, r.n_cut) for r in note.collect()) == [(1, 0, 0), (4, 1, 1)]
+
+
+def test_hypergeometric_draws_follow_their_law():
+    from itertools import combinations
+
+    from trialweave.operators.stats import hypergeometric_draws
+
+    n, ones, hits = 9, 4, 3
+    exact = np.bincount([sum(i < hits for i in c) for c in combinations(range(n), ones)], minlength=4) / 126
+    grid = (np.arange(126_000) + 0.5) / 126_000
+    assert np.allclose(np.bincount(hypergeometric_draws(n, ones, hits, grid), minlength=4) / len(grid), exact, atol=1e-4)
+    assert set(hypergeometric_draws(10**7, 5 * 10**6, 10, grid)) == set(range(11))
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from trialweave.runtime import shared_root
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.functions.dist import chi2_tail1, chi2_tail_udf, norm_tail_sql, t_quantile_col, t_two_sided_udf
@@ -133,10 +137,36 @@ def permutation_p(null: DataFrame, observed: DataFrame, stat: str = "stat", eps:
     return g.groupBy("observed", "null_mean").agg(((F.count_if(dev) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def permutation_condition(df: DataFrame, y: str, label: str, strata: list[str], key: str, n_perm: int, seed: int) -> DataFrame:
-    d = df.na.drop(subset=[y, label]).select(*strata, key, y, label)
-    obs = d.agg(F.sum(F.col(y) * F.col(label)).cast("double").alias("observed"))
-    null = permuted_indicator(d, strata, key, label, n_perm, seed).groupBy("perm").agg(F.sum(F.col(y) * F.col("shuffled")).cast("double").alias("stat"))
+def hypergeometric_draws(n: int, ones: int, hits: int, uniforms: np.ndarray) -> np.ndarray:
+    """How many of ``hits`` marked rows fall among ``ones`` of n, by inversion; terms below double precision count as 0."""
+    low, high = max(0, ones + hits - n), min(ones, hits)
+    k = np.arange(low, high, dtype=float)
+    log = np.concatenate(([0.0], np.cumsum(np.log((ones - k) * (hits - k)) - np.log((k + 1) * (n - ones - hits + k + 1)))))
+    p = np.exp(log - log.max())
+    return low + np.searchsorted(np.cumsum(p) / p.sum(), uniforms, side="left").clip(max=high - low)
+
+
+def permutation_condition(df: DataFrame, y: str, label: str, strata: list[str], n_perm: int, seed: int) -> DataFrame:
+    """Test of sum(y * label), both 0/1, with labels shuffled within strata.
+
+    Within a stratum that sum is hypergeometric, so three counts stand for all shuffles: rows never leave the first
+    aggregate, and each task adds up its strata's draws per permutation before the shuffle.
+    """
+    d = df.na.drop(subset=[y, label])
+    both = F.col(y) * F.col(label)
+    counts = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), F.sum(y).alias("hits"), F.sum(both).alias("observed"))
+    obs = counts.agg(F.sum("observed").cast("double").alias("observed"))
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in strata])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_perm)
+        for part in batches:
+            for key, n, ones, hits in part.itertuples(index=False):
+                digests = (hashlib.md5(f"{seed}|{b}|{key}".encode()).hexdigest()[:12] for b in range(1, n_perm + 1))
+                total += hypergeometric_draws(int(n), int(ones), int(hits), np.array([int(h, 16) for h in digests]) / 2.0**48)
+        yield pd.DataFrame({"perm": np.arange(1, n_perm + 1), "part": total})
+
+    null = counts.select(name.alias("key"), "n", "ones", "hits").mapInPandas(run, "perm int, part double").groupBy("perm").agg(F.sum("part").alias("stat"))
     return permutation_p(null, obs)
 
 

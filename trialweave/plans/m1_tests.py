@@ -73,9 +73,20 @@ o AS (SELECT {observed}::DOUBLE AS observed, (SELECT avg(stat) FROM nul) AS null
 SELECT round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round((1.0::DOUBLE + (SELECT count(*) FROM nul WHERE abs(stat - o.null_mean) >= abs(o.observed - o.null_mean) - 1e-9)) / ({N_PERM} + 1), 9) AS p FROM o"""
 
 
-@query("m04_permutation_condition", f"WITH {_LABEL_SQL}, base AS (SELECT event_id, entity, y, viol, 0 AS x FROM lab)," + _perm_sql("CASE WHEN r <= ones THEN y ELSE 0 END", "viol", "sum(y * viol)"))
+N_DRAWS = 1000
+
+
+@query("m04_permutation_condition", f"""WITH {_LABEL_SQL},
+g AS (SELECT entity, count(*) AS n, sum(viol) AS m, sum(y) AS s, sum(y * viol) AS a FROM lab WHERE y IS NOT NULL AND viol IS NOT NULL GROUP BY entity),
+k AS (SELECT entity, n, m, s, unnest(range(greatest(0, m + s - n)::BIGINT, least(m, s)::BIGINT + 1)) AS k, greatest(0, m + s - n) AS low FROM g),
+w AS (SELECT entity, k, low, exp(sum(CASE WHEN k = low THEN 0 ELSE ln((m - k + 1.0::DOUBLE) * (s - k + 1) / (k * (n - m - s + k))) END) OVER (PARTITION BY entity ORDER BY k)) AS w FROM k),
+f AS (SELECT entity, k, low, sum(w) OVER (PARTITION BY entity ORDER BY k) / sum(w) OVER (PARTITION BY entity) AS cdf FROM w),
+u AS (SELECT entity, b AS perm, ('0x' || substr(md5('{SEED}|' || b || '|' || entity), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM g, (SELECT unnest(range(1, {N_DRAWS + 1})) AS b)),
+nul AS (SELECT perm, sum(x)::DOUBLE AS stat FROM (SELECT perm, entity, max(low) + count(*) FILTER (cdf < u) AS x FROM u JOIN f USING (entity) GROUP BY ALL) GROUP BY perm),
+o AS (SELECT sum(a)::DOUBLE AS observed, (SELECT avg(stat) FROM nul) AS null_mean FROM g)
+SELECT round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round((1.0::DOUBLE + (SELECT count(*) FROM nul WHERE abs(stat - o.null_mean) >= abs(o.observed - o.null_mean) - 1e-9)) / ({N_DRAWS} + 1), 9) AS p FROM o""")
 def m04a(spark, sf):
-    g = st.permutation_condition(labelled(spark, sf), "y", "viol", ["entity"], "event_id", N_PERM, SEED)
+    g = st.permutation_condition(labelled(spark, sf), "y", "viol", ["entity"], N_DRAWS, SEED)
     return g.select(r6("observed", "observed"), r6("null_mean", "null_mean"), r6("p", "p", 9))
 
 
@@ -144,11 +155,11 @@ def shifts(spark, sf):
 
 @query("m07_bootstrap_mean", f"""WITH {_SHIFT_SQL},
 i AS (SELECT session, entity, v, row_number() OVER (PARTITION BY session ORDER BY entity) AS i, count(*) OVER (PARTITION BY session) AS n FROM df),
-p AS (SELECT session, b, CAST('0x' || substr(md5('{SEED}|' || CAST(session AS VARCHAR) || '|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS i FROM i, (SELECT unnest(range(1, 101)) AS b)),
+p AS (SELECT session, b, CAST('0x' || substr(md5('{SEED}|' || CAST(session AS VARCHAR) || '|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS i FROM i, (SELECT unnest(range(1, 2001)) AS b)),
 m AS (SELECT session, b, avg(v) AS m FROM p JOIN i USING (session, i) GROUP BY ALL)
 SELECT session, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY session""")
 def m07(spark, sf):
-    return st.bootstrap_mean(shifts(spark, sf), ["session"], "entity", "v", 100, SEED).select("session", r6("low", "low"), r6("high", "high"))
+    return st.bootstrap_mean(shifts(spark, sf), ["session"], "entity", "v", 2000, SEED).select("session", r6("low", "low"), r6("high", "high"))
 
 
 @query("m08_signed_rank", f"""WITH {_WIDE_SQL},
