@@ -45,9 +45,16 @@ def rows_of(names, rows):
     return [names[i] for i in order], sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+def last_place(x):
+    """Size of the last decimal that a rounded value shows."""
+    text = repr(float(x))
+    return 10.0 ** -len(text.partition(".")[2]) if "e" not in text and "n" not in text else 0.0
+
+
 def close(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool):
-        return abs(a - b) <= 2e-4 * max(1.0, abs(a), abs(b))  # last printed digit may tie either way
+        # equal to 1e-9, or one step of the last printed digit (a tie rounds either way)
+        return abs(a - b) <= max(1e-9 * max(1.0, abs(a), abs(b)), 1.01 * min(last_place(a), last_place(b)))
     return a == b
 
 

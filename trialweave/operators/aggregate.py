@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trialweave.functions import design as d
 from trialweave.functions.dist import norm_quantile, t_quantile_col
@@ -43,6 +43,19 @@ def baseline_correct(df: DataFrame, keys: list[str], value: str, missing: float
     return out.withColumn(value, F.col(value) - base).drop("_b")
 
 
+def binned_waveforms(df: DataFrame, keys: list[str], bin_of: Column, value: str, name: str) -> DataFrame:
+    """Mean per time bin of x - mean(x where time < 0); a waveform without a baseline is left as it is.
+
+    The mean of differences is the difference of means, so samples are aggregated once and the baseline is taken off
+    the few bins of a waveform.
+    """
+    early = F.when(F.col("time_ms") < 0, F.col(value))
+    g = df.groupBy(*keys, bin_of.alias("bin")).agg(F.avg(value).alias("_v"), F.sum(early).alias("_s"), F.count(early).alias("_n"))
+    wave = W.partitionBy(*keys)
+    base = F.sum("_s").over(wave) / F.nullif(F.sum("_n").over(wave), F.lit(0))
+    return g.select(*keys, "bin", (F.col("_v") - F.coalesce(base, F.lit(0.0))).alias(name))
+
+
 def summary_columns(value: str, prefix: str = "") -> list[Column]:
     """mean, sd, se (null for one entity) and n of entity values."""
     n = F.count(value)

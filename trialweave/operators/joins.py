@@ -103,16 +103,26 @@ def clock_match(events: DataFrame, segments: DataFrame, keys: list[str], clock:
 
 
 def unique_fallback(events: DataFrame, segments: DataFrame, matched: DataFrame, keys: list[str], event_id: str,
-                    segment_id: str) -> DataFrame:
+                    segment_id: str, open_key: str | None = None) -> DataFrame:
     """Match leftovers by identity only where exactly one candidate is left on each side.
 
-    Counts per key decide uniqueness, so no candidate pairs are built.
+    An event whose ``open_key`` (one of ``keys``) is null is a candidate for any value of it. Counts per key decide
+    uniqueness, so no candidate pairs are built.
     """
+    def alone(df, by, name):
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias(name))
+
     e = events.join(matched, event_id, "left_anti")
-    s = segments.join(matched, segment_id, "left_anti")
-    ec = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(event_id).alias(event_id)).filter("_n = 1").drop("_n")
-    sc = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(segment_id).alias(segment_id)).filter("_n = 1").drop("_n")
-    return ec.join(sc, keys)
+    s = alone(segments.join(matched, segment_id, "left_anti"), keys, segment_id).filter("_n = 1").drop("_n")
+    if open_key is None:
+        return alone(e, keys, event_id).filter("_n = 1").drop("_n").join(s, keys)
+    rest = [k for k in keys if k != open_key]
+    exact = alone(e.filter(F.col(open_key).isNotNull()), keys, event_id)
+    any_ = alone(e.filter(F.col(open_key).isNull()), rest, event_id).withColumnsRenamed({"_n": "_m", event_id: "_any"})
+    found = s.join(exact, keys, "left").join(any_, rest, "left").filter("coalesce(_n, 0) + coalesce(_m, 0) = 1")
+    found = found.select(*keys, F.coalesce(event_id, "_any").alias(event_id), segment_id)
+    once = found.groupBy(event_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    return found.join(once, event_id)
 
 
 def occurrence_join(left: DataFrame, right: DataFrame, key: list[str], short_key: list[str], order_l: list[str],

@@ -108,8 +108,8 @@ def d07(spark, sf):
 # three successive condition events share a stamp and segments re-export them with a jitter, so stamps repeat and
 # segments compete for events; every seventh segment is far off
 _CLOCK_SQL = f"""{MARKERS_SQL},
-ev AS (SELECT recording, code, seq // 3 * 2100 AS abs_us, seq AS event_id FROM markers WHERE code IN (101, 102, 103)),
-sg AS (SELECT recording, code, seq // 3 * 2100 + (seq % 3 - 1) * 900 + CASE WHEN seq % 7 = 0 THEN 500000 ELSE 0 END AS abs_us, seq AS segment_id FROM markers WHERE code IN (101, 102, 103)),
+ev AS (SELECT recording, code, CASE WHEN seq % 5 <> 0 THEN seq % 4 END AS branch, seq // 3 * 2100 AS abs_us, seq AS event_id FROM markers WHERE code IN (101, 102, 103)),
+sg AS (SELECT recording, code, seq % 4 AS branch, seq // 3 * 2100 + (seq % 3 - 1) * 900 + CASE WHEN seq % 7 = 0 THEN 500000 ELSE 0 END AS abs_us, seq AS segment_id FROM markers WHERE code IN (101, 102, 103)),
 en AS (SELECT *, row_number() OVER (PARTITION BY recording, code ORDER BY abs_us, event_id) AS i FROM ev),
 sn AS (SELECT *, row_number() OVER (PARTITION BY recording, code ORDER BY abs_us, segment_id) AS j FROM sg),
 walk(recording, code, i, j, event_id, segment_id, dd) AS (
@@ -124,9 +124,10 @@ c AS (SELECT recording, code, event_id, segment_id, dd FROM walk WHERE event_id
 def _clock_sides(spark, sf):
     m = markers(spark, sf).filter(F.col("code").isin(*d.CONDITION_CODES))
     at = F.floor(F.col("seq") / 3) * 2100
-    ev = m.select("recording", "code", at.alias("abs_us"), F.col("seq").alias("event_id"))
+    branch = F.col("seq") % 4
+    ev = m.select("recording", "code", F.when(F.col("seq") % 5 != 0, branch).alias("branch"), at.alias("abs_us"), F.col("seq").alias("event_id"))
     shift = (F.col("seq") % 3 - 1) * 900 + F.when(F.col("seq") % 7 == 0, 500_000).otherwise(0)
-    sg = m.select("recording", "code", (at + shift).alias("abs_us"), F.col("seq").alias("segment_id"))
+    sg = m.select("recording", "code", branch.alias("branch"), (at + shift).alias("abs_us"), F.col("seq").alias("segment_id"))
     return ev, sg
 
 
@@ -137,14 +138,16 @@ def d08(spark, sf):
     return jn.clock_match(ev, sg, ["recording", "code"], "abs_us", "event_id", "segment_id", 2000)
 
 
+# an event without a branch marker is a candidate for segments of every branch
 @query("d09_unique_fallback", f"""WITH RECURSIVE {_CLOCK_SQL},
-e AS (SELECT recording, code, count(*) AS n, min(event_id) AS event_id FROM ev WHERE event_id NOT IN (SELECT event_id FROM c) GROUP BY ALL),
-s AS (SELECT recording, code, count(*) AS n, min(segment_id) AS segment_id FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM c) GROUP BY ALL)
-SELECT recording, code, e.event_id, s.segment_id FROM e JOIN s USING (recording, code) WHERE e.n = 1 AND s.n = 1""")
+e AS (SELECT * FROM ev WHERE event_id NOT IN (SELECT event_id FROM c)), s AS (SELECT * FROM sg WHERE segment_id NOT IN (SELECT segment_id FROM c)),
+s1 AS (SELECT recording, code, branch, min(segment_id) AS segment_id FROM s GROUP BY ALL HAVING count(*) = 1),
+p AS (SELECT s1.*, e.event_id, count(*) OVER (PARTITION BY segment_id) AS n FROM s1 JOIN e ON e.recording = s1.recording AND e.code = s1.code AND (e.branch = s1.branch OR e.branch IS NULL))
+SELECT recording, code, branch, event_id, segment_id FROM p WHERE n = 1 QUALIFY count(*) OVER (PARTITION BY event_id) = 1""")
 def d09(spark, sf):
     ev, sg = _clock_sides(spark, sf)
     hit = jn.clock_match(ev, sg, ["recording", "code"], "abs_us", "event_id", "segment_id", 2000).select("event_id", "segment_id")
-    return jn.unique_fallback(ev, sg, hit, ["recording", "code"], "event_id", "segment_id")
+    return jn.unique_fallback(ev, sg, hit, ["recording", "code", "branch"], "event_id", "segment_id", open_key="branch")
 
 
 @query("d10_occurrence_join", f"""WITH {TRIALS_SQL},

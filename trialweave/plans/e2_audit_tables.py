@@ -168,8 +168,7 @@ bins AS (SELECT entity, session, condition, marker, sensor, (time_ms + 100) // 4
 
 def binned(spark, sf):
     keys = ["entity", "session", "condition", "marker", "sensor"]
-    s = ag.baseline_correct(samples(spark, sf).drop("region", "source"), keys, "amplitude", missing=0.0)
-    return s.groupBy(*keys, F.floor((F.col("time_ms") + 100) / 40).alias("bin")).agg(F.avg("amplitude").alias("v"))
+    return ag.binned_waveforms(samples(spark, sf), keys, F.floor((F.col("time_ms") + 100) / 40), "amplitude", "v")
 
 
 @query("e35_time_bins", f"""WITH {_BIN_SQL} SELECT session, condition, sensor, bin, CAST(count(*) AS BIGINT) AS n_trials, round(avg(v), 6) AS mean_value FROM bins GROUP BY ALL""")
