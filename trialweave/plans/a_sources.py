@@ -320,11 +320,12 @@ def a25(spark, sf):
 
 
 @query("a28_table_profile", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for t in _TABLES) + """)
-SELECT table_name, column_name, n_rows, CASE WHEN table_name IN ('part', 'pages') THEN 'starts with p' WHEN table_name = 'lineitem' THEN 'order lines' ELSE 'any table' END AS description
-FROM c JOIN (SELECT table_name, column_name FROM information_schema.columns) USING (table_name)""")
+SELECT table_name, column_name, CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string'
+ WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' WHEN data_type = 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS class, n_rows, CASE WHEN table_name IN ('part', 'pages') THEN 'starts with p' WHEN table_name = 'lineitem' THEN 'order lines' ELSE 'any table' END AS description
+FROM c JOIN (SELECT table_name, column_name, data_type FROM information_schema.columns) USING (table_name)""")
 def a28(spark, sf):
     p = so.profile({t: table(spark, sf, t) for t in _TABLES}, [(".*", "any table"), ("p.*s?", "starts with p"), ("line.*em", "order lines")])
-    return p.select("table_name", "column_name", "n_rows", "description")
+    return p.select("table_name", "column_name", "class", "n_rows", "description")
 
 
 @query("a29_export_inventory", """
