@@ -27,10 +27,11 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str, *extra: C
         F.min(F.struct(*order)).alias("first_at"), F.max(F.struct(*order)).alias("last_at"), *extra)
 
 
-def run_text(run_rows: DataFrame, keys: list[str], value: str, sep: str = "->") -> DataFrame:
-    """The collapsed sequence as one string per key (the string itself is the result)."""
+def run_text(run_rows: DataFrame, keys: list[str], value: str, sep: str = "->", size: int = 1000) -> DataFrame:
+    """The collapsed sequence per key as text, in numbered parts of at most ``size`` runs (from 0)."""
     listed = F.array_sort(F.collect_list(F.struct("run_no", value)))
-    return run_rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r[value]), sep).alias("sequence"))
+    part = F.floor((F.col("run_no") - 1) / size).alias("part")
+    return run_rows.groupBy(*keys, part).agg(F.array_join(F.transform(listed, lambda r: r[value]), sep).alias("sequence"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, stat: str, threshold: Column) -> DataFrame:

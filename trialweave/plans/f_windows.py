@@ -60,7 +60,8 @@ def f05(spark, sf):
 
 @query("f05_run_text", """
 WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
-SELECT conv_id, string_agg(role, '->' ORDER BY turn) AS sequence FROM l WHERE p IS NULL OR p <> role GROUP BY conv_id""")
+, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM l WHERE p IS NULL OR p <> role)
+SELECT conv_id, (n - 1) // 1000 AS part, string_agg(role, '->' ORDER BY turn) AS sequence FROM r GROUP BY ALL""")
 def f05_text(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     return wn.run_text(wn.runs(c, ["conv_id"], ["turn"], "role"), ["conv_id"], "role")

@@ -31,8 +31,8 @@ def write_csv(df: DataFrame, path: str, input_root: str) -> str:
 
 
 def write_cells(df: DataFrame, path: str, input_root: str, by: list[str]) -> str:
-    """One directory per cell; rows of a cell are first brought together so each task writes few files."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(guard_output(path, input_root))
+    """One directory per cell; rows of a cell are brought together as far as partition sizes allow, a large cell is split."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(guard_output(path, input_root))
     return path
 
 
