@@ -27,6 +27,15 @@ def test_cascade_is_exact(spark):
         assert len(got) == 3051 and {r.key for r in got if r.yes} == set(listed)
 
 
+def test_shards_without_listed_keys(spark):
+    keys = [f"k{i}" for i in range(400)]
+    universe = spark.createDataFrame([(k,) for k in keys], "key string")
+    cascade = url_filters.build_cascade(universe, universe.where("key IN ('k1', 'k2', 'k3', 'k4', 'k5', 'k6', 'k7', 'k8')"), shard_keys=1, bits_per_key=64)
+    assert cascade.shards == 8 and cascade.frame.count() < 8
+    got = cascade.contains(universe.withColumn("_words_1", F.lit("clash")), F.col("key"), "yes").where("yes").select("key").collect()
+    assert {r.key for r in got} == {f"k{i}" for i in range(1, 9)}
+
+
 def test_judged_urls(spark):
     rows = [
         (1, "http://WWW.Example.com/en/a?x#y"), (2, "https://a.example.com/en/"), (3, "https://a.example.com/EN/"), (4, "ftp://b.NET/es/q"), (5, "http://b.net/de/"), (6, None), (7, "no scheme.com/en/"), (8, "x://bad.org"),

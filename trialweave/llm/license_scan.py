@@ -267,17 +267,17 @@ def count_words(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: Sequence[tuple[str, int, str, str]] | None = None, gate: Callable[[Column], Column] = default_gate) -> DataFrame:
-    """``docs`` plus n_words, found (every place) and kept (places after suppression).
+    """``docs`` plus n_words, found (every place) and kept (places after suppression); columns of these names are replaced.
 
     ``gate`` must hold (of the lower-cased text) wherever a rule can match.
     """
-    norm, found = free_name(docs, "_norm"), free_name(docs, "found")
+    norm = free_name(docs, "_norm")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<label:string,priority:int,low:int,high:int>>")
     gated = docs.withColumn("n_words", count_words(text))
     gated = gated.withColumn(norm, F.when(gate(ascii_lower(text)), normalise(text)))
-    gated = gated.withColumn(found, F.when(F.col(norm).isNotNull(), detections(F.col(norm), rules or signature_rules())).otherwise(none)).drop(norm)
-    return gated.withColumn("kept", unsuppressed(F.col(found)))
+    gated = gated.withColumn("found", F.when(F.col(norm).isNotNull(), detections(F.col(norm), rules or signature_rules())).otherwise(none)).drop(norm)
+    return gated.withColumn("kept", unsuppressed(F.col("found")))
 
 
 @query("op4_license_scan")

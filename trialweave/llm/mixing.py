@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from trialweave.llm import query
-from trialweave.llm.common import table
+from trialweave.llm.common import free_name, table
 from trialweave.runtime import pin
 
 CELL_BITS = 12
@@ -101,10 +101,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     ``levels``: name → expression, outermost first. ``budget``: an aggregate over ``tokens``, by default their sum.
     The weights are a short, fixed table; sources without a weight of their own have ``default_weight``.
     """
-    names = [f"_n{i}" for i in range(len(levels))]
+    names = [free_name(docs, f"_n{i}") for i in range(len(levels))]
+    t_tokens, t_epoch, t_full, t_end, t_times = (free_name(docs, n) for n in ("_tokens", "_epoch", "_full", "_end", "_times"))
     counted = count_words(F.col(text_col)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("bigint")
-    placed = docs.select("*", *[_name(c).alias(n) for n, c in zip(names, levels.values())], counted.alias("_tokens"))
-    narrow = pin(placed.select(*names, F.col(id_col).alias("_id"), F.col("_tokens").alias("tokens")))
+    placed = docs.select("*", *[_name(c).alias(n) for n, c in zip(names, levels.values())], counted.alias(t_tokens))
+    narrow = pin(placed.select(*names, F.col(id_col).alias("_id"), F.col(t_tokens).alias("tokens")))
     leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     quotas = leaf_quotas(leaves, weights, F.sum("tokens") if budget is None else budget, max_epochs, default_weight)
     full = F.expr("coalesce(quota div nullif(tokens, 0), 0)")
@@ -121,10 +122,10 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Sequence[Mapping
     inside = inside.join(second, names).where(F.shiftright("key", shift2) == F.col("cell")).withColumn("rest", F.col("rest") - F.col("before"))
     ends = _prefix_end(inside.groupBy(*names, "rest", "key").agg(F.sum("tokens").alias("tokens")), names, "key").select(*names, F.col("key").alias("_end"))
 
-    cuts = pin(quotas.join(ends, names, "left").select(*names, F.col("full").alias("_full"), F.coalesce("_end", F.lit(0).cast("bigint")).alias("_end")))
-    taken = placed.join(cuts, names).withColumn("_times", F.col("_full") + (_order_key(seed, F.col("_full"), F.col(id_col)) < F.col("_end")).cast("int"))
-    taken = taken.where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
-    return taken.select(*[taken[c] for c in docs.columns], "_epoch", "_tokens")
+    cuts = pin(quotas.join(ends, names, "left").select(*names, F.col("full").alias(t_full), F.coalesce("_end", F.lit(0).cast("bigint")).alias(t_end)))
+    taken = placed.join(cuts, names).withColumn(t_times, F.col(t_full) + (_order_key(seed, F.col(t_full), F.col(id_col)) < F.col(t_end)).cast("int"))
+    taken = taken.where(F.col(t_times) > 0).withColumn(t_epoch, F.explode(F.sequence(F.lit(0), (F.col(t_times) - 1).cast("int"))))
+    return taken.select(*[taken[c] for c in docs.columns], t_epoch, t_tokens)
 
 
 #: Target weights of the query and of the pipeline. Sources share equally.

@@ -72,12 +72,12 @@ class Cascade:
         """``df`` with a boolean column: whether the key is listed. Exact for every key of the universe."""
         if not self.bits:
             return df.withColumn(name, F.lit(False))
-        shard = free_name(df, "_shard")
-        joined = df.withColumn(shard, _shard(key, self.shards)).join(self.frame.withColumnRenamed("shard", shard), shard, "left")
+        shard, words = free_name(df, "_shard"), [free_name(df, f"_words_{i + 1}") for i in range(len(self.bits))]
+        joined = df.withColumn(shard, _shard(key, self.shards)).join(self.frame.toDF(shard, *words), shard, "left")
         answer = F.lit(len(self.bits) % 2 == 1)  # passing every level: a member of the set the last level encodes
         for level in reversed(range(1, len(self.bits) + 1)):
-            answer = F.when(~_passes(key, F.col(f"words_{level}"), level, self.bits[level - 1]), F.lit(level % 2 == 0)).otherwise(answer)
-        return joined.withColumn(name, answer).drop(shard, *[f"words_{i}" for i in range(1, len(self.bits) + 1)])
+            answer = F.when(~_passes(key, F.col(words[level - 1]), level, self.bits[level - 1]), F.lit(level % 2 == 0)).otherwise(answer)
+        return joined.withColumn(name, F.when(F.col(words[0]).isNull(), False).otherwise(answer)).drop(shard, *words)  # a shard without a row lists nothing
 
 
 def _level(keys: DataFrame, level: int, bits: int) -> DataFrame:
@@ -129,8 +129,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     urls = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     cascade = build_cascade(urls.select(F.col("host").alias("key")), listed)
     out = cascade.contains(urls, F.col("host"), "listed").withColumn("_m", rule_match(F.col("host"), F.col("path"), rules))
-    # a shard that lists nothing has no row: its keys are not listed
-    out = out.withColumn("listed", F.coalesce("listed", F.lit(False)))
     verdict = F.coalesce("_m.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", F.col("_m.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
