@@ -1,15 +1,20 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-A document's set is its distinct five-word shingles (64-bit hashes); equal sets form one class. Classes get 128 min-hashes: 32 bands of four name the buckets of candidates, one byte of each hash is kept as signature. A candidate
+A document's set is its distinct five-word shingles (64-bit hashes); equal sets form one class. Classes get 128
+min-hashes: 32 bands of four name the buckets of candidates, one byte of each hash is kept as signature. A candidate
 pair's signatures are compared in batches of 16; after each batch the pair is dropped when the posterior probability
 (uniform prior) of a similarity of at least ``threshold`` is below ``miss``. Survivors are confirmed on the full sets
 with integers, so every link is exact.
 
 Pairs come from buckets without pairing a group with itself. In each round a bucket offers its members one or more
-pivots (1, 4, 16, …); a member is compared with a pivot only while the two are in different components. Confirmed links
-merge components, a bucket whose members are all in one component is finished, and the rounds end when every bucket is
-finished or every member has been a pivot. No bucket, partner list or candidate list is capped. At the threshold itself
-a pair shares no band with probability (1 - 0.75⁴)³² ≈ 5·10⁻⁶.
+pivots, first the one that shares buckets with the most others, later members of small components; a member is compared with a pivot only while the two are
+in different components. Confirmed links merge components, a bucket whose members are all in one component is finished,
+and the rounds end when every bucket is finished or every member has been a pivot. After the first round the shingles
+of the classes left are counted. Pairs that have a shingle of few classes in common are listed by those shingles and
+compared if what they can share allows it. All others can share only shingles of many classes: a member that no set
+size in its bucket could link under that bound is out, the rest goes on. (In a large group of edited copies of one text
+the copies too far from it leave this way: their edits are nearly theirs alone.) No bucket, partner list or candidate
+list is capped. At the threshold itself a pair shares no band with probability (1 - 0.75⁴)³² ≈ 5·10⁻⁶.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; texts with fewer words than a
 shingle have the whole sequence as their one shingle; rows with equal id and text get equal results; when one id has
@@ -24,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import free_name, table
@@ -193,36 +198,95 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def link_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, miss: float) -> DataFrame:
-    """(cls, comp) of every class that has a link. ``classes``: cls, bands, sig; ``sets_of``: (cls) → (cls, set)."""
+def shared_counts(sets: DataFrame, members: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """What classes can share, from how many of them have a shingle. ``members``: cls, n, comp.
+
+    First (cls, h): shingles that more than ``few`` classes have. Second (a, b, r) of different components: how many
+    shingles of 2 to ``few`` classes both have, for pairs with at least one; a shingle gives ``few``² / 2 pairs at most.
+    Two sets share at most the smaller h, plus r.
+    """
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("set", (i * 8 + 1).cast("int"), F.lit(8)))
+    each = sets.join(members, "cls").select("cls", F.explode(cells).alias("shingle"))
+    counted = pin(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= few))
+    own = pin(each.join(counted, "shingle"))
+    fewer = own.groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
+    able = members.join(fewer, "cls", "left").select("cls", (F.col("n") - F.coalesce("u", F.lit(0))).alias("h"))
+    groups = own.where("k > 1").join(members.select("cls", "comp"), "cls").groupBy("shingle").agg(F.collect_list(F.struct("cls", "comp")).alias("g"))
+    pairs = groups.select(F.explode("g").alias("x"), "g").select(F.col("x.cls").alias("a"), F.explode(F.filter("g", lambda y: (y["cls"] > F.col("x.cls")) & (y["comp"] != F.col("x.comp")))).alias("y"))
+    return able, pairs.groupBy("a", F.col("y.cls").alias("b")).agg(F.count(F.lit(1)).alias("r"))
+
+
+def _can_reach(n: Column, s: Column, n2: Column, s2: Column, percent: int) -> Column:
+    """Whether sets of n and n2 shingles, s and s2 of them shareable, can have the asked similarity."""
+    both = F.least(s, s2)
+    return 100 * both >= percent * (n + n2 - both)
+
+
+def _hopeful(open_: DataFrame, percent: int) -> DataFrame:
+    """Bucket members that some size found in their bucket could link; the others are proven to have no partner there."""
+    sizes = open_.groupBy("bucket", F.col("n").alias("size")).agg(F.max("s").alias("most"))
+    sizes = pin(sizes.groupBy("bucket").agg(F.collect_list(F.struct("size", "most")).alias("_sizes")))
+    kept = open_.join(sizes, "bucket").where(F.exists("_sizes", lambda z: _can_reach(F.col("n"), F.col("s"), z["size"], z["most"], percent)))
+    return kept.drop("_sizes")
+
+
+def link_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, miss: float, few: int = 8) -> DataFrame:
+    """(cls, comp) of every class that has a link. ``classes``: cls, n, bands, sig; ``sets_of``: (cls) → (cls, set)."""
     percent = round(100 * threshold)
-    at = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = pin(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    open_ = pin(at.join(shared, "bucket").withColumn("comp", F.col("cls")))
-    wanted = pin(open_.select("cls").distinct())
+    at = classes.select("cls", "n", F.explode("bands").alias("bucket"))
+    shared = pin(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    open_ = pin(at.join(shared, "bucket").withColumn("comp", F.col("cls")).withColumn("s", F.col("n")))
+    hubs = pin(open_.groupBy("cls").agg(F.sum("many").alias("met")))  # who shares buckets with the most others leads
+    open_ = open_.drop("many")
+    wanted = hubs.select("cls")
     sigs = pin(classes.select("cls", "sig").join(wanted, "cls"))
     sets = pin(sets_of(wanted))
-    links, tested, pivots = None, None, 1
-    while True:
-        mixed = pin(open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
-        open_ = pin(open_.join(mixed, "bucket"))
-        ranked = open_.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("cls"))).where(F.col("_k") <= pivots)
-        lead = pin(ranked.select("bucket", F.col("cls").alias("a"), F.col("comp").alias("comp_a")))
-        if lead.isEmpty():
-            break
-        pairs = open_.join(lead, "bucket").where("comp <> comp_a").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    links, tested = None, None
+
+    def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Confirm the links among ``pairs`` not yet compared; ``rows`` with their components after that."""
+        nonlocal links, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pin(pairs)
         tested = pairs if tested is None else pin(tested.unionByName(pairs))
         alive = pin(_prune(_attach(_attach(pairs, sigs, "sig", "a"), sigs, "sig", "b").select("a", "b", "sig_a", "sig_b"), threshold, miss))
         found = pin(_confirm(_attach(_attach(alive, sets, "set", "a"), sets, "set", "b").select("a", "b", "set_a", "set_b"), percent))
-        if not found.isEmpty():
-            links = found if links is None else pin(links.unionByName(found))
-            comp = pin(components(links))
-            open_ = open_.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        if found.isEmpty():
+            return rows
+        links = found if links is None else pin(links.unionByName(found))
+        comp = pin(components(links))
+        return rows.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members lie in several components."""
+        keys = pin(rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
+        return pin(rows.join(keys, "bucket"))
+
+    pivots = 1
+    while not (open_ := mixed(open_)).isEmpty():
+        if pivots == 1:
+            first = open_.join(hubs, "cls").withColumn("_o", -F.col("met"))
+        else:  # members of small components lead: once they have met the others, only one component is left
+            held = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_o")))
+            first = open_.join(held, ["bucket", "comp"])
+        ranked = first.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("_o", "cls"))).where(F.col("_k") <= pivots)
+        lead = pin(ranked.select("bucket", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")))
+        hope = (F.col("comp") != F.col("comp_a")) & _can_reach(F.col("n"), F.col("s"), F.col("n_a"), F.col("s_a"), percent)
+        pairs = open_.join(lead, (open_["bucket"] == lead["bucket"]) & hope).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        open_ = compare(pairs, open_)
         # a pivot has met every member of its bucket
-        open_ = pin(open_.join(lead.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti").select("bucket", "cls", "comp"))
+        open_ = pin(open_.join(lead.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti").select("bucket", "cls", "comp", "n", "s"))
+        if pivots == 1 and not (open_ := mixed(open_)).isEmpty():
+            members = pin(open_.select("cls", "n", "comp").distinct())
+            able, rare = shared_counts(sets, members, few)
+            able = pin(able)
+            side = lambda c: able.join(members, "cls").select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("h").alias(f"h_{c}"))
+            both = F.least("h_a", "h_b") + F.col("r")
+            close = rare.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+            open_ = compare(close.select("a", "b"), open_)
+            # what is left shares only shingles that many have
+            open_ = _hopeful(open_.drop("s").join(able.withColumnRenamed("h", "s"), "cls"), percent)
         pivots *= 4
     if links is None:
         return classes.select("cls", F.col("cls").alias("comp")).limit(0)
@@ -248,12 +312,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     sketch = pin(_sketches(rows, shingle))
     some = sketch.where(F.col("cls").isNotNull())
-    classes = pin(some.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = pin(some.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Full sets from one document per class; texts are read again, and only those of candidates are kept."""
         keys = pin(classes.join(wanted, "cls").select("cls", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th")))
-        texts = rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        # the candidates grow with the corpus: texts are dealt by document at every size
+        texts = rows.join(keys.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
         return _full_sets(texts.select("cls", "text"), shingle).groupBy("cls").agg(F.first("set").alias("set"))
 
     linked = link_classes(classes, sets_of, threshold, miss)
@@ -267,10 +332,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id; rows equal in id and text stay once."""
     found = near_duplicates(docs, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
-    times = free_name(docs, "_times")
+    times, kid, kth = (free_name(docs, n) for n in ("_times", "_kid", "_kth"))
     kept = pin(found.groupBy("id", "th").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias(times)))
-    kept = kept.select(F.col("id").alias("_kid"), F.col("th").alias("_kth"), F.when(F.col("n") == 0, 1).otherwise(F.col(times)).alias(times))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kid")) & (F.xxhash64(docs[text_col]) == F.col("_kth"))).drop("_kid", "_kth")
+    kept = kept.select(F.col("id").alias(kid), F.col("th").alias(kth), F.when(F.col("n") == 0, 1).otherwise(F.col(times)).alias(times))
+    rows = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col(kid)) & (F.xxhash64(docs[text_col]) == F.col(kth))).drop(kid, kth)
     if kept.where(F.col(times) > 1).isEmpty():
         return rows.drop(times)
     return rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_col, text_col])).drop(times)
