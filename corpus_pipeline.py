@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of line runs; those of which nothing is left go. ``n_chars`` follows the text."""
     ship(spark)
-    cut = line_dedup.delete_repeats(docs)
+    cut = line_dedup.delete_repeats(docs, every_window=True)
     lines, gone = cut.columns[-2:]
     left = cut.where((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
     return left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)

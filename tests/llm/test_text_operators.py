@@ -131,6 +131,31 @@ def test_line_dedup_equals_brute_force(spark):
         assert r["_n_lines"] - r["_n_deleted"] == len(expected[r.doc_id, before])
 
 
+def test_line_dedup_finds_every_earlier_run(spark):
+    """All lines of a contiguous run of 20 words or more that stood earlier go, whatever the lines' first occurrences."""
+    rng = np.random.default_rng(5)
+    pool = [" ".join(words(rng, int(rng.integers(1, 30)))) for _ in range(40)]
+    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 12))))) for i in range(80)]
+    short = [" ".join(f"{name}{k}" for k in range(12)) for name in "abcd"]
+    rows += [(100, f"{short[0]}\n{short[2]}"), (101, f"{short[1]}\n{short[3]}"), (102, f"{short[0]}\n{short[1]}"), (103, f"{short[0]}\n{short[1]}")]
+    out = {r.doc_id: r for r in line_dedup.delete_repeats(frame(spark, rows), every_window=True).collect()}
+    plain = {r.doc_id: r for r in line_dedup.delete_repeats(frame(spark, rows)).collect()}
+    seen = set()
+    for doc, text in rows:
+        own, gone = text.split("\n"), set()
+        for low in range(len(own)):
+            for high in range(low, len(own)):
+                run = tuple(own[low : high + 1])
+                if sum(len(s.split()) for s in run) >= 20 and run in seen:
+                    gone |= set(range(low, high + 1))
+                seen.add(run)
+        left = out[doc].text.split("\n") if out[doc]["_n_deleted"] < len(own) else []
+        at = iter(s for i, s in enumerate(own) if i not in gone)
+        assert all(s in at for s in left), doc  # what is left is a part of what the loops leave, in order
+        assert out[doc]["_n_deleted"] >= max(len(gone), plain[doc]["_n_deleted"])
+    assert out[103]["_n_deleted"] == 2
+
+
 def test_line_dedup_odd_rows(spark):
     docs = frame(spark, ODD)
     out = line_dedup.delete_repeats(docs)

@@ -7,6 +7,10 @@ or one such long line, share a fingerprint. Each occurrence of a fingerprint is
 stretches of a document that touch or overlap form one run; runs of at least ``min_words`` words are deleted. The first
 occurrence stays. Blank lines go with the line before them.
 
+A line's first occurrence can stand in another context than the run that is repeated. With ``every_window`` each window
+of lines is therefore a fingerprint too, joined to the first occurrence of that window: all lines of a run of ``window``
+lines or more that stood anywhere earlier are matched. The query and the pipeline use it.
+
 A fingerprint's occurrences are never paired with each other, only with the first, so a line of a million documents
 costs a million rows. Line hashes travel, not texts; the documents are read a second time to cut out the runs.
 
@@ -78,14 +82,18 @@ def _extend(own: list[int], at: int, other: list[int], there: int) -> tuple[int,
     return low, high
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 20) -> DataFrame:
+def _later(place: DataFrame) -> DataFrame:
+    """Rows (doc, pos, fp) that are not their fingerprint's first, with that first (doc, pos)."""
+    first = place.groupBy("fp").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "first")
+    first = pin(first)  # a plain table: a frequent fingerprint's rows can then be split among tasks
+    return place.join(first, "fp").where((F.col("first.doc") != F.col("doc")) | (F.col("first.pos") != F.col("pos")))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 20, every_window: bool = False) -> DataFrame:
     """(id, th, runs): per document the line-position ranges [first, last] to delete; documents without any are left out."""
     seqs = pin(_sequences(docs, id_col, text_col, window, min_words).groupBy("id", "th").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"), F.first("picks").alias("picks")))
     place = seqs.select(F.struct(F.col("id").isNull().alias("no"), "id", "th").alias("doc"), F.explode("picks").alias("pos"), "hashes").select("doc", "pos", F.get("hashes", "pos").alias("fp"))
-    first = place.groupBy("fp").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "first")
-    first = pin(first)  # a plain table: a frequent fingerprint's rows can then be split among tasks
-    hits = place.join(first, "fp").where((F.col("first.doc") != F.col("doc")) | (F.col("first.pos") != F.col("pos")))
-    pairs = hits.groupBy("doc", F.col("first.doc").alias("source")).agg(F.collect_list(F.struct("pos", F.col("first.pos").alias("there"))).alias("at"))
+    pairs = _later(place).groupBy("doc", F.col("first.doc").alias("source")).agg(F.collect_list(F.struct("pos", F.col("first.pos").alias("there"))).alias("at"))
     own = seqs.select(F.struct(F.col("id").isNull().alias("no"), "id", "th").alias("doc"), F.col("hashes").alias("own"), "words")
     other = seqs.select(F.struct(F.col("id").isNull().alias("no"), "id", "th").alias("source"), F.col("hashes").alias("other"))
     joined = pairs.join(own, "doc").join(other, "source").select("doc.id", "doc.th", "at", "own", "other")
@@ -108,6 +116,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "th", "spans"])
 
     spans = joined.mapInArrow(stretch, schema)
+    if every_window:
+        starts = F.transform(F.sequence(F.lit(0), F.size("hashes") - window), lambda i: F.xxhash64(F.slice("hashes", i + 1, window)))
+        whole = seqs.where(F.size("hashes") >= window).select(F.struct(F.col("id").isNull().alias("no"), "id", "th").alias("doc"), F.posexplode(starts).alias("pos", "fp"))
+        spans = spans.unionByName(_later(whole).select("doc.id", "doc.th", F.array(F.struct(F.col("pos").alias("low"), (F.col("pos") + window - 1).alias("high"))).alias("spans")))
     spans = spans.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     merged = F.aggregate(
         "spans",
@@ -138,10 +150,10 @@ def cut_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None, int
     return "\n".join(kept), len(lines), len(gone)
 
 
-def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 20) -> DataFrame:
+def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 20, every_window: bool = False) -> DataFrame:
     """``docs`` with shortened texts and two more columns, last: ``_n_lines`` and ``_n_deleted`` (non-blank lines)."""
     rid, rth, cuts, total, gone = (free_name(docs, n) for n in ("_rid", "_rth", "_runs", "_n_lines", "_n_deleted"))
-    runs = pin(repeated_runs(docs, id_col, text_col, window, min_words)).toDF(rid, rth, cuts)
+    runs = pin(repeated_runs(docs, id_col, text_col, window, min_words, every_window)).toDF(rid, rth, cuts)
     # the runs grow with the corpus: texts are dealt by document at every size
     joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(F.col(rid)) & (F.xxhash64(docs[text_col]) == F.col(rth)), "left").drop(rid, rth)
     schema = docs.select("*", F.lit(0).alias(total), F.lit(0).alias(gone)).schema
@@ -160,5 +172,5 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), every_window=True)
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.length(F.coalesce("text", F.lit(""))).alias("kept_chars"), F.md5("text").alias("text_md5"))
