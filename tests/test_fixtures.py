@@ -19,6 +19,7 @@ from trialweave.operators import signal as sg
 from trialweave.operators import stats as st
 from trialweave.operators import windows as wn
 from trialweave.operators.recode import fill_from_entities, zscore
+from trialweave.plans.standins import N_BINS
 from trialweave.sources import logs as lg
 from trialweave.sources import recordings as rd
 from trialweave.sources import store as so
@@ -212,6 +213,14 @@ def test_cluster_floor_and_family_guard(spark):
         dc.confirmatory_fdr(c, F.lit(True), 10)
 
 
+def test_temporal_generalisation_query_is_whole(spark):
+    """Every training bin against every test bin of the stand-in patterns."""
+    import __spark_entry__ as entry
+
+    cells = {(r.train_bin, r.test_bin) for r in entry.queries()["m27_temporal_generalisation"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()}
+    assert cells == {(a, b) for a in range(N_BINS) for b in range(N_BINS)}
+
+
 def test_convergence_of_independent_chains(spark):
     rng = np.random.default_rng(11)
     rows = [("m", "b", c, i, float(v)) for c in range(4) for i, v in enumerate(rng.normal(size=250))]

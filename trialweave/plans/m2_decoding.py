@@ -149,7 +149,7 @@ def m26b(spark, sf):
 
 @query("m27_temporal_generalisation")
 def m27(spark, sf):
-    return dc.temporal_generalisation(patterns(spark, sf), "entity", "trial", "y", SEED, P)
+    return dc.temporal_generalisation(patterns(spark, sf), "entity", "trial", "y", SEED, P, stride=1)
 
 
 @query("m28_decoding_summary", f"""WITH {CLUSTER_SQL},
