@@ -209,6 +209,47 @@ def test_license_gate_misses_nothing(spark):
     assert a == b
 
 
+def spelled(rx):
+    """Every string of a regex of literals, groups, classes of letters and optional parts."""
+    from re import _parser
+
+    def walk(parts):
+        done = [""]
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                own = [chr(arg)]
+            elif name == "IN":
+                own = [s for part in arg for s in walk([part])]
+            elif name == "SUBPATTERN":
+                own = walk(arg[3])
+            elif name == "BRANCH":
+                own = [s for branch in arg[1] for s in walk(branch)]
+            elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
+                own = ["", *walk(arg[2])]
+            else:
+                raise ValueError(name)
+            done = [a + b for a in done for b in own]
+        return done
+
+    return walk(_parser.parse(rx))
+
+
+def test_license_keywords_miss_nothing(spark):
+    """Every spelling of every name is found as if no rule had a keyword."""
+    from pyspark.sql import functions as F
+
+    names = [line.split(" | ") for line in license_scan.NAMES.strip().splitlines()]
+    texts = sorted({s for _, _, rx in names for s in spelled(rx)})
+    docs = frame(spark, list(enumerate(f"Licensed under {s}." for s in texts))).drop("found").repartition(4)
+    places = lambda rules: {r.doc_id: sorted(map(tuple, r["found"])) for r in license_scan.scan(docs, rules=rules, gate=lambda low: F.lit(True)).select("doc_id", "found").collect()}
+    a = places(None)
+    b = places([(label, priority, "", rx) for label, priority, _, rx in license_scan.signature_rules()])
+    assert [texts[i] for i in b if a[i] != b[i]] == []
+    labels = {texts[i]: {p[0] for p in found} for i, found in a.items()}
+    assert "MS-PL" in labels["ms pl"] and "MS-RL" in labels["ms rl"] and "PSF-2.0" in labels["psf"] and "0BSD" in labels["zero clause bsd"] and "Libpng" in labels["png reference library"]
+
+
 # packing --------------------------------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,8 @@ BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2
 
 #: label | keyword | regex of the name, in normalised words
 NAMES = """
-MIT | mit | (?:expat|mit)(?: x11)?
+MIT | expat | expat(?: x11)?
+MIT | mit | mit(?: x11)?
 Apache-1.0 | apache | apache(?: software)?(?: license)?(?: version)? 1 0
 Apache-1.1 | apache | apache(?: software)?(?: license)?(?: version)? 1 1
 Apache-2.0 | apache | apache(?: software)?(?: license)?(?: version)? (?:v2|2)(?: 0)?
@@ -41,10 +42,12 @@ BSD-2-Clause | bsd | (?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two
 BSD-3-Clause | bsd | (?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause
 BSD-4-Clause | bsd | (?:original|old|4 clause|four clause) bsd|bsd (?:4|four) clause
 BSD | bsd | bsd(?: style)?
-0BSD | 0bsd | (?:bsd zero clause|zero clause bsd|0bsd)
+0BSD | zero clause | (?:bsd zero clause|zero clause bsd)
+0BSD | 0bsd | 0bsd
 ISC | isc | isc
 Zlib | zlib | zlib(?: libpng)?
-Libpng | libpng | (?:png reference library|libpng)(?: version 2)?
+Libpng | png reference | png reference library(?: version 2)?
+Libpng | libpng | libpng(?: version 2)?
 X11 | x11 | x11
 NCSA | ncsa | (?:university of illinois )?ncsa(?: open source)?
 PostgreSQL | postgresql | postgresql
@@ -109,7 +112,8 @@ Artistic-2.0 | artistic | artistic(?: license)? (?:version )?2 0
 Artistic | artistic | artistic
 PHP-3.01 | php | php(?: license)?(?: version)? 3 01
 PHP-3.0 | php | php(?: license)?(?: version)? 3 0
-PSF-2.0 | python | python software foundation(?: license)?(?: version)?(?: 2)?|psf
+PSF-2.0 | python | python software foundation(?: license)?(?: version)?(?: 2)?
+PSF-2.0 | psf | psf
 Ruby | ruby | ruby
 OpenSSL | openssl | openssl(?: ssleay)?
 OFL-1.0 | sil | sil open font license (?:version )?1 0
@@ -119,8 +123,10 @@ AFL-3.0 | academic | academic free license(?: (?:version |v)?3 0)?
 OSL-1.1 | open software | open software license (?:version |v)?1 1
 OSL-2.1 | open software | open software license (?:version |v)?2 1
 OSL-3.0 | open software | open software license(?: (?:version |v)?3 0)?
-MS-PL | microsoft | microsoft public license|ms pl
-MS-RL | microsoft | microsoft reciprocal license|ms rl
+MS-PL | microsoft | microsoft public license
+MS-PL | ms pl | ms pl
+MS-RL | microsoft | microsoft reciprocal license
+MS-RL | ms rl | ms rl
 MS-LPL | microsoft | microsoft limited public license
 NASA-1.3 | nasa | nasa open source agreement(?: (?:version )?1 3)?
 Vim | vim | vim
