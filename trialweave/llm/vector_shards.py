@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from math import ceil
 
 import numpy as np
@@ -51,12 +52,12 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, k: int,
     deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     left = rows.withColumn("shard", deal(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", deal(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("q", F.xxhash64("vector"))
-    kind = "double" if score == "double" else "bigint"
+    kind = pa.float64() if score == "double" else pa.decimal128(38, 0)
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         width = max(longest(own["vector"]), longest(asked["vector"]))
         if not own.num_rows or not asked.num_rows:
-            number, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            number, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         else:
             lost = own["id"].is_null().to_numpy()
             numbers = own["id"].fill_null(0).to_numpy().astype(np.int64)
@@ -64,8 +65,8 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, k: int,
             number, ids, scores = search(numbers, matrix(own["vector"], width), asked["id"].to_numpy().astype(np.int64), matrix(asked["vector"], width))
         found = pa.array(ids, pa.int64(), mask=np.asarray(ids) == np.iinfo(np.int64).max)
         at = pa.array(number, pa.int64())
-        return pa.table({"query_id": asked["id"].cast(pa.int64()).take(at), "q": asked["q"].take(at), "vec_id": found, "score": pa.array(scores, pa.float64() if kind == "double" else pa.int64())})
+        return pa.table({"query_id": asked["id"].cast(pa.int64()).take(at), "q": asked["q"].take(at), "vec_id": found, "score": pa.array(scores if score == "double" else [Decimal(s) for s in scores], kind)})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"query_id bigint, q bigint, vec_id bigint, score {kind}")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"query_id bigint, q bigint, vec_id bigint, score {score}")
     best = W.partitionBy("query_id", "q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
