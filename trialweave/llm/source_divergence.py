@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from trialweave.llm import query
@@ -68,15 +69,21 @@ class Stripes:
 
     def rows(self, most: int = 50_000) -> Iterator[pa.RecordBatch]:
         for lang, frequency in self.df.items():
+            number = {t: i for i, t in enumerate(frequency)}
             own = [(source, c) for (at, source), c in self.counts.items() if at == lang]
-            terms = list(frequency)
+            term = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for _, c in own])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in own])
+            source = np.repeat(np.arange(len(own)), [len(c) for _, c in own])
+            order = np.argsort(term, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))])
+            names = pa.array([s for s, _ in own], pa.string())
+            terms, df = list(frequency), np.fromiter(frequency.values(), np.int64, len(frequency))
             for start in range(0, len(terms), most):
                 part = terms[start : start + most]
-                stripes = [[(s, n) for s, c in own if (n := c.get(t))] for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array([t.decode() for t in part]), pa.array([frequency[t] for t in part], pa.int64()), pa.array([[s for s, _ in x] for x in stripes], STRIPE.field(3).type), pa.array([[n for _, n in x] for x in stripes], STRIPE.field(4).type)],
-                    schema=STRIPE,
-                )
+                edges = ends[start : start + len(part) + 1]
+                cells, offsets = order[edges[0] : edges[-1]], pa.array((edges - edges[0]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (names.take(pa.array(source[cells])), pa.array(count[cells]))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(df[start : start + len(part)]), *lists], schema=STRIPE)
 
 
 def fold_documents(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spill: int = 2_000_000) -> DataFrame:
@@ -105,32 +112,37 @@ def merge_stripes(stripes: DataFrame, min_docs: int) -> DataFrame:
     dealt = stripes.repartition(shuffle_width(stripes), "lang", "term").sortWithinPartitions("lang", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, total = None, 0, Counter()
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pylist([{"lang": k[0], "term": k[1], "df": n, "sources": list(c), "counts": list(c.values())} for k, n, c in out], schema=STRIPE)
-            out.clear()
-            return batch
-
+        key, df, total = None, 0, Counter()  # the stripe that may go on in the next batch
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    if df >= min_docs:
+            out = []
+            if not batch.num_rows:
+                continue
+            lang, term, n = (batch.column(i) for i in range(3))
+            same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+            edges = np.append(np.concatenate([[0], np.flatnonzero(~same) + 1]), batch.num_rows)
+            sums = np.add.reduceat(n.to_numpy(), edges[:-1])
+            for i in np.flatnonzero((sums >= min_docs) | np.isin(np.arange(len(sums)), (0, len(sums) - 1))):
+                # rare stripes inside the batch are never opened; the first and the last may go on from or into another batch
+                own = (lang[int(edges[i])].as_py(), term[int(edges[i])].as_py())
+                if own != key:
+                    if key is not None and df >= min_docs:
                         out.append((key, df, total))
-                    key, df, total = (lang, term), 0, Counter()
-                df += n
-                total.update(dict(zip(sources, counts)))
-            if len(out) > 10_000:
-                yield flush()
+                    key, df, total = own, 0, Counter()
+                df += int(sums[i])
+                for k in range(edges[i], edges[i + 1]):
+                    total.update(dict(zip(batch.column(3)[k].as_py(), batch.column(4)[k].as_py())))
+            if out:
+                yield _stripe_batch(out)
         if key is not None and df >= min_docs:
-            out.append((key, df, total))
-        if out:
-            yield flush()
+            yield _stripe_batch([(key, df, total)])
 
     return dealt.mapInArrow(run, STRIPE_DDL)
 
 
+def _stripe_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"lang": k[0], "term": k[1], "df": n, "sources": list(c), "counts": list(c.values())} for k, n, c in rows], schema=STRIPE)
+
+
 def smoothed(count: np.ndarray, total: np.ndarray, terms: int, add: int) -> np.ndarray:
     """1 + floor(10⁹ · (count + add) / (total + add · terms)), by long division so that nothing overflows."""
     below = total + add * terms
