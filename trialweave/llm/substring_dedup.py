@@ -4,14 +4,14 @@ A window is ``window`` consecutive words. Of any window, wherever it starts, at
 (window + 1) // 2 words at a position divisible by ``block`` lies wholly inside. So every document is a reference whose
 non-overlapping blocks are indexed, and a target whose every rolling run of ``block`` words is probed: a probe that meets
 a block of a document with a smaller id is a hit. Hits are extended to the windows around them, on both sides; a window
-counts when its 128-bit key first stands in a document with a smaller id, and overlapping windows join to maximal
+counts when its 80-bit key first stands in a document with a smaller id, and overlapping windows join to maximal
 repeats, whose words are removed. Windows are judged on the input.
 
-Index and probes travel together, as sorted 40-bit keys packed per shard (about 6 bytes a word); a shard holds a bounded
-number of rows, and only the documents' hits come back. A false hit costs a window key, never a word. A block that would
-fill a shard by itself is found beforehand (tasks count their own blocks) and taken as a hit everywhere: the list has at
-most as many entries as there are shards, by the numbers that make a block hot. Occurrences of a window are never paired; each is
-joined to the smallest id that has it.
+Index and probes travel together, as sorted keys packed per shard (about 6 bytes a word); a shard holds a bounded number
+of rows, and only hits come back. A false hit costs a window key, never a word. Of a key that several texts of a task's
+batch hold, only the smallest id travels (and the smallest whose block it is); the others are hits by that one, so a
+frequent passage brings a row or two per batch to its shard, not one per document. Windows are settled in the same way.
+Texts are dealt once, by document, and read twice from there.
 
 Defined results: null text has no words; words are maximal runs without ASCII white space, unchanged; null ids are larger
 than all others and neither smaller nor larger than each other; repeated ids do not repeat each other; a text of which
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import free_name, shuffle_width, table
@@ -33,8 +33,9 @@ from trialweave.runtime import pin
 
 KEY_BITS = 40
 FLUSH_WORDS = 1 << 20
-FLUSH_DOCS = 30_000
+FLUSH_DOCS = 8_000
 SHARD_ROWS = 2_000_000
+MAX_SHARDS = 1 << 23
 LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(20240911)
 FACTORS = _RNG.integers(1, 1 << 63, (3, 64), dtype=np.uint64) | np.uint64(1)
@@ -68,203 +69,240 @@ def anchor_keys(hashes: np.ndarray, block: int, shards: int) -> np.ndarray:
     return (shard << np.uint64(KEY_BITS)) | (h & np.uint64((1 << KEY_BITS) - 1))
 
 
-class Reader:
-    """Word hashes of texts, and of consecutive texts laid side by side."""
+def batch_hashes(texts: Iterator[bytes | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text, and the hashes of all words side by side."""
+    parts = [(t or b"").split() for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return sizes, np.fromiter((known[w] for p in parts for w in p), np.uint64, int(sizes.sum()))
 
-    def __init__(self) -> None:
-        self.known = WordHashes()
 
-    def hashes(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+def flushes(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, words per text, word hashes) of about FLUSH_WORDS words."""
+    known, held, sizes, hashes = WordHashes(), [], [], []
 
-    def packs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, text hashes, words per text, all word hashes) of about FLUSH_WORDS words."""
-        ids, marks, held = [], [], []
-        words = 0
-        for batch in batches:
-            for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                h = self.hashes(text.as_py())
-                ids.append(i), marks.append(mark), held.append(h)
-                words += len(h)
-                if words >= FLUSH_WORDS or len(ids) >= FLUSH_DOCS:
-                    yield np.array(ids, np.int64), np.array(marks, np.int32), np.array([len(x) for x in held]), np.concatenate(held)
-                    ids, marks, held, words = [], [], [], 0
-        if ids:
-            yield np.array(ids, np.int64), np.array(marks, np.int32), np.array([len(x) for x in held]), np.concatenate(held)
-
-
-def _within(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts side by side: (position, text, whether a block starts there) of every run that lies in one text."""
+    def joined() -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        out = pa.Table.from_batches(held), np.concatenate(sizes), np.concatenate(hashes)
+        held.clear(), sizes.clear(), hashes.clear()
+        return out
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            n, h = batch_hashes((t.as_py() for t in part.column(text)), known)
+            held.append(part), sizes.append(n), hashes.append(h)
+            if sum(map(len, hashes)) >= FLUSH_WORDS or sum(map(len, sizes)) >= FLUSH_DOCS - 1000:
+                yield joined()
+    if held:
+        yield joined()
+
+
+def _within(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts side by side: (position, text, place in the text) of every run of ``size`` words that lies in one text."""
     text = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    own = np.arange(len(text)) - start
-    inside = np.flatnonzero(own + block <= np.repeat(sizes, sizes))
-    return inside, text[inside], own[inside] % block == 0
+    own = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.flatnonzero(own + size <= np.repeat(sizes, sizes))
+    return inside, text[inside], own[inside]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.hash(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
+def _group_edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal rows begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
-def frequent_blocks(rows: DataFrame, block: int, least: int = 32) -> DataFrame:
-    """(h, n): blocks with at least ``least`` occurrences in a task, summed; the row with null h counts all runs."""
+PACK = "shard int, ids binary, marks binary, high binary, low binary, refs binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, runs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for _, _, sizes, hashes in Reader().packs(batches):
-            at, _, first = _within(sizes, block)
-            runs += len(at)
-            more, n = np.unique(rolling(hashes, block, 0)[at[first]], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-            if len(keys) > 4 * FLUSH_WORDS:  # rare ones go; what they lose is below ``least`` at a time
-                keys, counts = keys[counts >= least], counts[counts >= least]
-        hot = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array([*keys[hot].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[hot].tolist(), runs], pa.int64())], names=["h", "n"])
 
-    return rows.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+def _packed(shard: np.ndarray, high: np.ndarray, low: np.ndarray, text: np.ndarray, flags: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries in order of shard as one row per shard; ids and text hashes stand once per text. ``refs`` holds text number and three flags."""
+    edges = np.append(_group_edges(shard), len(shard)) if len(shard) else []
+    out = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        own, ref = np.unique(text[a:b], return_inverse=True)
+        out.append((int(shard[a]), ids[own].tobytes(), marks[own].tobytes(), high[a:b].tobytes(), low[a:b].tobytes(), (ref << 3 | flags[a:b]).astype(np.uint16).tobytes()))
+    for start in range(0, len(out), 64):
+        columns = list(zip(*out[start : start + 64]))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "ids", "marks", "high", "low", "refs"])
+
+
+def _unpacked(group: pa.Table, high: type, low: type) -> tuple[np.ndarray, ...]:
+    """(ids, marks, high, low, flags) of all entries of a shard."""
+    parts = []
+    for i, m, h, l, refs in zip(*(group.column(c).to_pylist() for c in ("ids", "marks", "high", "low", "refs"))):
+        ref = np.frombuffer(refs, np.uint16)
+        parts.append((np.frombuffer(i, np.int64)[ref >> 3], np.frombuffer(m, np.int32)[ref >> 3], np.frombuffer(h, high), np.frombuffer(l, low), ref & 7))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+FOUND = "dest int, ids binary, marks binary, keys binary"
+
+
+def _home(ids: np.ndarray, marks: np.ndarray, shards: int) -> np.ndarray:
+    """The task that a text's hits go to."""
+    h = (ids.view(np.uint64) + marks.astype(np.uint32)) * FACTORS[2, -1]
+    return ((h >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
+
+
+def _sent_home(ids: np.ndarray, marks: np.ndarray, keys: np.ndarray, shards: int) -> pa.Table:
+    """A shard's hits as one row per home."""
+    home = _home(ids, marks, shards)
+    order = np.argsort(home, kind="stable")
+    home, ids, marks, keys = home[order], ids[order], marks[order], keys[order]
+    edges = np.append(_group_edges(home), len(home)) if len(home) else np.zeros(1, np.int64)
+    parts = list(zip(edges[:-1], edges[1:]))
+    binary = lambda x: pa.array([x[a:b].tobytes() for a, b in parts], pa.binary())
+    return pa.Table.from_arrays([pa.array(home[edges[:-1]].astype(np.int32)), binary(ids), binary(marks), binary(keys)], names=["dest", "ids", "marks", "keys"])
+
+
+def _per_text(found: DataFrame) -> DataFrame:
+    """(id, mark, keys): one row per text with the list of its keys."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        ids, marks, keys = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("marks", np.int32), ("keys", np.int64)))
+        order = np.lexsort((keys, marks, ids))
+        ids, marks, keys = ids[order], marks[order], keys[order]
+        once = _group_edges(ids, marks, keys) if len(ids) else np.zeros(0, np.int64)
+        ids, marks, keys = ids[once], marks[once], keys[once]
+        edges = _group_edges(ids, marks) if len(ids) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(ids)).astype(np.int32)), pa.array(keys))
+        return pa.Table.from_arrays([pa.array(ids[edges]), pa.array(marks[edges]), lists], names=["id", "mark", "keys"])
+
+    return found.groupBy("dest").applyInArrow(merge, "id bigint, mark int, keys array<bigint>")
+
 
+ALIGNED, CROWDED, SETTLED = 1, 2, 4
 
-def _pack_probes(rows: DataFrame, block: int, shards: int, hot: np.ndarray) -> DataFrame:
-    """One row per task flush and shard: sorted keys (40 bits, in two planes), the texts they stand in, and block marks.
 
-    Texts that hold a hot key are named in rows without keys, dealt round the shards.
-    """
-    names = ["shard", "ids", "marks", "high", "low", "refs"]
+def probe_packs(rows: DataFrame, block: int, shards: int) -> DataFrame:
+    """Anchors and probes of (id, mark, text) rows. Flags: the text's own block; others of the batch hold the key; a hit already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (ids, marks, sizes, hashes) in enumerate(Reader().packs(batches)):
-            at, text, first = _within(sizes, block)
+        for held, sizes, hashes in flushes(batches, 2):
+            ids, marks = held.column(0).to_numpy(), held.column(1).to_numpy().astype(np.int32)
+            at, text, place = _within(sizes, block)
+            if not len(at):
+                continue
             keys = anchor_keys(hashes, block, shards)[at]
-            out = []
-            if len(hot):
-                found = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
-                named = np.unique(text[found])
-                if len(named):
-                    out.append((int(ids[named[0]] + turn) % shards, ids[named].tobytes(), marks[named].tobytes(), b"", b"", b""))
-                keys, text, first = keys[~found], text[~found], first[~found]
-            order = np.argsort(keys, kind="stable")
-            keys, text, first = keys[order], text[order], first[order]
-            if len(keys):
-                new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])]))
-                first = np.maximum.reduceat(first, new)
-                keys, text = keys[new], text[new]
-                shard = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
-                for low, high in zip(edges[:-1], edges[1:]):
-                    own, ref = np.unique(text[low:high], return_inverse=True)
-                    part = keys[low:high]
-                    out.append((int(shard[low]), ids[own].tobytes(), marks[own].tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes(), part.astype(np.uint32).tobytes(), (ref.astype(np.uint16) << 1 | first[low:high]).astype(np.uint16).tobytes()))
-            for start in range(0, len(out), 64):
-                columns = list(zip(*out[start : start + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
-
-    return rows.mapInArrow(run, "shard int, ids binary, marks binary, high binary, low binary, refs binary")
-
-
-def shard_hits(ids: np.ndarray, marks: np.ndarray, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, marks, keys) of the probes that meet a block of a smaller id, and of the blocks so met."""
-    order = np.lexsort((ids, keys))
-    ids, marks, keys, first = ids[order], marks[order], keys[order], first[order]
-    edge = np.concatenate([[True], keys[1:] != keys[:-1]])
-    group = np.cumsum(edge) - 1
-    least = np.minimum.reduceat(np.where(first, ids, LAST), np.flatnonzero(edge))[group]
-    hit = ids > least
-    met = np.maximum.reduceat(hit, np.flatnonzero(edge))[group]
-    keep = hit | (first & met)
-    return ids[keep], marks[keep], keys[keep]
-
-
-def _hits(packs: DataFrame) -> DataFrame:
-    """(id, mark, keys): per text and shard, the keys at which it meets another; no keys where only a hot one did."""
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int32()), ("keys", pa.list_(pa.int64()))])
+            order = np.lexsort((ids[text], keys))
+            keys, text, aligned = keys[order], text[order], (place % block == 0)[order]
+            edges = _group_edges(keys, ids[text], text)
+            aligned = np.maximum.reduceat(aligned, edges)
+            keys, text = keys[edges], text[edges]
+            edges = _group_edges(keys)
+            group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(keys))))
+            own = ids[text]
+            least = own[edges][group]
+            block_least = np.minimum.reduceat(np.where(aligned, own, LAST), edges)[group]
+            settled = own > least
+            crowded = np.maximum.reduceat(settled, edges)[group]
+            travel = ~settled | (aligned & (own == block_least))
+            flags = aligned * ALIGNED + (crowded & ~settled) * CROWDED
+            flags[settled & travel] = ALIGNED
+            shard = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+            yield from _packed(shard[travel], (keys[travel] >> np.uint64(32)).astype(np.uint32), keys[travel].astype(np.uint32), text[travel], flags[travel], ids, marks)
+            if settled.any():
+                near = _home(ids, marks, shards)[text[settled]]  # settled hits only pass through: dealt by document
+                order = np.argsort(near, kind="stable")
+                k, t = keys[settled][order], text[settled][order]
+                yield from _packed(near[order], (k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), t, np.full(len(k), SETTLED), ids, marks)
+
+    return rows.mapInArrow(run, PACK)
+
+
+def probe_hits(packs: DataFrame, shards: int) -> DataFrame:
+    """(id, mark, keys): per text the keys at which it meets a block of a smaller id, and its own blocks so met."""
 
     def judge(group: pa.Table) -> pa.Table:
-        shard = np.uint64(group.column("shard")[0].as_py())
-        every = {c: group.column(c).to_pylist() for c in ("ids", "marks", "high", "low", "refs")}
-        ids, marks, keys, first, named = [], [], [], [], []
-        for i, m, high, low, refs in zip(*every.values()):
-            own, mark = np.frombuffer(i, np.int64), np.frombuffer(m, np.int32)
-            if not high:
-                named.append((own, mark))
+        ids, marks, high, low, flags = _unpacked(group, np.uint32, np.uint32)
+        keys = high.astype(np.uint64) << np.uint64(32) | low
+        settled = flags == SETTLED
+        known = ids[settled], marks[settled], keys[settled]
+        ids, marks, keys, flags = (x[~settled] for x in (ids, marks, keys, flags))
+        if len(ids):
+            order = np.lexsort((ids, keys))
+            ids, marks, keys, flags = ids[order], marks[order], keys[order], flags[order]
+            edges = _group_edges(keys)
+            group_of = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(keys))))
+            aligned = (flags & ALIGNED) > 0
+            least = np.minimum.reduceat(np.where(aligned, ids, LAST), edges)[group_of]
+            hit = ids > least
+            met = np.maximum.reduceat(hit | ((flags & CROWDED) > 0), edges)[group_of]
+            keep = hit | (aligned & met)
+            known = tuple(np.concatenate([a, b[keep]]) for a, b in zip(known, (ids, marks, keys)))
+        return _sent_home(*known, shards)
+
+    return _per_text(packs.groupBy("shard").applyInArrow(judge, FOUND))
+
+
+def window_packs(texts: DataFrame, window: int, block: int, shards: int) -> DataFrame:
+    """Keys of the windows around the hits of (id, mark, text, keys) rows; of a batch's equal windows the smallest id travels, the others are settled."""
+    reach = window - block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, sizes, hashes in flushes(batches, 2):
+            ids, marks = held.column(0).to_numpy(), held.column(1).to_numpy().astype(np.int32)
+            at, text, _ = _within(sizes, block)
+            lists = held.column(3).combine_chunks()
+            if not len(at):
                 continue
-            ref = np.frombuffer(refs, np.uint16)
-            ids.append(own[ref >> 1]), marks.append(mark[ref >> 1]), first.append((ref & 1).astype(bool))
-            keys.append(np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32).astype(np.uint64))
-        parts = [pa.Table.from_arrays([pa.array(a), pa.array(m), pa.array([[]] * len(a), schema.field(2).type)], schema=schema) for a, m in named]
-        if keys:
-            ids, marks, keys = shard_hits(*(np.concatenate(x) for x in (ids, marks, keys, first)))
-            order = np.lexsort((marks, ids))
-            ids, marks, keys = ids[order], marks[order], (keys[order] | shard << np.uint64(KEY_BITS)).view(np.int64)
-            if len(ids):
-                edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(ids)).astype(np.int32)), pa.array(keys))
-                parts.append(pa.Table.from_arrays([pa.array(ids[edges]), pa.array(marks[edges]), lists], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    return packs.groupBy("shard").applyInArrow(judge, "id bigint, mark int, keys array<bigint>")
+            salt = lambda t: t.astype(np.uint64) * FACTORS[0, -1]  # noqa: E731  a key of another text is no hit
+            wanted = lists.flatten().to_numpy().view(np.uint64) + salt(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()))
+            hits = at[np.isin(anchor_keys(hashes, block, shards)[at] + salt(text), wanted)]
+            turns = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(turns, np.maximum(hits - reach, 0), 1)
+            np.add.at(turns, hits + 1, -1)
+            at, text, _ = _within(sizes, window)
+            near = np.cumsum(turns)[at] > 0
+            at, text = at[near], text[near]
+            w1, w2 = (rolling(hashes, window, f)[at] for f in (1, 2))
+            low = w2.astype(np.uint16)
+            shard = ((w1 >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((ids[text], low, w1, shard))
+            shard, w1, low, text = (x[order] for x in (shard, w1, low, text))
+            edges = _group_edges(w1, low, text) if len(w1) else np.zeros(0, np.int64)
+            shard, w1, low, text = (x[edges] for x in (shard, w1, low, text))
+            if not len(w1):
+                continue
+            edges = _group_edges(w1, low)
+            group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(w1))))
+            settled = ids[text] > ids[text][edges][group]
+            go = ~settled
+            yield from _packed(shard[go], w1[go], low[go], text[go], np.zeros(go.sum(), np.int64), ids, marks)
+            to = _home(ids, marks, shards)[text[settled]]
+            order = np.argsort(to, kind="stable")
+            yield from _packed(to[order], w1[settled][order], low[settled][order], text[settled][order], np.full(len(to), SETTLED), ids, marks)
 
+    return texts.mapInArrow(run, PACK)
 
-def _spans(starts: np.ndarray, size: int) -> np.ndarray:
-    """Positions in any of the runs of ``size`` that begin at ``starts``."""
-    return np.unique((starts[:, None] + np.arange(size)).ravel())
 
+def settled_windows(packs: DataFrame, shards: int) -> DataFrame:
+    """(id, mark, keys): the windows of each text that stand in a smaller id."""
 
-def _window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return rolling(hashes, window, 1).view(np.int64), rolling(hashes, window, 2).view(np.int64)
+    def judge(group: pa.Table) -> pa.Table:
+        ids, marks, w1, low, flags = _unpacked(group, np.uint64, np.uint16)
+        settled = flags == SETTLED
+        known = ids[settled], marks[settled], w1[settled]
+        ids, marks, w1, low = (x[~settled] for x in (ids, marks, w1, low))
+        if len(ids):
+            order = np.lexsort((ids, low, w1))
+            ids, marks, w1, low = ids[order], marks[order], w1[order], low[order]
+            edges = _group_edges(w1, low)
+            later = ids > ids[edges][np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(w1))))]
+            known = tuple(np.concatenate([a, b[later]]) for a, b in zip(known, (ids, marks, w1)))
+        return _sent_home(*known, shards)
 
+    return _per_text(packs.groupBy("shard").applyInArrow(judge, FOUND))
 
-def _candidates(texts: DataFrame, window: int, block: int, shards: int, hot: np.ndarray) -> DataFrame:
-    """(w1, w2, id, mark): distinct keys of the windows around each text's hits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                out = []
-                for i, mark, text, keys in zip(*(c.to_pylist() for c in part.columns)):
-                    h = reader.hashes(text)
-                    if len(h) < window:
-                        continue
-                    hits = np.flatnonzero(np.isin(anchor_keys(h, block, shards), np.concatenate([np.array(keys, np.int64).view(np.uint64), hot])))
-                    around = _spans(hits - (window - block), window - block + 1)
-                    around = around[(around >= 0) & (around <= len(h) - window)]
-                    if len(around):
-                        both = np.unique(np.stack(_window_keys(h, window), axis=1)[around], axis=0)
-                        out.append((both, np.full(len(both), i), np.full(len(both), mark, np.int32)))
-                if out:
-                    both = np.concatenate([x[0] for x in out])
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], names=["w1", "w2", "id", "mark"])
-
-    return texts.mapInArrow(run, "w1 bigint, w2 bigint, id bigint, mark int")
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """(id, mark, keys): per text (id, hash of the text) the keys of its windows that stand in a smaller id."""
-    block = (window + 1) // 2
-    rows = _rows(docs, id_col, text_col)
-    counted = pin(frequent_blocks(rows, block))
-    runs = counted.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = min(max(shuffle_width(docs), -(-runs // SHARD_ROWS)), 1 << 23)
-    # as many blocks as make a quarter of a shard's share: of these there are fewer than 4 * shards
-    over = max(runs // (4 * shards * block), 32)
-    raw = np.array([r.h for r in counted.where((F.col("n") >= over) & F.col("h").isNotNull()).select("h").collect()], np.int64).view(np.uint64)
-    hot = np.unique(((raw >> np.uint64(KEY_BITS)) % np.uint64(shards)) << np.uint64(KEY_BITS) | raw & np.uint64((1 << KEY_BITS) - 1))
-    hits = pin(_hits(_pack_probes(rows, block, shards, hot)))
-    per_text = hits.groupBy("id", "mark").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    texts = rows.join(per_text.hint("merge"), ["id", "mark"]).select("id", "mark", "text", "keys")
-    found = pin(_candidates(texts, window, block, shards, hot))
-    first = pin(found.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least"))
-    later = found.join(first, ["w1", "w2"]).where("id > least")
-    return later.groupBy("id", "mark").agg(F.collect_set(F.struct("w1", "w2")).alias("keys")).select("id", "mark", F.col("keys.w1").alias("k1"), F.col("keys.w2").alias("k2"))
-
-
-def keep_words(words: list[bytes], hashes: np.ndarray, window: int, keys: set[tuple[int, int]]) -> list[bytes]:
+def _spans(starts: np.ndarray, size: int) -> np.ndarray:
+    """Positions in any of the runs of ``size`` that begin at ``starts``."""
+    return np.unique((starts[:, None] + np.arange(size)).ravel())
+
+
+def keep_words(words: list[bytes], hashes: np.ndarray, window: int, keys: np.ndarray) -> list[bytes]:
     """The words that no window among ``keys`` covers."""
-    w1, w2 = _window_keys(hashes, window)
-    starts = np.array([i for i, k in enumerate(zip(w1.tolist(), w2.tolist())) if k in keys], np.int64)
+    starts = np.flatnonzero(np.isin(rolling(hashes, window, 1), keys))
     if not len(starts):
         return words
     kept = np.ones(len(words), bool)
@@ -274,27 +312,38 @@ def keep_words(words: list[bytes], hashes: np.ndarray, window: int, keys: set[tu
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """``docs`` with two more columns, last, ``_n_words`` and ``_n_removed``. Texts that lose words become the rest, joined by single spaces."""
-    found = pin(repeated_windows(docs, id_col, text_col, window))
-    rid, rmark, k1, k2, total, gone = (free_name(docs, n) for n in ("_rid", "_rmark", "_k1", "_k2", "_n_words", "_n_removed"))
-    own: Column = F.coalesce(docs[id_col].cast("bigint"), F.lit(LAST))
-    joined = docs.join(found.toDF(rid, rmark, k1, k2).hint("merge"), (own == F.col(rid)) & (F.hash(docs[text_col]) == F.col(rmark)), "left").drop(rid, rmark)
+    block = (window + 1) // 2
+    own, mark, total, gone, kid, kmark, kept = (free_name(docs, n) for n in ("_own", "_mark", "_n_words", "_n_removed", "_kid", "_kmark", "_keys"))
+    named = docs.withColumns({own: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)), mark: F.hash(text_col)})
+    rows = named.select(F.col(own).alias("id"), F.col(mark).alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    shards = min(max(shuffle_width(docs), -(-size // (6 * SHARD_ROWS))), MAX_SHARDS)  # words are counted as six bytes
+    hits = pin(probe_hits(probe_packs(rows, block, shards), shards))
+    at, n_columns = docs.columns.index(text_col), len(docs.columns)
+
+    def with_keys(found: DataFrame, how: str) -> DataFrame:
+        """Texts with the keys found in them. Both joins take all columns, so that they read the same shuffled rows."""
+        lists = found.toDF(kid, kmark, kept)
+        return named.join(lists.hint("merge"), (F.col(own) == F.col(kid)) & (F.col(mark) == F.col(kmark)), how)
+
+    near = with_keys(hits, "inner").select(F.col(own).alias("id"), F.col(mark).alias("mark"), F.col(text_col).cast("binary").alias("text"), F.col(kept).alias("keys"), F.struct(*docs.columns).alias("row"))
+    found = settled_windows(window_packs(near, window, block, shards), shards)
     schema = docs.select("*", F.lit(0).cast("bigint").alias(total), F.lit(0).cast("bigint").alias(gone)).schema
-    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        known = WordHashes()
         for batch in batches:
             texts, sizes, removed = [], [], []
-            for text, a, b in zip(batch.column(at).to_pylist(), *(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))):
+            for text, keys in zip(batch.column(at).to_pylist(), batch.column(n_columns)):
                 words = (text or "").encode().split()
-                kept = words if a is None else keep_words(words, reader.hashes(text.encode()), window, set(zip(a, b)))
+                kept = keep_words(words, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, keys.values.to_numpy().view(np.uint64)) if keys.is_valid else words
                 texts.append(text if len(kept) == len(words) else b" ".join(kept).decode())
                 sizes.append(len(words)), removed.append(len(words) - len(kept))
-            columns = list(batch.columns[:-2])
+            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-2], total, gone])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], total, gone])
 
-    return joined.mapInArrow(run, schema)
+    return with_keys(found, "left").select(*docs.columns, kept).mapInArrow(run, schema)
 
 
 SQL = r"""
