@@ -1,20 +1,23 @@
 """Multivariate pattern classification over groups: additive statistics, leave-one-entity-out, nulls, clusters.
 
 Nothing here gathers a group: discriminants are built from sums that add over entities, so a fold is
-"total minus own"; permutations are digest-ordered label shuffles keyed by (permutation, entity).
+"total minus own". The permutation grid takes all draws of an entity's labels as one bit matrix (``permute``): its class
+sums per draw, and its held-out scores per draw, are one matrix product per time bin.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_index, small_side, with_group_stats
-from trialweave.operators.stats import auc_from_counts, hash_order, permuted_indicator
+from trialweave.operators.permute import SPLIT, Chunks, draw_constants, label_chunks, label_matrix, list_rows, stratum_name, sum_arrays
+from trialweave.operators.skew import exact_quantiles, mid_ranks, null_safe_join, scan_index, small_side, with_group_stats
+from trialweave.operators.stats import auc_from_counts, hash_order
 from trialweave.operators.windows import adjust_p, islands
 from trialweave.runtime import pin
 
@@ -67,7 +70,7 @@ def discriminant(moments: np.ndarray, p: int, ridge: float = RIDGE) -> np.ndarra
     iu = np.triu_indices(p)
     full[:, iu[0], iu[1]] = m[:, 2 + 2 * p:]
     full = full + np.transpose(np.triu(full, 1), (0, 2, 1))
-    ok = (n0 > 0) & (n1 > 0) & (n0 + n1 > 2)
+    ok = (n0 > 0.5) & (n1 > 0.5) & (n0 + n1 > 2.5)  # counts, up to the rounding of vector sums
     a0, a1 = np.where(ok, n0, 1.0)[:, None], np.where(ok, n1, 1.0)[:, None]
     m0, m1 = s0 / a0, s1 / a1
     scatter = full - a0[:, :, None] * m0[:, :, None] * m0[:, None, :] - a1[:, :, None] * m1[:, :, None] * m1[:, None, :]
@@ -118,21 +121,175 @@ def leave_one_entity_out(rows: DataFrame, keys: list[str], entity: str, pattern:
     return folds.groupBy(*keys).agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def label_grid(trials: DataFrame, keys: list[str], entity: str, unit: str, y: str, n_perm: int, seed: int) -> DataFrame:
-    """Observed labels (perm 0) and ``n_perm`` within-entity shuffles, one row per trial and permutation."""
-    base = trials.select(*keys, entity, unit, y)
-    null = permuted_indicator(base, keys + [entity], unit, y, n_perm, seed)
-    null = null.select(*keys, entity, unit, "perm", F.col("shuffled").alias(y))
-    return base.withColumn("perm", F.lit(0)).select(*keys, entity, unit, "perm", y).unionByName(null)
+def _patterns_of(rows: pa.Table, p: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per time bin: row numbers and their patterns."""
+    bins = rows.column("time_bin").to_numpy()
+    flat = rows.column("pattern").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+    return {int(t): (np.flatnonzero(bins == t), flat[bins == t]) for t in np.unique(bins)}
+
+
+def _trials_of(rows: pa.Table, unit: str, y: str) -> tuple[list, np.ndarray, np.ndarray]:
+    """Distinct units, their labels, and each row's unit number."""
+    units, first, at = np.unique(rows.column(unit).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    return units.tolist(), rows.column(y).to_numpy()[first], at
+
+
+def _mid_ranks(scores: np.ndarray) -> np.ndarray:
+    """Average ranks within each column."""
+    order = np.argsort(scores, axis=0, kind="stable")
+    value = np.take_along_axis(scores, order, axis=0)
+    at = np.arange(len(scores))[:, None]
+    new = np.vstack([np.ones((1, scores.shape[1]), bool), value[1:] != value[:-1]])
+    last = np.vstack([new[1:], np.ones((1, scores.shape[1]), bool)])
+    low = np.maximum.accumulate(np.where(new, at, 0), axis=0)
+    high = np.minimum.accumulate(np.where(last, at, len(scores))[::-1], axis=0)[::-1]
+    ranks = np.empty(scores.shape)
+    np.put_along_axis(ranks, order, (low + high) / 2 + 1, axis=0)
+    return ranks
+
+
+def draw_moments(placed: DataFrame, chunks: Chunks, keys: list[str], entity: str, unit: str, y: str, n_draws: int, seed: int, p: int, block: int) -> DataFrame:
+    """Per key, entity, time bin and block of draws: the training rows' class moments, draw after draw in one array."""
+    strata = [*keys, entity]
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in strata)
+    constants, upper = draw_constants(seed, n_draws), np.triu_indices(p)
+
+    def run(rows: pa.Table, split: dict | None) -> pa.Table:
+        units, labels, at = _trials_of(rows, unit, y)
+        bits, train = label_matrix(stratum_name(rows, strata), units, labels, seed, constants, split)
+        out, bins, blocks = [], [], []
+        for t, (own, x) in _patterns_of(rows, p).items() if train.any() else ():
+            wide = np.hstack([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]])
+            one = (train & bits)[:, at[own]].astype(np.float64) @ wide
+            zero = (train & ~bits)[:, at[own]].astype(np.float64) @ wide
+            moments = np.hstack([zero[:, :1], one[:, :1], zero[:, 1 : p + 1], one[:, 1 : p + 1], zero[:, p + 1 :] + one[:, p + 1 :]])
+            for start in range(0, n_draws + 1, block):
+                out.append(moments[start : start + block].ravel())
+                bins.append(t)
+                blocks.append(start // block)
+        lists = pa.array(out, pa.list_(pa.float64()))
+        return pa.Table.from_arrays([*(pa.array([rows.column(c)[0].as_py()] * len(out), rows.schema.field(c).type) for c in strata), pa.array(bins, pa.int32()), pa.array(blocks, pa.int32()), lists], names=[*strata, "time_bin", "block", "moments"])
+
+    parts = chunks.apply(placed, run, f"{kinds}, time_bin int, block int, moments array<double>")
+    return sum_arrays(parts, [*strata, "time_bin", "block"], "moments") if chunks.many else parts
+
+
+def draw_weights(own: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Weights of every leave-one-entity-out fold and draw: the total's moments minus the held-out entity's; NaN where unsolvable."""
+    total = sum_arrays(own, [*keys, "time_bin", "block"], "moments", n_entities=F.count(F.lit(1))).withColumnRenamed("moments", "_total")
+    j = null_safe_join(own, total, [*keys, "time_bin", "block"], "inner").filter("n_entities >= 3")  # two other entities with both classes
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def solve(total: pd.Series, own: pd.Series) -> pd.Series:
+        sizes = [len(x) // (2 + 2 * p + p * (p + 1) // 2) for x in own]
+        rows = np.vstack([(np.asarray(t) - np.asarray(o)).reshape(n, -1) for t, o, n in zip(total, own, sizes)])
+        w = discriminant(rows, p)
+        w[rows[:, 0] + rows[:, 1] < 3.5] = np.nan
+        w[~np.isfinite(w).all(axis=1)] = np.nan
+        return pd.Series([part.ravel() for part in np.split(w, np.cumsum(sizes)[:-1])])
+
+    return j.select(*own.drop("moments").columns, solve("_total", "moments").alias("weights"))
 
 
-def decode_grid(patterns: DataFrame, keys: list[str], entity: str, unit: str, y: str, n_perm: int, seed: int, p: int) -> DataFrame:
-    """AUC per key, permutation and time bin: one distributed grid instead of nested loops."""
-    trials = patterns.select(*keys, entity, unit, y).distinct()
-    labels = balanced_rows(label_grid(trials, keys, entity, unit, y, n_perm, seed), keys + ["perm"], entity, y, unit, seed)
-    rows = patterns.drop(y).join(labels.select(*keys, unit, "perm", y, "in_training"), keys + [unit])
-    # the grid (keys x permutations x bins) is small and read by several later steps
-    return pin(leave_one_entity_out(rows, keys + ["perm", "time_bin"], entity, "pattern", y, p))
+def decode_grid(patterns: DataFrame, keys: list[str], entity: str, unit: str, y: str, n_perm: int, seed: int, p: int, chunk_rows: int = 1000, block: int = 64) -> DataFrame:
+    """Mean held-out AUC per key, permutation (0: observed labels) and time bin.
+
+    An entity's trials are read twice, with all its draws at once; between the passes go moments and weights, of
+    entities × draws. Balanced training rows are drawn anew in every permutation. Entities of more than ``chunk_rows``
+    trials lie in several chunks: their moments add up, and their scores are ranked across tasks.
+    """
+    strata = [*keys, entity]
+    chunks = label_chunks(patterns.select(*strata, unit, y).distinct(), strata, unit, y, n_perm, seed, chunk_rows)
+    placed = chunks.place(patterns.select(*strata, unit, y, "time_bin", "pattern"))
+    own = pin(draw_moments(placed, chunks, keys, entity, unit, y, n_perm, seed, p, block))
+    weights = draw_weights(own, keys, p).groupBy(*strata, "time_bin").agg(F.array_sort(F.collect_list(F.struct("block", "weights"))).alias("_w"))
+    weights = weights.select(*strata, "time_bin", F.flatten("_w.weights").alias("weights"))
+    sizes = chunks.sizes.select(*[F.col(c).alias(c) for c in strata], (F.col("_chunks") + 0).alias("_chunks"))  # attributes of its own
+    weights = null_safe_join(weights, sizes, strata, "inner").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    if chunks.many:
+        weights = null_safe_join(weights, chunks.split, [*strata, "_chunk"])
+    kinds = ", ".join(f"{c} {patterns.schema[c].dataType.simpleString()}" for c in strata)
+    constants, group = draw_constants(seed, n_perm), [*strata, "_chunk"]
+    names = [*strata, "time_bin", "auc", "y", "scores"]
+
+    def score(rows: pa.Table, fold: pa.Table) -> pa.Table:
+        """One row of AUCs per time bin; of an entity in several chunks, labels and scores per trial."""
+        if not rows.num_rows or not fold.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(names, [*(rows.schema.field(c).type for c in strata), pa.int32(), *[pa.list_(pa.float64())] * 3])})
+        units, labels, at = _trials_of(rows, unit, y)
+        split = fold.select(SPLIT).to_pylist()[0] if "ones" in fold.column_names and fold.column("_chunks")[0].as_py() > 1 else None
+        bits, _ = label_matrix(stratum_name(rows, strata), units, labels, seed, constants, split)
+        given = dict(zip(fold.column("time_bin").to_pylist(), fold.column("weights")))
+        bins, aucs, ys, scores = [], [], [], []
+        for t, (own, x) in _patterns_of(rows, p).items():
+            if t not in given:
+                continue
+            s = x @ given[t].values.to_numpy(zero_copy_only=False).reshape(-1, p).T
+            label = bits[:, at[own]].T
+            if split is not None:
+                bins += [t] * len(own)
+                ys += list(label.astype(np.float64))
+                scores += list(s)
+                continue
+            n1 = label.sum(axis=0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                auc = ((_mid_ranks(s) * label).sum(axis=0) - n1 * (n1 + 1) / 2) / (n1 * (len(own) - n1))
+            auc[~np.isfinite(s).all(axis=0)] = np.nan
+            bins.append(t)
+            aucs.append(auc)
+        lists = [pa.array(v or [None] * len(bins), pa.list_(pa.float64())) for v in (aucs, ys, scores)]
+        return pa.Table.from_arrays([*(pa.array([rows.column(c)[0].as_py()] * len(bins), rows.schema.field(c).type) for c in strata), pa.array(bins, pa.int32()), *lists], names=names)
+
+    out = placed.groupBy(*group).cogroup(weights.groupBy(*group)).applyInArrow(score, f"{kinds}, time_bin int, auc array<double>, y array<double>, scores array<double>")
+    if chunks.many:
+        out = pin(out)
+    folds = out.where("auc IS NOT NULL").select(*keys, "time_bin", F.posexplode("auc").alias("perm", "auc"))
+    if chunks.many:
+        each = out.where("scores IS NOT NULL").select(*strata, "time_bin", F.posexplode(F.arrays_zip("y", "scores")).alias("perm", "_s")).select(*strata, "time_bin", "perm", "_s.y", "_s.scores")
+        far = auc_from_counts(each.where(~F.isnan("scores")), [*strata, "time_bin", "perm"], "scores", "y")
+        folds = folds.unionByName(far.select(*keys, "time_bin", "perm", "auc"))
+    folds = folds.where(F.col("auc").isNotNull() & ~F.isnan("auc"))
+    return pin(folds.groupBy(*keys, "perm", "time_bin").agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("n_folds")))
+
+
+def channel_course(patterns: DataFrame, keys: list[str], entity: str, unit: str, y: str, n_perm: int, seed: int, p: int, chunk_rows: int = 1000) -> DataFrame:
+    """AUC of each channel by itself per key, channel, time bin and permutation, averaged over entities with both classes.
+
+    Ranks are those of the observed values within an entity, whatever the labels, so a draw's rank sum is its bit row
+    times the ranks: one matrix product per chunk of trials for all channels, time bins and draws.
+    """
+    strata = [*keys, entity]
+    chunks = label_chunks(patterns.select(*strata, unit, y).distinct(), strata, unit, y, n_perm, seed, chunk_rows)
+    each = patterns.select(*strata, unit, y, "time_bin", F.posexplode("pattern").alias("channel", "x"))
+    ranked = mid_ranks(each, [*strata, "time_bin", "channel"], "x", "_rank")
+    rows = ranked.groupBy(*strata, unit, y).agg(F.array_sort(F.collect_list(F.struct("time_bin", "channel", "_rank"))).alias("_r"))
+    kinds = ", ".join(f"{c} {patterns.schema[c].dataType.simpleString()}" for c in strata)
+    constants = draw_constants(seed, n_perm)
+
+    def run(group: pa.Table, split: dict | None) -> pa.Table:
+        label = group.column(y).to_numpy()
+        bits, _ = label_matrix(stratum_name(group, strata), group.column(unit).to_pylist(), label, seed, constants, split)
+        cells = group.column("_r").combine_chunks().flatten()
+        trial = np.repeat(np.arange(group.num_rows), group.column("_r").combine_chunks().value_lengths().to_numpy())
+        at = np.stack([cells.field("time_bin").to_numpy(), cells.field("channel").to_numpy()], axis=1)
+        places, column = np.unique(at, axis=0, return_inverse=True)
+        ranks, seen = np.zeros((group.num_rows, len(places))), np.zeros((group.num_rows, len(places)))
+        ranks[trial, column.ravel()] = cells.field("_rank").to_numpy()
+        seen[trial, column.ravel()] = 1.0
+        sums = np.hstack([(bits @ ranks).T, (bits @ seen).T, seen.sum(axis=0)[:, None]])  # rank sums, ones, rows
+        return pa.Table.from_arrays([*(pa.array([group.column(c)[0].as_py()] * len(places), group.schema.field(c).type) for c in strata), *(pa.array(places[:, k].astype(np.int32)) for k in (0, 1)), list_rows(sums)], names=[*strata, "time_bin", "channel", "sums"])
+
+    parts = chunks.apply(chunks.place(rows), run, f"{kinds}, time_bin int, channel int, sums array<double>")
+    sums = sum_arrays(parts, [*strata, "time_bin", "channel"], "sums")
+    n = n_perm + 1
+    ones, rows_n = F.slice("sums", n + 1, n), F.element_at("sums", -1)
+    folds = sums.select(*keys, "time_bin", "channel", F.posexplode(F.arrays_zip(F.slice("sums", 1, n).alias("s"), ones.alias("o"))).alias("perm", "_d"), F.round(rows_n).alias("_n"))
+    # counts and rank sums are whole or half numbers: rounding undoes what adding up vectors left
+    o, s = F.round("_d.o"), F.round(F.col("_d.s") * 2) / 2
+    z = F.col("_n") - o
+    folds = folds.where((o > 0) & (z > 0)).select(*keys, "channel", "time_bin", "perm", ((s - o * (o + 1) / 2) / (o * z)).alias("auc"))
+    # twelve decimals: equal courses stay equal whatever the order of summation
+    return pin(folds.groupBy(*keys, "channel", "perm", "time_bin").agg(F.round(F.avg("auc"), 12).alias("auc")))
 
 
 def timecourse(grid: DataFrame, keys: list[str], stat: str = "auc") -> DataFrame:
@@ -142,7 +299,7 @@ def timecourse(grid: DataFrame, keys: list[str], stat: str = "auc") -> DataFrame
     q = exact_quantiles(null, keys + ["time_bin"], stat, {"null_q975": 0.975})
     j = null_safe_join(null, obs, keys + ["time_bin"], "inner")
     g = j.groupBy(*keys, "time_bin").agg(
-        F.avg(stat).alias("null_mean"), F.count(stat).alias("n_perm"), F.count_if(F.col(stat) >= F.col("observed")).alias("_b"))
+        F.avg(stat).alias("null_mean"), F.count(stat).alias("n_perm"), F.count_if(F.col(stat) >= F.col("observed") - 1e-12).alias("_b"))
     out = null_safe_join(null_safe_join(obs, g, keys + ["time_bin"]), q, keys + ["time_bin"])
     p = F.when(F.col("observed").isNotNull(), (F.coalesce("_b", F.lit(0)) + 1) / (F.coalesce("n_perm", F.lit(0)) + 1))
     return out.withColumn("p_pointwise", p).drop("_b")
@@ -159,21 +316,26 @@ def cluster_test(grid: DataFrame, keys: list[str], alpha: float = 0.05, stat: st
     top = top.withColumn("_top", F.coalesce("_top", F.lit(0.0)))
     j = null_safe_join(observed, top.drop("perm"), keys, "inner") if keys else observed.crossJoin(F.broadcast(top.drop("perm")))
     cols = ["cluster_id", "start", "stop", "n_points", "mass"]
-    out = j.groupBy(*keys, *cols).agg(((F.count_if(F.col("_top") >= F.col("mass")) + 1) / (F.count(F.lit(1)) + 1)).alias("cluster_p"))
+    out = j.groupBy(*keys, *cols).agg(((F.count_if(F.col("_top") >= F.col("mass") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("cluster_p"), F.count(F.lit(1)).alias("n_perm"))
     return out.withColumn("significant", F.col("cluster_p") < alpha), thr
 
 
-def confirmatory_fdr(clusters: DataFrame, confirmatory: Column, n_perm: int, alpha: float = 0.05) -> DataFrame:
-    """BH over the confirmatory clusters only; stops when no cluster could ever pass at rank 1."""
-    d = pin(clusters).withColumn("inference", F.when(confirmatory, "confirmatory").otherwise("exploratory"))
-    family = d.filter("inference = 'confirmatory'")
-    m = family.count()
-    if m and 1.0 / (n_perm + 1) >= alpha / m:
-        raise ValueError(f"p floor 1/{n_perm + 1} is not below alpha/m = {alpha}/{m}; raise the permutation count")
-    adj = adjust_p(family.withColumn("_one", F.lit(1)), ["_one"], "cluster_p", "cluster_id").drop("_one", "p_holm")
-    adj = adj.withColumnRenamed("p_bh", "cluster_p_fdr")
+def confirmatory_fdr(clusters: DataFrame, confirmatory: Column, n_perm: int | None = None, alpha: float = 0.05, family: tuple[str, ...] = (), keys: tuple[str, ...] = ("cluster_id",)) -> DataFrame:
+    """BH within each family of confirmatory clusters; stops when no cluster of one could ever pass at rank 1.
+
+    The draw count is the most that a family's rows were computed with, unless given. ``keys`` name a cluster: ids
+    restart in every block, so blocks belong to the key.
+    """
+    d = clusters if "n_perm" in clusters.columns and n_perm is None else clusters.withColumn("n_perm", F.lit(n_perm).cast("bigint"))
+    d = pin(d.withColumn("inference", F.when(confirmatory, "confirmatory").otherwise("exploratory")).withColumn("_one", F.lit(1)))
+    by = ["_one", *family]
+    own = d.filter("inference = 'confirmatory'")
+    floor = own.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.max("n_perm").alias("b")).where(1.0 / (F.col("b") + 1) >= alpha / F.col("m")).first()
+    if floor is not None:
+        raise ValueError(f"p floor 1/{floor.b + 1} is not below alpha/m = {alpha}/{floor.m}; raise the permutation count")
+    adj = adjust_p(own.withColumn("_name", F.struct(*keys)), by, "cluster_p", "_name").drop("_name", "p_holm").withColumnRenamed("p_bh", "cluster_p_fdr")
     rest = d.filter("inference <> 'confirmatory'").withColumn("cluster_p_fdr", F.lit(None).cast("double"))
-    out = adj.unionByName(rest)
+    out = adj.unionByName(rest).drop("_one")
     return out.withColumn("significant_fdr", F.coalesce(F.col("cluster_p_fdr") < alpha, F.lit(False)))
 
 
@@ -212,6 +374,11 @@ def temporal_generalisation(patterns: DataFrame, entity: str, unit: str, y: str,
     return folds.groupBy("train_bin", "test_bin").agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def region_means(matrix: DataFrame, regions: dict[str, Column], value: str = "auc") -> DataFrame:
+    """One row: the mean of a train x test matrix over each named region (a condition on its cells); null where no cell lies in it."""
+    return matrix.agg(*[F.avg(F.when(where, F.col(value))).alias(name) for name, where in regions.items()])
+
+
 def entity_folds(df: DataFrame, entity: str, k: int, seed: int) -> DataFrame:
     """Balanced, reproducible fold per entity (sizes differ by at most one)."""
     ids = df.select(entity).distinct().withColumn("_h", hash_order(seed, F.col(entity)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.functions.dist import chi2_tail1, chi2_tail_udf, norm_tail_sql, t_quantile_col, t_two_sided_udf
 from trialweave.operators.filters import informative_strata
+from trialweave.operators.permute import draw_sums, resample_sums
 from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_index, scan_sum, with_group_stats
 from trialweave.runtime import pin
 
@@ -171,20 +172,17 @@ def permutation_condition(df: DataFrame, y: str, label: str, strata: list[str],
 
 
 def permutation_covariance(df: DataFrame, y: str, x: str, strata: list[str], key: str, n_perm: int, seed: int) -> DataFrame:
+    """Test of sum(y * (x - stratum mean)) with y (0/1) shuffled within strata; draws never leave a stratum's chunk but as sums."""
     d = df.na.drop(subset=[y, x]).select(*strata, key, y, x)
-    d = with_group_stats(d, strata, _m=F.avg(x)).withColumn("_x", F.col(x) - F.col("_m"))
-    obs = d.agg(F.sum(F.col(y) * F.col("_x")).alias("observed"))
-    null = permuted_indicator(d.select(*strata, key, y, "_x"), strata, key, y, n_perm, seed).groupBy("perm").agg(
-        F.sum(F.col("shuffled") * F.col("_x")).alias("stat"))
-    return permutation_p(null, obs, eps=1e-9)
+    d = with_group_stats(d, strata, _m=F.avg(x)).withColumn("_x", (F.col(x) - F.col("_m")).cast("double"))
+    sums = pin(draw_sums(d, strata, key, y, "_x", n_perm, seed))
+    return permutation_p(sums.filter("perm > 0").select("stat"), sums.filter("perm = 0").select(F.col("stat").alias("observed")), eps=1e-9)
 
 
 def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, n_boot: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean of unit values (units drawn with replacement)."""
-    d = with_group_stats(scan_index(df.select(*by, unit, value), by, [unit], "_i"), by, _n=F.count(F.lit(1)))
-    picks = d.select(*by, "_n", F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot"))
-    picks = picks.withColumn("_i", hash_index(seed, F.col("_n"), *[F.col(c) for c in by], F.col("boot"), F.col("_slot"))).drop("_n")
-    means = null_safe_join(picks, d.select(*by, "_i", value), by + ["_i"], "inner").groupBy(*by, "boot").agg(F.avg(value).alias("m"))
+    """Percentile interval of the mean of unit values (units drawn with replacement); only sums per draw leave a task."""
+    sums = resample_sums(df.select(*by, unit, value), by, unit, value, n_boot, seed)
+    means = sums.select(*by, F.explode(F.transform("sums", lambda s: s / F.col("n"))).alias("m"))
     return exact_quantiles(means, by, "m", {"low": 0.025, "high": 0.975})
 
 

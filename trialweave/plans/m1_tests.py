@@ -11,6 +11,7 @@ from trialweave.functions.dist import (
 from trialweave.operators import aggregate as ag
 from trialweave.operators import joins as jn
 from trialweave.operators import stats as st
+from trialweave.operators.permute import order_sql
 from trialweave.operators import windows as wn
 from trialweave.operators.skew import exact_quantiles, with_group_stats
 from trialweave.plans.d_joins import HOUR, PAIRS_SQL, pair_rows
@@ -21,7 +22,6 @@ from trialweave.plans.standins import MARKERS_SQL, SAMPLES_SQL, TRIALS_SQL, WIND
 from trialweave.registry import query, table
 
 SEED = 20260702
-N_PERM = 20
 
 
 @query("m01_t_interval", f"""
@@ -57,20 +57,34 @@ def m02(spark, sf):
     return g.select("property", *[r6(c, c) for c in ("odds_ratio", "or_low", "or_high", "cmh_p")], "n_strata")
 
 
-@query("m03_stratum_logit")
+# Newton steps with the stratum intercepts eliminated, as a recursion over steps: one row per stratum carries its intercept
+_LOGIT_SQL = f"""{_LABEL_SQL},
+lp AS (SELECT entity, y, viol AS x1, (CASE session WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 3 END) / 3.0::DOUBLE AS x2 FROM lab WHERE y IS NOT NULL AND viol IS NOT NULL),
+ok AS (SELECT entity, count(*)::DOUBLE AS tn, sum(y)::DOUBLE AS ts FROM lp GROUP BY entity HAVING sum(y) > 0 AND sum(y) < count(*)),
+ce AS (SELECT entity, x1, x2, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM lp JOIN ok USING (entity) GROUP BY ALL),
+it(k, entity, alpha, b1, b2, s11, s12, s22) AS (
+ SELECT 0, entity, ln(ts / (tn - ts)), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM ok
+ UNION ALL
+ SELECT k + 1, entity, alpha + (g - c1 * (r1 * s22 - r2 * s12) / det - c2 * (r2 * s11 - r1 * s12) / det) / a, b1 + (r1 * s22 - r2 * s12) / det, b2 + (r2 * s11 - r1 * s12) / det, s11, s12, s22 FROM (
+  SELECT *, s11 * s22 - s12 * s12 AS det FROM (
+   SELECT k, entity, alpha, b1, b2, a, g, c1, c2, sum(g1 - c1 * g / a) OVER () AS r1, sum(g2 - c2 * g / a) OVER () AS r2, sum(h11 - c1 * c1 / a) OVER () AS s11, sum(h12 - c1 * c2 / a) OVER () AS s12, sum(h22 - c2 * c2 / a) OVER () AS s22 FROM (
+    SELECT k, entity, alpha, b1, b2, sum(w) AS a, sum(r) AS g, sum(w * x1) AS c1, sum(w * x2) AS c2, sum(r * x1) AS g1, sum(r * x2) AS g2, sum(w * x1 * x1) AS h11, sum(w * x1 * x2) AS h12, sum(w * x2 * x2) AS h22 FROM (
+     SELECT k, entity, alpha, b1, b2, x1, x2, n * mu * (1 - mu) AS w, s - n * mu AS r FROM (SELECT it.k, it.entity, it.alpha, it.b1, it.b2, ce.x1, ce.x2, ce.n, ce.s, 1 / (1 + exp(-(it.alpha + it.b1 * ce.x1 + it.b2 * ce.x2))) AS mu FROM it JOIN ce ON it.entity = ce.entity WHERE it.k < 12))
+    GROUP BY k, entity, alpha, b1, b2)))),
+fin AS (SELECT * FROM it WHERE k = 12),
+dv AS (SELECT sum(-2 * (s * ln(ts / tn) + (n - s) * ln(1 - ts / tn))) - sum(-2 * (s * ln(mu) + (n - s) * ln(1 - mu))) AS lr, sum(n) AS n FROM (SELECT ce.*, ok.tn, ok.ts, 1 / (1 + exp(-(alpha + b1 * x1 + b2 * x2))) AS mu FROM ce JOIN ok USING (entity) JOIN fin USING (entity))),
+co AS (SELECT any_value(b1) AS b1, any_value(b2) AS b2, sqrt(any_value(s22 / (s11 * s22 - s12 * s12))) AS e1, sqrt(any_value(s11 / (s11 * s22 - s12 * s12))) AS e2, count(*) AS k FROM fin),
+te AS (SELECT unnest(['viol', 'pos']) AS term, unnest([b1, b2]) AS beta, unnest([e1, e2]) AS se, k FROM co)"""
+_LOGIT_COLS = ("beta", "se", "lr", "odds_ratio", "or_low", "or_high", "p", "lr_p")
+
+
+@query("m03_stratum_logit", f"""WITH RECURSIVE {_LOGIT_SQL}
+SELECT term, round(beta, 6) AS beta, round(se, 6) AS se, round(lr, 6) AS lr, 2.0::DOUBLE AS lr_df, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS n_strata, round(exp(beta), 6) AS odds_ratio, round(exp(beta - 1.96 * se), 6) AS or_low,
+ round(exp(beta + 1.96 * se), 6) AS or_high, round(2 * {norm_tail_sql('beta / se')}, 6) AS p, round(exp(-lr / 2), 6) AS lr_p FROM te, dv""")
 def m03(spark, sf):
     lab = labelled(spark, sf).withColumn("pos", d.level_index(F.col("session"), d.SESSIONS) / 3)
-    fit = st.stratum_logit(lab, "y", ["viol", "pos"], ["entity"])
-    return st.logit_table(spark, fit, ["viol", "pos"])
-
-
-def _perm_sql(stat_values: str, ones: str, observed: str) -> str:
-    return f"""
-h AS (SELECT b AS perm, entity, y, viol, x, row_number() OVER (PARTITION BY b, entity ORDER BY md5('{SEED}|' || CAST(b AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)), event_id) AS r,
-   sum({ones}) OVER (PARTITION BY b, entity) AS ones FROM base, (SELECT unnest(range(1, {N_PERM + 1})) AS b)),
-nul AS (SELECT perm, sum({stat_values})::DOUBLE AS stat FROM h GROUP BY perm),
-o AS (SELECT {observed}::DOUBLE AS observed, (SELECT avg(stat) FROM nul) AS null_mean FROM base)
-SELECT round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round((1.0::DOUBLE + (SELECT count(*) FROM nul WHERE abs(stat - o.null_mean) >= abs(o.observed - o.null_mean) - 1e-9)) / ({N_PERM} + 1), 9) AS p FROM o"""
+    t = st.logit_table(spark, st.stratum_logit(lab, "y", ["viol", "pos"], ["entity"]), ["viol", "pos"])
+    return t.select("term", "lr_df", "n", "n_strata", *[r6(c, c) for c in _LOGIT_COLS])
 
 
 N_DRAWS = 1000
@@ -90,9 +104,17 @@ def m04a(spark, sf):
     return g.select(r6("observed", "observed"), r6("null_mean", "null_mean"), r6("p", "p", 9))
 
 
-@query("m04_permutation_covariance", f"WITH {_LABEL_SQL}, base AS (SELECT event_id, entity, y, viol, k - avg(k) OVER (PARTITION BY entity) AS x FROM lab)," + _perm_sql("CASE WHEN r <= ones THEN x ELSE 0 END", "y", "sum(y * x)"))
+_DRAWS, _KEY, _ORDER = order_sql(SEED, N_DRAWS, "entity || '|' || event_id")
+
+
+@query("m04_permutation_covariance", f"""WITH {_LABEL_SQL},
+base AS (SELECT event_id, entity, y, k - avg(k) OVER (PARTITION BY entity) AS x, {_KEY} AS t FROM lab WHERE y IS NOT NULL AND k IS NOT NULL),
+h AS (SELECT perm, y, x, row_number() OVER (PARTITION BY perm, entity ORDER BY {_ORDER}, event_id) AS r, sum(y) OVER (PARTITION BY perm, entity) AS ones FROM base, ({_DRAWS}) WHERE perm > 0),
+nul AS (SELECT perm, sum(CASE WHEN r <= ones THEN x ELSE 0 END)::DOUBLE AS stat FROM h GROUP BY perm),
+o AS (SELECT sum(y * x)::DOUBLE AS observed, (SELECT avg(stat) FROM nul) AS null_mean FROM base)
+SELECT round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round((1.0::DOUBLE + (SELECT count(*) FROM nul WHERE abs(stat - o.null_mean) >= abs(o.observed - o.null_mean) - 1e-9)) / ({N_DRAWS} + 1), 9) AS p FROM o""")
 def m04b(spark, sf):
-    g = st.permutation_covariance(labelled(spark, sf), "y", "k", ["entity"], "event_id", N_PERM, SEED)
+    g = st.permutation_covariance(labelled(spark, sf), "y", "k", ["entity"], "event_id", N_DRAWS, SEED)
     return g.select(r6("observed", "observed"), r6("null_mean", "null_mean"), r6("p", "p", 9))
 
 
@@ -136,9 +158,15 @@ def m06b(spark, sf):
     return st.leave_one_out_welch(shares(spark, sf), ["session"], "entity", "g", "v").select("session", "entity", r6("t", "t", 5))
 
 
-@query("m06_welch_p")
+# the t tail as an integral of cos^(dof - 1) over angles, by Simpson's rule
+@query("m06_welch_p", f"""WITH {_SHARE_SQL},
+w AS (SELECT session, avg(v) FILTER (g = 0) - avg(v) FILTER (g = 1) AS dm, var_samp(v) FILTER (g = 0) / count(*) FILTER (g = 0) AS q0, var_samp(v) FILTER (g = 1) / count(*) FILTER (g = 1) AS q1, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM sh GROUP BY session),
+t AS (SELECT session, dm / sqrt(q0 + q1) AS t, (q0 + q1) * (q0 + q1) / (q0 * q0 / (n0 - 1) + q1 * q1 / (n1 - 1)) AS dof FROM w),
+th AS (SELECT *, atan(abs(t) / sqrt(dof)) AS lo, (pi() / 2 - atan(abs(t) / sqrt(dof))) / 20000 AS h FROM t),
+si AS (SELECT session, any_value(t) AS t, any_value(dof) AS dof, sum((CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos(lo + i * h), 0), dof - 1)) * any_value(h) / 3 AS area FROM th, (SELECT unnest(range(0, 20001)) AS i) GROUP BY session)
+SELECT session, round(t, 6) AS t, round(dof, 6) AS dof, round(2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * area, 6) AS p FROM si""")
 def m06c(spark, sf):
-    return st.with_t_p(st.welch(shares(spark, sf), ["session"], F.col("g"), "v")).select("session", "t", "dof", "p")
+    return st.with_t_p(st.welch(shares(spark, sf), ["session"], F.col("g"), "v")).select("session", *[r6(c, c) for c in ("t", "dof", "p")])
 
 
 _SHIFT_SQL = f"""{TRIALS_SQL},
@@ -153,9 +181,12 @@ def shifts(spark, sf):
     return jn.paired_difference(per, ["session", "entity"], "condition", "s", d.VIOLATION, d.CONTROL).select("session", "entity", F.col("difference").alias("v"))
 
 
+_BOOT, _SLOT, _PICK = order_sql(SEED, 2000, "session || '|' || i")
+
+
 @query("m07_bootstrap_mean", f"""WITH {_SHIFT_SQL},
 i AS (SELECT session, entity, v, row_number() OVER (PARTITION BY session ORDER BY entity) AS i, count(*) OVER (PARTITION BY session) AS n FROM df),
-p AS (SELECT session, b, CAST('0x' || substr(md5('{SEED}|' || CAST(session AS VARCHAR) || '|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS i FROM i, (SELECT unnest(range(1, 2001)) AS b)),
+p AS (SELECT session, perm AS b, ({_PICK}) % n + 1 AS i FROM (SELECT session, n, {_SLOT} AS t FROM i), ({_BOOT}) WHERE perm > 0),
 m AS (SELECT session, b, avg(v) AS m FROM p JOIN i USING (session, i) GROUP BY ALL)
 SELECT session, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY session""")
 def m07(spark, sf):
@@ -174,12 +205,15 @@ def m08a(spark, sf):
     return st.signed_rank(w, ["session"], "x").select("session", r6("w_plus", "w_plus"), "n_pos", "n_neg", r6("z", "z"), r6("p", "p", 8))
 
 
-@query("m08_sign_test")
+@query("m08_sign_test", f"""WITH {_WIDE_SQL},
+g AS (SELECT session, count(*) FILTER (n1 > n2) AS a, count(*) FILTER (n1 < n2) AS b FROM wide WHERE n1 <> n2 GROUP BY session),
+k AS (SELECT session, a, b, unnest(range(0, least(a, b) + 1)) AS k FROM g)
+SELECT session, CAST(a AS BIGINT) AS n_pos, CAST(b AS BIGINT) AS n_neg, round(least(1, 2 * sum(exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - (a + b) * ln(2)))), 6) AS p FROM k GROUP BY session, a, b""")
 def m08b(spark, sf):
     w = wide_cells(spark, sf).withColumn("x", F.col("n1") - F.col("n2"))
     g = st.signed_rank(w, ["session"], "x")
     k, n = F.col("n_pos").cast("double"), (F.col("n_pos") + F.col("n_neg")).cast("double")
-    return g.select("session", "n_pos", "n_neg", binom_half_two_sided_udf(k, n).alias("p"))
+    return g.select("session", "n_pos", "n_neg", r6(binom_half_two_sided_udf(k, n), "p"))
 
 
 @query("m09_family_decisions", f"""WITH {ADJUST_SQL}
