@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 from difflib import SequenceMatcher
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialweave.operators.skew import (
     first_per_key, null_safe_join, scan_index, scan_last, scan_max, scan_shift, scan_sum, small_side, with_group_stats,
 )
+from trialweave.runtime import pin
 
 
 def assert_unique(df: DataFrame, keys: list[str], what: str = "lookup") -> DataFrame:
@@ -201,25 +202,124 @@ def edge_distance(points: DataFrame, edges: DataFrame, keys: list[str], position
     return u.filter("_id is not null").select(*keys, F.col("_id").alias(point_id), d.alias("edge_distance"))
 
 
-def align_sequences(left: DataFrame, right: DataFrame, unit: list[str], order: str, code: str, left_id: str, right_id: str) -> DataFrame:
+class _Grams:
+    """Numbers of the runs of 2^level codes that start at each position of two sequences, by doubling, per segment.
+
+    A run of any length L between 2^level and 2^(level + 1) is known by two overlapping runs of 2^level, so whether two
+    segments share a run of L is one equi-join with a row per position, and no pair of positions is built.
+    """
+
+    def __init__(self, a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+        self.keys = keys
+        self.levels: list[tuple[DataFrame, DataFrame]] = [(a, b)]
+
+    def double(self) -> None:
+        step = 1 << (len(self.levels) - 1)
+
+        def wider(df: DataFrame) -> DataFrame:
+            after = df.select(*self.keys, (F.col("pos") - step).alias("pos"), F.col("gram").alias("_next"))
+            return pin(null_safe_join(df, after, [*self.keys, "pos"], "inner").select(*self.keys, "pos", F.xxhash64("gram", "_next").alias("gram")))
+
+        self.levels.append(tuple(wider(df) for df in self.levels[-1]))
+
+    def shared(self, left: DataFrame, right: DataFrame, grams: list[str]) -> DataFrame:
+        """Segments that have a run in common."""
+        return null_safe_join(left.select(*self.keys, *grams).distinct(), right.select(*self.keys, *grams).distinct(), [*self.keys, *grams], "inner").select(*self.keys).distinct()
+
+    def top(self) -> DataFrame:
+        """(segment, level): the highest level at which the two sides still share a run."""
+        found = pin(self.shared(*self.levels[0], ["gram"]).withColumn("level", F.lit(0)))
+        while True:
+            last = found.where(F.col("level") == len(self.levels) - 1)
+            if last.isEmpty():
+                return found
+            self.levels[-1] = tuple(pin(null_safe_join(df, last.select(*self.keys), self.keys, "inner")) for df in self.levels[-1])
+            self.double()
+            more = self.shared(*self.levels[-1], ["gram"]).select(*self.keys, F.lit(len(self.levels) - 1).alias("_more"))
+            found = pin(null_safe_join(found, more, self.keys).select(*self.keys, F.coalesce("_more", "level").alias("level")))
+
+    def at(self, level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Positions and runs of each segment at its own level."""
+        parts = [[null_safe_join(side, level.where(F.col("level") == n), self.keys, "inner") for side in pair] for n, pair in enumerate(self.levels)]
+        return tuple(pin(reduce(DataFrame.unionByName, [pair[k] for pair in parts])) for k in (0, 1))
+
+
+def _longest_blocks(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, size): per segment the longest common run, the earliest in a, then in b. Rows: keys, pos, gram."""
+    grams = _Grams(a, b, keys)
+    level = grams.top()
+    a, b = grams.at(level)
+    step = F.pow(F.lit(2), F.col("level")).cast("bigint")
+    state = pin(level.select(*keys, step.alias("step"), step.alias("lo"), (2 * step).alias("hi")))
+
+    def runs(side: DataFrame, length: DataFrame) -> DataFrame:
+        own = null_safe_join(side, length, keys, "inner")
+        after = own.select(*keys, (F.col("pos") - F.col("size") + F.col("step")).alias("pos"), F.col("gram").alias("last"))
+        return null_safe_join(own, after, [*keys, "pos"], "inner").select(*keys, "pos", "size", "gram", "last")
+
+    while not (open_ := state.where("hi - lo > 1")).isEmpty():  # all segments halve their range at once
+        middle = open_.select(*keys, "step", F.floor((F.col("lo") + F.col("hi")) / 2).alias("size"))
+        has = grams.shared(runs(a, middle), runs(b, middle), ["gram", "last"]).withColumn("_has", F.lit(True))
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2)
+        wide = F.col("hi") - F.col("lo") > 1
+        state = pin(null_safe_join(state, has, keys).select(*keys, "step", F.when(wide & F.col("_has"), mid).otherwise(F.col("lo")).alias("lo"), F.when(wide & F.col("_has").isNull(), mid).otherwise(F.col("hi")).alias("hi")))
+    size = state.select(*keys, "step", F.col("lo").alias("size"))
+    first = [runs(side, size).groupBy(*keys, "size", "gram", "last").agg(F.min("pos").alias(n)) for side, n in ((a, "i"), (b, "j"))]
+    both = null_safe_join(*first, [*keys, "size", "gram", "last"], "inner")
+    return both.groupBy(*keys).agg(F.min(F.struct("i", "j", "size")).alias("_m")).select(*keys, "_m.i", "_m.j", "_m.size")
+
+
+def align_sequences(left: DataFrame, right: DataFrame, unit: list[str], order: str, code: str, left_id: str, right_id: str, task_rows: int = 20_000) -> DataFrame:
     """Order-preserving pairs of equal codes by longest matching blocks, per recording unit.
 
-    The alignment is defined on two whole sequences, so the unit (one recording session) is the group.
+    The longest common run splits both sequences, and what lies before and after it is aligned in the same way. Segments
+    of more than ``task_rows`` rows are split across tasks, all at once per round, by doubling run numbers; what is left
+    is aligned segment by segment. Blocks that touch on both sides are one.
     """
-    types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
-    schema = ", ".join(f"{u} {types[u]}" for u in unit) + f", {left_id} bigint, {right_id} bigint, block_no int"
-
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values([order, left_id]), b.sort_values([order, right_id])
-        rows = []
-        if len(a) and len(b):
-            match = SequenceMatcher(None, a[code].tolist(), b[code].tolist(), autojunk=False)
-            for n, (i, j, size) in enumerate(match.get_matching_blocks()):
-                rows += [(a[left_id].iloc[i + k], b[right_id].iloc[j + k], n) for k in range(size)]
-        out = pd.DataFrame(rows, columns=[left_id, right_id, "block_no"])
-        for u in unit:
-            out[u] = a[u].iloc[0] if len(a) else b[u].iloc[0]
-        return out[[*unit, left_id, right_id, "block_no"]]
-
-    l, r = left.select(*unit, order, code, left_id), right.select(*unit, order, code, right_id)
-    return l.groupBy(*unit).cogroup(r.groupBy(*unit)).applyInPandas(align, schema)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = scan_index(df.select(*unit, F.col(order).alias("_o"), F.col(code).alias("_code"), F.col(name).alias("_id")), unit, ["_o", "_id"], "pos")
+        return pin(rows.select(*unit, F.lit(0).cast("bigint").alias("_seg"), (F.col("pos") - 1).alias("pos"), "_code", "_id"))
+
+    a, b = side(left, left_id), side(right, right_id)
+    keys, pairs = [*unit, "_seg"], None
+
+    while True:
+        sizes = a.unionByName(b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        large = pin(sizes.where(F.col("_n") > task_rows).select(*keys))
+        if large.isEmpty():
+            break
+        gram = lambda df: null_safe_join(df, large, keys, "inner").select(*keys, "pos", F.xxhash64("_code").alias("gram"))
+        blocks = pin(_longest_blocks(pin(gram(a)), pin(gram(b)), keys))
+        inside = lambda df, at: null_safe_join(df, blocks, keys, "inner").where(F.col("pos").between(F.col(at), F.col(at) + F.col("size") - 1))
+        hit_a = inside(a, "i").select(*keys, (F.col("pos") - F.col("i")).alias("_k"), F.col("pos").alias("_i"), F.col("_id").alias(left_id))
+        hit_b = inside(b, "j").select(*keys, (F.col("pos") - F.col("j")).alias("_k"), F.col("pos").alias("_j"), F.col("_id").alias(right_id))
+        hits = pin(null_safe_join(hit_a, hit_b, [*keys, "_k"], "inner").drop("_seg", "_k"))
+        pairs = hits if pairs is None else pairs.unionByName(hits)
+
+        def rest(df: DataFrame, at: str) -> DataFrame:
+            """Rows before and after the block, in a segment named by where it begins on the left; large ones without a block are done."""
+            j = null_safe_join(null_safe_join(df, large.withColumn("_large", F.lit(True)), keys), blocks, keys)
+            j = j.where("_large IS NULL OR i IS NOT NULL").where(F.col("i").isNull() | (F.col("pos") < F.col(at)) | (F.col("pos") >= F.col(at) + F.col("size")))
+            after = F.col("i").isNotNull() & (F.col("pos") > F.col(at))
+            return pin(j.select(*unit, F.when(after, F.col("i") + F.col("size")).otherwise(F.col("_seg")).alias("_seg"), "pos", "_code", "_id"))
+
+        a, b = rest(a, "i"), rest(b, "j")
+
+    types = {f.name: f.dataType.simpleString() for f in (*a.schema.fields, *left.schema.fields, *right.schema.fields)}
+    schema = ", ".join(f"{u} {types[u]}" for u in unit) + f", _i bigint, _j bigint, {left_id} {types[left_id]}, {right_id} {types[right_id]}"
+
+    def align(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.sort_by("pos"), y.sort_by("pos")
+        match = SequenceMatcher(None, x.column("_code").to_pylist(), y.column("_code").to_pylist(), autojunk=False) if x.num_rows and y.num_rows else None
+        blocks = match.get_matching_blocks() if match else []
+        at = [pa.array([block[k] + n for block in blocks for n in range(block.size)], pa.int64()) for k in (0, 1)]
+        named = [(x, left_id, at[0]), (y, right_id, at[1])]
+        units = [x.column(u).take(at[0]) for u in unit]
+        return pa.Table.from_arrays([*units, *(t.column("pos").take(i) for t, _, i in named), *(t.column("_id").take(i) for t, _, i in named)], names=[*unit, "_i", "_j", left_id, right_id])
+
+    small = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(align, schema)
+    found = pin(small if pairs is None else small.unionByName(pairs.select(small.columns)))
+    found = scan_shift(found, unit, ["_i"], _pi=F.col("_i"), _pj=F.col("_j"))
+    new = F.col("_pi").isNull() | (F.col("_i") != F.col("_pi") + 1) | (F.col("_j") != F.col("_pj") + 1)
+    found = scan_sum(found.withColumn("_new", new.cast("bigint")), unit, ["_i"], _block=F.col("_new"))
+    return found.select(*unit, left_id, right_id, (F.col("_block") - 1).cast("int").alias("block_no"))

@@ -168,7 +168,20 @@ def d10(spark, sf):
                               ["ts", "right_id"], "left_id", "right_id")
 
 
-@query("d11_sequence_alignment")
+@query("d11_sequence_alignment", f"""WITH RECURSIVE {TRIALS_SQL},
+a AS (SELECT entity, session, row_number() OVER (PARTITION BY entity, session ORDER BY epoch_us(ts), event_id) - 1 AS i, event_id AS left_id, k % 10 AS code FROM trials WHERE event_type = 'click'),
+b AS (SELECT entity, session, row_number() OVER (PARTITION BY entity, session ORDER BY epoch_us(ts), event_id) - 1 AS j, event_id AS right_id, k % 10 AS code FROM trials WHERE event_type = 'view'),
+pr AS (SELECT a.entity, a.session, i, j FROM a JOIN b ON a.entity = b.entity AND a.session = b.session AND a.code IS NOT DISTINCT FROM b.code),
+rn AS (SELECT entity, session, i - j AS d, min(i) AS i0, max(i) + 1 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY entity, session, i - j ORDER BY i) AS g FROM pr) GROUP BY entity, session, i - j, g),
+walk(entity, session, alo, ahi, blo, bhi, m) AS (
+ SELECT entity, session, 0::BIGINT, n, 0::BIGINT, m, min({{'s': i0 - i1, 'i': i0, 'j': i0 - d}}) FROM (SELECT entity, session, count(*) AS n FROM a GROUP BY ALL) JOIN (SELECT entity, session, count(*) AS m FROM b GROUP BY ALL) USING (entity, session) JOIN rn USING (entity, session) GROUP BY ALL
+ UNION ALL
+ SELECT entity, session, alo, ahi, blo, bhi, min({{'s': greatest(i0, alo, blo + d) - least(i1, ahi, bhi + d), 'i': greatest(i0, alo, blo + d), 'j': greatest(i0, alo, blo + d) - d}})
+ FROM (SELECT entity, session, c.alo, c.ahi, c.blo, c.bhi FROM (SELECT entity, session, unnest([{{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j}}, {{'alo': m.i - m.s, 'ahi': ahi, 'blo': m.j - m.s, 'bhi': bhi}}]) AS c FROM walk))
+ JOIN rn USING (entity, session) WHERE least(i1, ahi, bhi + d) > greatest(i0, alo, blo + d) GROUP BY ALL),
+hit AS (SELECT entity, session, m.i + k AS i, m.j + k AS j FROM (SELECT entity, session, m, unnest(range(0, -m.s)) AS k FROM walk)),
+num AS (SELECT *, CASE WHEN i = lag(i) OVER w + 1 AND j = lag(j) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY entity, session ORDER BY i))
+SELECT entity, session, left_id, right_id, CAST(sum(fresh) OVER (PARTITION BY entity, session ORDER BY i) - 1 AS INT) AS block_no FROM num JOIN a USING (entity, session, i) JOIN b USING (entity, session, j)""")
 def d11(spark, sf):
     # two code sequences of one recording session: recorded clicks and logged views, coded by k modulo 10
     t = trials(spark, sf).select("entity", "session", d.micros(F.col("ts")).alias("us"), (F.col("k") % 10).alias("code"), "event_id", "event_type")
@@ -183,7 +196,8 @@ asof_events AS (SELECT recording, seq, code, pos,
   last_value(CASE WHEN code IN (1, 2, 3) THEN code END IGNORE NULLS) OVER w AS prop_marker,
   last_value(CASE WHEN code IN (1, 2, 3) THEN pos END IGNORE NULLS) OVER w AS prop_marker_pos,
   last_value(CASE WHEN code BETWEEN 110 AND 253 THEN code END IGNORE NULLS) OVER w AS sentence,
-  last_value(CASE WHEN code BETWEEN 40 AND 99 THEN code END IGNORE NULLS) OVER w AS word
+  last_value(CASE WHEN code BETWEEN 40 AND 99 THEN code END IGNORE NULLS) OVER w AS word,
+  last_value(CASE WHEN code BETWEEN 40 AND 99 THEN pos END IGNORE NULLS) OVER w AS word_pos
  FROM (SELECT *, coalesce(bid, 0) AS g FROM b) WINDOW w AS (PARTITION BY recording, g ORDER BY pos, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
@@ -308,17 +322,17 @@ def d19(spark, sf):
 
 
 @query("d20_family_merge", """
-WITH f AS (SELECT l_suppkey AS term, l_returnflag AS family, avg(l_extendedprice) AS est, quantile_cont(l_extendedprice, 0.975) - quantile_cont(l_extendedprice, 0.025) AS width
+WITH f AS (SELECT l_suppkey AS term, l_linestatus AS family, avg(l_extendedprice) AS est, quantile_cont(l_extendedprice, 0.975) - quantile_cont(l_extendedprice, 0.025) AS width
   FROM lineitem GROUP BY ALL)
 SELECT a.term, round(a.est, 4) AS est_main, round(b.est, 4) AS est_alt, round(b.est - a.est, 4) AS shift, round(b.width / a.width, 6) AS width_ratio
-FROM f a JOIN f b USING (term) WHERE a.family = 'A' AND b.family = 'R'""")
+FROM f a JOIN f b USING (term) WHERE a.family = 'F' AND b.family = 'O'""")
 def d20(spark, sf):
-    f = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("A", "R")).groupBy(
-        F.col("l_suppkey").alias("term"), F.col("l_returnflag").alias("family")).agg(
+    f = table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("term"), F.col("l_linestatus").alias("family")).agg(
         F.avg("l_extendedprice").alias("est"), F.percentile("l_extendedprice", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     f = f.withColumn("width", F.col("q")[1] - F.col("q")[0])
     g = f.groupBy("term").agg(*[F.max(F.when(F.col("family") == k, F.col(c))).alias(f"{c}_{n}")
-                                for k, n in (("A", "main"), ("R", "alt")) for c in ("est", "width")])
+                                for k, n in (("F", "main"), ("O", "alt")) for c in ("est", "width")])
     return g.filter("est_main is not null and est_alt is not null").select(
         "term", r6("est_main", "est_main", 4), r6("est_alt", "est_alt", 4),
         r6(F.col("est_alt") - F.col("est_main"), "shift", 4), r6(F.col("width_alt") / F.col("width_main"), "width_ratio"))
