@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from trialweave.functions.dist import beta_inc, norm_quantile_sql
+from trialweave.operators.permute import sum_arrays
 from trialweave.operators.skew import exact_quantiles, mid_ranks, null_safe_join, scan_index, scan_min, with_group_stats
 from trialweave.runtime import pin
 
@@ -131,56 +133,83 @@ def split_rhat(df: DataFrame, keys: list[str], half: list[str], value: str) -> D
     return g.select(*keys, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("vm")) / F.col("w")).alias("rhat"))
 
 
-def _autocov(x: np.ndarray) -> np.ndarray:
-    n = len(x)
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(x - x.mean(), size)
-    return np.fft.irfft(f * np.conj(f), size)[:n] / n
+def lag_sums(df: DataFrame, cols: list[str], order: str, values: dict[str, str], lags: int, chunk_rows: int = 8192) -> DataFrame:
+    """(cols, measure, n, mean, sums): per chain and column the sums of centred products at lags 0 to ``lags`` - 1.
 
-
-def effective_sizes(df: DataFrame, keys: list[str], half: list[str], order: str, values: dict[str, str]) -> DataFrame:
+    A chain is cut into chunks of consecutive positions; a chunk also carries the next ``lags`` - 1 values, so each task
+    adds the products that begin in its chunk, and the sums add up over chunks. No task holds a chain.
+    """
+    size = max(chunk_rows, lags)
+    d = with_group_stats(df.select(*cols, order, *values), cols, _n=F.count(F.lit(1)), **{f"_m_{c}": F.avg(c) for c in values})
+    d = d.withColumn("_chunk", F.floor(F.col(order) / size))
+    into = F.when(F.col(order) - F.col("_chunk") * size < lags - 1, F.array(F.col("_chunk"), F.col("_chunk") - 1)).otherwise(F.array(F.col("_chunk")))
+    d = d.withColumn("_in", F.explode(into)).withColumn("_own", F.col("_in") == F.col("_chunk"))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
+
+    def products(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        own = group.column("_own").to_numpy(zero_copy_only=False)
+        out = []
+        for c in values if own.any() else ():
+            x = group.column(c).to_numpy().astype(float) - group.column(f"_m_{c}")[0].as_py()
+            wide = 1 << (len(x) + lags).bit_length()
+            f = np.conj(np.fft.rfft(np.where(own, x, 0.0), wide)) * np.fft.rfft(x, wide)
+            out.append(np.fft.irfft(f, wide)[:lags])
+        one = {c: group.column(c).slice(0, 1).combine_chunks() for c in cols}
+        at = pa.array([0] * len(out), pa.int32())
+        first = lambda c: group.column(c)[0].as_py()
+        return pa.table({**{c: v.take(at) for c, v in one.items()}, "measure": pa.array(list(values.values())[: len(out)], pa.string()), "n": pa.array([first("_n")] * len(out), pa.int64()),
+                         "mean": pa.array([first(f"_m_{c}") for c in values][: len(out)], pa.float64()), "sums": pa.array(out, pa.list_(pa.float64()))})
+
+    parts = d.groupBy(*cols, "_in").applyInArrow(products, f"{kinds}, measure string, n bigint, mean double, sums array<double>")
+    return sum_arrays(parts, [*cols, "measure", "n", "mean"], "sums")
+
+
+def effective_sizes(df: DataFrame, keys: list[str], half: list[str], order: str, values: dict[str, str], lags: int = 1024) -> DataFrame:
     """Effective sample size of several columns ({column: output name}) in one pass.
 
-    Autocovariances come from one half chain per task (its length is a sampler setting, not the data's
-    size); everything after that is sums and running minima over lags.
+    Autocovariances of the first ``lags`` lags come from chunks of half chains; everything after that is sums and running
+    minima over lags. Series whose positive sequence has not ended by then go on with eight times as many.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cols = keys + half
-    schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", measure string, lag bigint, acov double, mean double, n double"
-
-    def lags(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(order)
-        parts = []
-        for c, name in values.items():
-            x = ordered[c].to_numpy(float)
-            parts.append(pd.DataFrame({"measure": name, "lag": np.arange(len(x)), "acov": _autocov(x), "mean": x.mean(), "n": float(len(x))}))
-        out = pd.concat(parts)
-        for c in cols:
-            out[c] = pdf[c].iloc[0]
-        return out[cols + ["measure", "lag", "acov", "mean", "n"]]
-
     k = keys + ["measure"]
-    a = df.select(*cols, order, *values).groupBy(*cols).applyInPandas(lags, schema)
-    per_lag = pin(a.groupBy(*k, "lag").agg(F.avg("acov").alias("acov"), F.min("n").alias("n"), F.count(F.lit(1)).alias("chains"), F.var_samp("mean").alias("vm")))
+    done, open_ = None, df
+    while True:
+        found = _sizes_from_lags(lag_sums(open_, keys + half, order, values, lags), keys, lags)
+        found = pin(found)
+        more = found.where(~F.col("known")).select(*keys).distinct()
+        if more.isEmpty():
+            done = found if done is None else done.unionByName(found)
+            break
+        settled = null_safe_join(found, more.withColumn("_open", F.lit(True)), keys).where("_open IS NULL").drop("_open")
+        done = settled if done is None else done.unionByName(settled)
+        open_, lags = null_safe_join(open_, pin(more), keys, "inner"), lags * 8
+    return done.select(*k, "size").groupBy(*keys).pivot("measure", list(values.values())).agg(F.first("size"))
+
+
+def _sizes_from_lags(sums: DataFrame, keys: list[str], lags: int) -> DataFrame:
+    """(keys, measure, size, known): ``known`` where the lags at hand decide the size."""
+    k = keys + ["measure"]
+    a = sums.select(*k, "n", "mean", F.posexplode("sums").alias("lag", "_s")).where("lag < n").withColumn("acov", F.col("_s") / F.col("n"))
+    per_lag = pin(a.groupBy(*k, "lag").agg(F.avg("acov").alias("acov"), F.min("n").alias("n"), F.max("n").alias("longest"), F.count(F.lit(1)).alias("chains"), F.var_samp("mean").alias("vm")))
     head = per_lag.filter("lag = 0").select(*k, (F.col("acov") * F.col("n") / (F.col("n") - 1)).alias("w"), F.coalesce("vm", F.lit(0.0)).alias("b"),
-                                            F.col("n").alias("n0"), F.col("chains").alias("c0"))
-    d = per_lag.select(*k, "lag", "acov").join(head, k)
+                                            F.col("n").alias("n0"), F.col("chains").alias("c0"), "longest")
+    d = null_safe_join(per_lag.select(*k, "lag", "acov"), head, k, "inner")
     vp = F.col("w") * (F.col("n0") - 1) / F.col("n0") + F.col("b")
-    d = d.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("w") - F.col("acov")) / vp)).withColumn("k", F.floor(F.col("lag") / 2))
-    pairs = d.groupBy(*k, "k").agg(F.sum("rho").alias("pair"), F.max(F.when(F.col("lag") % 2 == 0, F.col("rho"))).alias("even"), F.count(F.lit(1)).alias("m"),
-                                   F.first("n0").alias("n0"), F.first("c0").alias("c0"))
+    d = d.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("w") - F.col("acov")) / vp)).withColumn("_at", F.floor(F.col("lag") / 2))
+    pairs = d.groupBy(*k, "_at").agg(F.sum("rho").alias("pair"), F.max(F.when(F.col("lag") % 2 == 0, F.col("rho"))).alias("even"), F.count(F.lit(1)).alias("m"),
+                                   F.first("n0").alias("n0"), F.first("c0").alias("c0"), F.first("longest").alias("longest"))
     # initial positive sequence: everything before the first non-positive pair, made monotone
-    pairs = scan_min(pairs.filter("m = 2 and 2 * k < n0 - 3"), k, ["k"], _low=F.col("pair"))
+    pairs = scan_min(pairs.filter("m = 2 and 2 * _at < n0 - 3"), k, ["_at"], _low=F.col("pair"))
     # the running minimum turns non-positive exactly at the first non-positive pair
-    open_, last = F.col("_low") > 0, F.struct("k", "even")
+    open_, last = F.col("_low") > 0, F.struct("_at", "even")
     g = pairs.groupBy(*k).agg(
         F.sum(F.when(open_, F.col("_low"))).alias("s"), F.min(F.when(~open_, last)).alias("_stop"), F.max(last).alias("_end"),
-        F.max_by("_low", "k").alias("_tail"), F.max(F.col("n0") * F.col("c0")).alias("total"))
+        F.max_by("_low", "_at").alias("_tail"), F.max(F.col("n0") * F.col("c0")).alias("total"), F.max("longest").alias("longest"))
     # without a stop the last pair closes the sum through its even term only
     s = F.coalesce("s", F.lit(0.0)) - F.when(F.col("_stop").isNull(), F.col("_tail")).otherwise(0.0)
     t = F.greatest(F.coalesce(F.col("_stop.even"), F.col("_end.even")), F.lit(0.0))
     tau = F.greatest(-1 + 2 * s + t, 1 / F.log10("total"))
-    return g.groupBy(*keys).pivot("measure", list(values.values())).agg(F.first(F.col("total") / tau))
+    return g.select(*k, (F.col("total") / tau).alias("size"), (F.col("_stop").isNotNull() | (F.col("longest") <= lags)).alias("known"))
 
 
 def half_chains(draws: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialweave.functions.dist import norm_quantile_sql
 from trialweave.operators import draws as dr
 from trialweave.operators.filters import rt_band
 from trialweave.operators.recode import contrast_columns, model_fields
@@ -33,9 +34,43 @@ def m30(spark, sf):
     return _rounded(summary(spark, sf), ["model", "parameter"])
 
 
-@query("m31_convergence")
+# half chains; normal scores of the pooled mid-ranks of the values and of their distances from the median; autocovariances by self-join
+HALVES_SQL = """
+nb AS (SELECT *, row_number() OVER (PARTITION BY {keys}, chain ORDER BY iter) AS i, count(*) OVER (PARTITION BY {keys}, chain) AS n FROM {rows}),
+hc AS (SELECT {keys}, chain, i, CASE WHEN i <= n // 2 THEN 0 ELSE 1 END AS half, value FROM nb WHERE i <= n // 2 OR i > n - n // 2)"""
+ESS_SQL = """
+mo AS (SELECT {keys}, measure, chain, half, avg(v) AS m, count(*) AS n FROM se GROUP BY ALL),
+ce AS (SELECT {keys}, measure, chain, half, i, v - m AS c FROM se JOIN mo USING ({keys}, measure, chain, half)),
+ac AS (SELECT {keys}, measure, chain, half, b.i - a.i AS lag, sum(a.c * b.c) AS s FROM ce a JOIN ce b USING ({keys}, measure, chain, half) WHERE b.i >= a.i GROUP BY ALL),
+pl AS (SELECT {keys}, measure, lag, avg(s / n) AS acov, min(n) AS n, count(*) AS chains, var_samp(m) AS vm FROM ac JOIN mo USING ({keys}, measure, chain, half) GROUP BY ALL),
+hd AS (SELECT {keys}, measure, acov * n / (n - 1) AS w, coalesce(vm, 0) AS b, n AS n0, chains AS c0 FROM pl WHERE lag = 0),
+ro AS (SELECT {keys}, measure, lag, n0, c0, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - acov) / (w * (n0 - 1) / n0 + b) END AS rho FROM pl JOIN hd USING ({keys}, measure)),
+pr AS (SELECT * FROM (SELECT {keys}, measure, k, count(*) AS m, sum(rho) AS pair, max(CASE WHEN lag % 2 = 0 THEN rho END) AS even, any_value(n0) AS n0, any_value(c0) AS c0 FROM (SELECT *, lag // 2 AS k FROM ro) GROUP BY {keys}, measure, k) WHERE m = 2 AND 2 * k < n0 - 3),
+lw AS (SELECT *, min(pair) OVER (PARTITION BY {keys}, measure ORDER BY k) AS low FROM pr),
+es AS (SELECT {keys}, measure, max(n0 * c0) AS total, coalesce(sum(low) FILTER (low > 0), 0) - CASE WHEN count(*) FILTER (low <= 0) = 0 THEN arg_max(low, k) ELSE 0 END AS s,
+  greatest(coalesce(arg_min(even, k) FILTER (low <= 0), arg_max(even, k)), 0) AS t FROM lw GROUP BY ALL),
+ess AS (SELECT {keys}, measure, total / greatest(-1 + 2 * s + t, 1 / log10(total)) AS size FROM es)"""
+
+
+def _scores_sql(value: str, name: str) -> str:
+    rank = f"rank() OVER (PARTITION BY model, parameter ORDER BY {value}) + (count(*) OVER (PARTITION BY model, parameter, {value}) - 1) / 2.0::DOUBLE"
+    return f"{norm_quantile_sql(f'(({rank}) - 0.375) / (count(*) OVER (PARTITION BY model, parameter) + 0.25)')} AS {name}"
+
+
+@query("m31_convergence", f"""WITH {DRAWS_SQL}, {HALVES_SQL.format(keys='model, parameter', rows='draws')},
+q AS (SELECT model, parameter, quantile_cont(value, 0.5) AS md, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95 FROM hc GROUP BY ALL),
+fo AS (SELECT hc.*, abs(value - md) AS fold, CASE WHEN value <= q05 THEN 1.0 ELSE 0.0 END::DOUBLE AS lo, CASE WHEN value <= q95 THEN 1.0 ELSE 0.0 END::DOUBLE AS hi FROM hc JOIN q USING (model, parameter)),
+z AS (SELECT model, parameter, chain, half, i, lo, hi, {_scores_sql('value', 'z')}, {_scores_sql('fold', 'zf')} FROM fo),
+se AS (SELECT model, parameter, chain, half, i, unnest(['z', 'zf', 'lo', 'hi']) AS measure, unnest([z, zf, lo, hi]) AS v FROM z),
+hm AS (SELECT model, parameter, measure, chain, half, avg(v) AS m, var_samp(v) AS v, count(*)::DOUBLE AS n FROM se GROUP BY ALL),
+rh AS (SELECT model, parameter, measure, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM hm GROUP BY ALL),
+{ESS_SQL.format(keys='model, parameter')},
+pp AS (SELECT model, parameter, (SELECT max(rhat) FROM rh r WHERE r.model = e.model AND r.parameter = e.parameter AND r.measure IN ('z', 'zf')) AS rhat, max(size) FILTER (measure = 'z') AS bulk, min(size) FILTER (measure IN ('lo', 'hi')) AS tail FROM ess e GROUP BY ALL),
+g AS (SELECT model, max(rhat) AS r, min(bulk) AS b, min(tail) AS t FROM pp GROUP BY model)
+SELECT model, round(r, 6) AS max_rhat, round(b, 4) AS min_ess_bulk, round(t, 4) AS min_ess_tail, 0 AS n_divergent, r < 1.01 AND b > 400 AND t > 400 AS passed FROM g""")
 def m31(spark, sf):
-    return dr.convergence(draws(spark, sf), ["model", "parameter"])
+    c = dr.convergence(draws(spark, sf), ["model", "parameter"])
+    return c.select("model", r6("max_rhat", "max_rhat"), r6("min_ess_bulk", "min_ess_bulk", 4), r6("min_ess_tail", "min_ess_tail", 4), "n_divergent", "passed")
 
 
 CODES_SQL = f"""{TRIALS_SQL},
