@@ -94,12 +94,12 @@ def a06(spark, sf):
 def _marker_lines(spark, sf):
     m = markers(spark, sf)
     code = F.concat(F.lit("S"), F.lpad(F.col("code").cast("string"), 3, " "))
-    line = F.format_string("Mk%d=Stimulus,%s,%d,1,0", F.col("seq") + 1, code, F.floor(F.col("pos") / 2000) % 1_000_000_000 + 1)
+    line = F.format_string("Mk%d=Stimulus,%s,%d,1,0", F.col("seq") + 1, code, F.floor(F.col("pos") / 2000) + 1)
     noise = F.when(F.col("seq") % 50 == 0, F.concat(F.lit("; comment\n"), line)).otherwise(line)
     return m.select((F.col("recording") % 8).alias("folder"), noise.alias("value"))
 
 
-@query("a07_marker_scan", f"""WITH {MARKERS_SQL} SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(sum(seq + 1) AS BIGINT) AS seq_sum, CAST(sum(pos // 2000 % 1000000000) AS BIGINT) AS position_sum FROM markers GROUP BY code""")
+@query("a07_marker_scan", f"""WITH {MARKERS_SQL} SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(sum(seq + 1) AS BIGINT) AS seq_sum, CAST(sum(pos // 2000) AS BIGINT) AS position_sum FROM markers GROUP BY code""")
 def a07(spark, sf):
     root = scratch_dir(spark, "markers")
     _marker_lines(spark, sf).write.partitionBy("folder").text(root)
@@ -150,27 +150,36 @@ def a10(spark, sf):
     return out.select("vec_id", "channel", r6(total, "total", 4), F.size("samples").alias("n_samples"))
 
 
-# signups are logged without their last two fields; the record that ends the file of an even part was cut in transfer
+# signups are logged without their last two fields; the record that ends the file of an even part was cut in transfer;
+# views carry a quoted line break, and a quoted comma, in their last field
 @query("a11_truncated_records", """
 WITH e AS (SELECT *, event_id % 8 AS part, event_id = max(event_id) OVER (PARTITION BY event_id % 8) AS ends FROM events),
 s AS (SELECT *, event_type = 'signup' OR (ends AND part % 2 = 0) AS short FROM e)
 SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(count(*) FILTER (short AND ends) AS BIGINT) AS n_cut, CAST(count(*) FILTER (short AND NOT ends) AS BIGINT) AS n_padded,
- CAST(sum(event_id) FILTER (NOT (short AND ends)) AS BIGINT) AS id_sum, CAST(count(*) FILTER (NOT short) AS BIGINT) AS n_typed FROM s""")
+ CAST(sum(event_id) FILTER (NOT (short AND ends)) AS BIGINT) AS id_sum, CAST(count(*) FILTER (NOT short) AS BIGINT) AS n_typed, CAST(count(*) FILTER (NOT short AND event_type = 'view') AS BIGINT) AS n_broken FROM s""")
 def a11(spark, sf):
     root = scratch_dir(spark, "cut")
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", (F.col("event_id") % 8).alias("part"))
     ends = e.groupBy("part").agg(F.max("event_id").alias("event_id")).filter("part % 2 = 0").withColumn("ends", F.lit(True))
     e = e.join(ends, ["part", "event_id"], "left")
-    whole = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type")
+    last = F.when(F.col("event_type") == "view", F.lit('"vi\new, ""twice"""')).otherwise(F.col("event_type"))
+    whole = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), last)
     value = F.when((F.col("event_type") == "signup") | F.col("ends"), F.col("event_id").cast("string")).otherwise(whole)
     e.select("event_id", "part", value.alias("value")).repartition(8, "part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(root)
     good, note = lg.read_truncated(spark, root, "event_id bigint, user_id bigint, event_type string")
-    return good.agg(F.sum("event_id").alias("id_sum"), F.count("event_type").alias("n_typed")).crossJoin(note.agg(*[F.sum(c).alias(c) for c in ("n_records", "n_padded", "n_cut")]))
+    broken = F.count_if(F.col("event_type") == F.lit('vi\new, "twice"')).alias("n_broken")
+    return good.agg(F.sum("event_id").alias("id_sum"), F.count("event_type").alias("n_typed"), broken).crossJoin(note.agg(*[F.sum(c).alias(c) for c in ("n_records", "n_padded", "n_cut")]))
 
 
 @query("a12_header_patterns", "SELECT c_custkey AS id, c_acctbal AS score, c_mktsegment AS grp FROM customer")
 def a12(spark, sf):
-    return lg.locate_columns(table(spark, sf, "customer"), {"id": "custkey$", "score": "^c_acct", "grp": "SEGMENT"})
+    c = lg.locate_columns(table(spark, sf, "customer"), {"id": "custkey$", "score": "^c_acct", "grp": "SEGMENT"})
+    # the same rows as a headless sheet: an item row with a line break, a label row, then the data
+    sheet = c.select(F.lit(3).alias("row"), F.col("id").cast("string").alias("c1"), F.col("score").cast("string").alias("c2"), F.col("grp").alias("c3"))
+    heads = spark.createDataFrame([(1, "Participant\nID", "Score", "Group"), (2, None, "Language 1", "Segment")], sheet.schema)
+    layout = {(1, "c1"): "Participant ID", (1, "c3"): "Group", (2, "c2"): "^Language [1-4]$"}
+    rows = lg.check_layout(heads.unionByName(sheet), "row", layout).where("row > 2")
+    return rows.select(F.col("c1").cast("bigint").alias("id"), F.col("c2").cast("double").alias("score"), F.col("c3").alias("grp"))
 
 
 _ROSTER_SQL = """
@@ -208,8 +217,11 @@ def a15(spark, sf):
     return p.groupBy("label", F.coalesce("key", F.lit("unknown")).alias("key")).agg(_n().alias("n"), _n(~F.col("p_size").between(1, 45)).alias("n_outside"))
 
 
-@query("a16_cell_files", f"""WITH {CELLS_SQL}, w(win) AS (VALUES ('w1'), ('w2'))
-SELECT win, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_repeated, FALSE AS files_agree, TRUE AS all_present FROM cells, w WHERE win = 'w1' OR n_trials > 1 GROUP BY win""")
+@query("a16_cell_files", f"""WITH {CELLS_SQL}, w(win) AS (VALUES ('w1'), ('w2')),
+fi AS (SELECT win, entity, session, property, condition, n_trials FROM cells, w WHERE win = 'w1' OR n_trials > 1),
+tr AS (SELECT *, count(*) AS c FROM fi GROUP BY ALL),
+df AS (SELECT count(*) AS n FROM (SELECT entity, session, property, condition, n_trials, c, count(*) AS files FROM tr GROUP BY ALL HAVING count(*) < (SELECT count(DISTINCT win) FROM tr)))
+SELECT win, CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_repeated, (SELECT n = 0 FROM df) AS files_agree, (SELECT count(DISTINCT win) = 2 FROM tr) AS all_present FROM tr GROUP BY win""")
 def a16(spark, sf):
     root = scratch_dir(spark, "cells")
     c = cells(spark, sf)
@@ -247,31 +259,39 @@ def a19(spark, sf):
     return so.overlay_rows(legacy, overlay, ["o_custkey"]).groupBy("source").agg(_n().alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
+# one overlay file per supplier; files of suppliers in debt have one byte changed after the manifest was written, the first
+# nation's never arrived, and the last nation's are not listed
 _OVERLAY_SQL = """
-lg AS (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS file, o_custkey AS record FROM orders),
-mf AS (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS file, o_custkey AS record, CASE WHEN o_orderpriority = '5-LOW' THEN 'markers_rebuilt' WHEN o_totalprice > 499000 THEN 'other' ELSE 'reprocessed' END AS kind,
-  CASE WHEN o_totalprice < 2000 THEN 'fail' ELSE 'pass' END AS status, md5(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders WHERE o_orderstatus = 'F'),
-dk AS (SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS file, md5(CASE WHEN o_totalprice > 498000 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END) AS sha FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1500 OR o_orderstatus = 'P' AND o_totalprice > 499500),
-sc AS (SELECT c_custkey AS record FROM customer WHERE c_acctbal > -900), rp AS (SELECT * FROM mf WHERE kind = 'reprocessed')"""
+su AS (SELECT s.*, n_nationkey = (SELECT min(n_nationkey) FROM nation) AS lost, n_nationkey = (SELECT max(n_nationkey) FROM nation) AS unlisted, 'r' || CAST(s_nationkey AS VARCHAR) AS record FROM supplier s JOIN nation ON s_nationkey = n_nationkey),
+lg AS (SELECT s_name AS stem, record FROM su),
+mf AS (SELECT s_name AS stem, record, CASE WHEN s_acctbal > 9000 THEN 'other' WHEN s_acctbal > 6000 THEN 'markers_rebuilt' ELSE 'reprocessed' END AS kind, CASE WHEN s_acctbal BETWEEN 4000 AND 5000 THEN 'fail' ELSE 'pass' END AS status,
+  sha256(s_name || ' ' || s_suppkey || chr(10)) AS sha FROM su WHERE NOT unlisted),
+dk AS (SELECT s_name AS stem, sha256(s_name || CASE WHEN s_acctbal < 0 THEN '_' ELSE ' ' END || s_suppkey || chr(10)) AS sha FROM su WHERE NOT lost),
+sc AS (SELECT DISTINCT 'r' || CAST(s_nationkey AS VARCHAR) AS record FROM supplier WHERE s_acctbal > 8000), rp AS (SELECT * FROM mf WHERE kind = 'reprocessed')"""
 
 
 @query("a20_overlay_admission", f"""WITH {_OVERLAY_SQL},
-v AS (SELECT 'not passing' AS rule, file FROM mf WHERE status <> 'pass' UNION ALL SELECT 'not in the manifest', file FROM dk ANTI JOIN mf USING (file) UNION ALL SELECT 'not on disk', file FROM mf ANTI JOIN dk USING (file)
- UNION ALL SELECT 'hash differs', mf.file FROM mf JOIN dk USING (file) WHERE mf.sha <> dk.sha UNION ALL SELECT 'unknown kind', file FROM mf WHERE kind = 'other' UNION ALL SELECT 'out of scope', file FROM rp WHERE record NOT IN (SELECT record FROM sc)
- UNION ALL SELECT 'record incomplete', file FROM lg WHERE record IN (SELECT record FROM rp) AND file NOT IN (SELECT file FROM rp))
-SELECT rule, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY rule""")
+v AS (SELECT 'not passing' AS rule, stem FROM mf WHERE status <> 'pass' UNION ALL SELECT 'not in the manifest', stem FROM dk ANTI JOIN mf USING (stem) UNION ALL SELECT 'not on disk', stem FROM mf ANTI JOIN dk USING (stem)
+ UNION ALL SELECT 'hash differs', mf.stem FROM mf JOIN dk USING (stem) WHERE mf.sha <> dk.sha UNION ALL SELECT 'unknown kind', stem FROM mf WHERE kind = 'other' UNION ALL SELECT 'out of scope', stem FROM rp WHERE record NOT IN (SELECT record FROM sc)
+ UNION ALL SELECT 'record incomplete', stem FROM lg WHERE record IN (SELECT record FROM rp) AND stem NOT IN (SELECT stem FROM rp))
+SELECT rule, stem FROM v""")
 def a20(spark, sf):
-    o = table(spark, sf, "orders")
-    k, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice")
-    file = F.concat(F.lit("f"), k).alias("file")
-    legacy = o.select(file, F.col("o_custkey").alias("record"))
-    manifest = o.filter("o_orderstatus = 'F'").select(
-        file, F.col("o_custkey").alias("record"), F.when(F.col("o_orderpriority") == "5-LOW", "markers_rebuilt").when(price > 499000, "other").otherwise("reprocessed").alias("kind"),
-        F.when(price < 2000, "fail").otherwise("pass").alias("status"), F.lit("as_legacy").alias("conventions"), F.md5(k).alias("sha256"))
-    disk = o.filter("o_orderstatus = 'F' AND o_totalprice > 1500 OR o_orderstatus = 'P' AND o_totalprice > 499500").select(
-        file, F.md5(F.when(price > 498000, "x").otherwise(k)).alias("sha256"))
-    scope = table(spark, sf, "customer").filter("c_acctbal > -900").select(F.col("c_custkey").alias("record"))
-    return so.overlay_violations(manifest, disk, legacy, scope).groupBy("rule").agg(_n().alias("n"))
+    nations = table(spark, sf, "nation").agg(F.min("n_nationkey").alias("lost"), F.max("n_nationkey").alias("unlisted"))
+    s = table(spark, sf, "supplier").crossJoin(F.broadcast(nations))  # one row
+    debt = F.col("s_acctbal") < 0
+    body = lambda gap: F.concat("s_name", gap, F.col("s_suppkey").cast("string"))
+    root = scratch_dir(spark, "overlay")
+    s.where("s_nationkey <> lost").select("s_name", body(F.when(debt, F.lit("_")).otherwise(F.lit(" "))).alias("value")).repartition("s_name").write.partitionBy("s_name").text(root)
+    stem = F.regexp_extract(F.url_decode("file"), "s_name=([^/]*)", 1)
+    disk = so.disk_hashes(spark, root).where(F.col("file").endswith(".txt")).withColumn("file", stem)
+    record = F.concat(F.lit("r"), F.col("s_nationkey").cast("string")).alias("record")
+    legacy = s.select(F.col("s_name").alias("file"), record)
+    kind = F.when(F.col("s_acctbal") > 9000, "other").when(F.col("s_acctbal") > 6000, "markers_rebuilt").otherwise("reprocessed")
+    status = F.when(F.col("s_acctbal").between(4000, 5000), "fail").otherwise("pass")
+    written = F.sha2(F.encode(F.concat(body(F.lit(" ")), F.lit("\n")), "UTF-8"), 256)
+    manifest = s.where("s_nationkey <> unlisted").select(F.col("s_name").alias("file"), record, kind.alias("kind"), status.alias("status"), F.lit("as_legacy").alias("conventions"), written.alias("sha256"))
+    scope = s.where("s_acctbal > 8000").select(record).distinct()
+    return so.overlay_violations(manifest, disk, legacy, scope).select("rule", F.col("file").alias("stem"))
 
 
 @query("a21_content_manifest", """
@@ -328,15 +348,50 @@ def a28(spark, sf):
     return p.select("table_name", "column_name", "class", "n_rows", "description")
 
 
-@query("a29_export_inventory", """
-WITH f AS (SELECT DISTINCT l_orderkey AS stem, CASE WHEN l_linenumber <= 3 THEN 'txt' WHEN l_linenumber <= 5 THEN 'vhdr' ELSE 'vmrk' END AS ext FROM lineitem),
-g AS (SELECT stem, max(CASE WHEN ext = 'txt' THEN 1 ELSE 0 END) AS t, max(CASE WHEN ext = 'vhdr' THEN 1 ELSE 0 END) AS h, max(CASE WHEN ext = 'vmrk' THEN 1 ELSE 0 END) AS m FROM f GROUP BY stem)
-SELECT t AS has_txt, h AS has_vhdr, m AS has_vmrk, t + h + m = 3 AS complete, CAST(count(*) AS BIGINT) AS n_stems, CAST(count(*) FILTER (o_orderkey IS NULL) AS BIGINT) AS n_near_miss FROM g LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON stem = o_orderkey GROUP BY ALL""")
-def a29(spark, sf):
-    line = F.col("l_linenumber")
-    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stem"), F.when(line <= 3, "txt").when(line <= 5, "vhdr").otherwise("vmrk").alias("ext")).distinct()
-    known = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("stem"), F.lit(True).alias("known"))
-    g = rd.export_inventory(f, ("txt", "vhdr", "vmrk")).join(known, "stem", "left")
-    return g.groupBy("has_txt", "has_vhdr", "has_vmrk", "complete").agg(_n().alias("n_stems"), _n(F.col("known").isNull()).alias("n_near_miss"))
+# one export per supplier, property and condition, cut into a header, marker lines and value lines of SEG values a trial
+_SEG = 4
+_EXPORT_SQL = """
+ex AS (SELECT l_suppkey AS pid, 1 + l_linenumber % 3 AS prop, 1 + l_partkey % 3 AS cond, count(*) AS n, sum(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS odd, min(l_shipdate) AS d0, count(DISTINCT 110 + l_partkey % 140) AS codes,
+  count(*) - count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS marked, count(*) FILTER (l_discount = 0.1) AS wrong FROM lineitem GROUP BY ALL)"""
+
 
+def _exports(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("pid"), (1 + F.col("l_linenumber") % 3).alias("prop"), (1 + F.col("l_partkey") % 3).alias("cond"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate",
+        (110 + F.col("l_partkey") % 140).alias("sentence"), (F.col("l_quantity") > 45).alias("odd"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).alias("bare"), (F.col("l_discount") == 0.1).alias("wrong"))
+    return li.withColumn("stem", F.concat(F.col("pid").cast("string"), F.lit("_trialbytrial_S"), F.col("prop").cast("string"), F.lit("_S10"), F.col("cond").cast("string")))
 
+
+@query("a29_export_inventory", f"""WITH {_EXPORT_SQL}
+SELECT CAST(pid AS VARCHAR) || '_trialbytrial_S' || prop || '_S10' || cond AS stem, 1 AS has_txt, CASE WHEN odd = 0 THEN 0 ELSE 1 END AS has_vhdr, 1 AS has_vmrk, odd > 0 AS complete,
+ CASE WHEN odd > 0 THEN (n + odd % 2)::DOUBLE END AS n_seg_vhdr, CAST(n AS BIGINT) AS n_newseg, n::DOUBLE AS n_seg_txt, coalesce(odd % 2 = 0 AND odd > 0, false) AS counts_agree,
+ CAST(n AS BIGINT) AS sentence_lines, CAST(codes AS BIGINT) AS distinct_codes, CAST(n AS BIGINT) AS segs_one_sentence, CAST(n - wrong AS BIGINT) AS segs_one_cond, CAST(marked AS BIGINT) AS segs_one_time0, CAST(wrong AS BIGINT) AS wrong_cond FROM ex""")
+def a29(spark, sf):
+    e = _exports(spark, sf)
+    per = e.groupBy("stem", "cond").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("odd"))
+    points = (F.col("n") + F.col("odd") % 2) * _SEG  # a header may promise one segment more than was written
+    headers = per.where("odd > 0").select("stem", F.concat(F.lit("NumberOfChannels=2\nDataPoints="), points.cast("string"), F.lit(f"\nSegmentDataPoints={_SEG}\n")).alias("value"))
+    values = per.select("stem", F.explode(F.array(F.lit("Fz"), F.lit("Cz"))).alias("sensor"), "n").select("stem", F.concat(F.col("sensor"), F.repeat(F.lit(" 1,5"), (F.col("n") * _SEG).cast("int"))).alias("value"))
+    s = lambda c: F.concat(F.lit("S"), F.lpad(c.cast("string"), 3, " "))
+    wrong = F.when(F.col("wrong"), s(101 + F.col("cond") % 3)).otherwise(s(100 + F.col("cond")))
+    at = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"]
+    lines = [("New Segment", F.lit("")), ("Stimulus", s(F.col("sentence"))), ("Stimulus", wrong), ("Time 0", F.when(~F.col("bare"), F.lit("")))]
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(lines)])
+    marks = e.select("stem", "cond", *at, F.explode(rows).alias("m")).where("m.text IS NOT NULL")
+    marks = marks.select("stem", F.struct(*at, "m.i").alias("line"), F.concat(F.lit("Mk1="), F.col("m.kind"), F.lit(","), F.col("m.text"), F.lit(",1,1,0")).alias("value"))
+    wanted = per.select("stem", (100 + F.col("cond")).cast("int").alias("cond_code"))
+    return rd.export_inventory(values, headers, marks, wanted, _SEG)
+
+
+@query("a29_near_names", f"""WITH {_EXPORT_SQL},
+kn AS (SELECT CAST(pid AS VARCHAR) || '_trialbytrial_S' || prop || '_S10' || cond || '.vmrk' AS name FROM ex),
+st AS (SELECT *, CAST(pid AS VARCHAR) || '_trialbytrial_S' || prop || '_S10' || cond AS stem FROM ex),
+ns AS (SELECT replace(stem, 'by', 'yb') || '.vmrk' AS name FROM st WHERE odd = 0 UNION SELECT replace(stem, '_S10', 'S10') || '.vmrk' FROM st WHERE odd = 1 UNION SELECT stem || '.vmrk.bak' FROM st WHERE odd = 2 UNION SELECT replace(stem, 'trialby', 'trialx') || '.vmrk' FROM st WHERE odd = 3)
+SELECT ns.name, kn.name AS near, CAST(levenshtein(ns.name, kn.name) AS INT) AS edits FROM ns JOIN kn ON levenshtein(ns.name, kn.name) <= 2""")
+def a29b(spark, sf):
+    per = _exports(spark, sf).groupBy("stem").agg(F.count_if("odd").alias("odd"))
+    name = lambda c: F.concat(c, F.lit(".vmrk"))
+    stem = F.col("stem")
+    strange = F.when(F.col("odd") == 0, name(F.replace(stem, F.lit("by"), F.lit("yb")))).when(F.col("odd") == 1, name(F.replace(stem, F.lit("_S10"), F.lit("S10")))) \
+        .when(F.col("odd") == 2, F.concat(stem, F.lit(".vmrk.bak"))).when(F.col("odd") == 3, name(F.replace(stem, F.lit("trialby"), F.lit("trialx"))))
+    return rd.near_names(per.select(strange.alias("name")).where("name IS NOT NULL"), per.select(name(stem).alias("name")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialweave.functions import design as d
 from trialweave.operators.recode import blank_to_null
+from trialweave.operators.skew import scan_sum
+from trialweave.runtime import pin
 
 # The log-file name rule.
 LOG_NAME = r"(?i)subject-([0-9]+)(-[A-Za-z]+)?\.csv$"
@@ -75,23 +77,37 @@ def read_logs(spark: SparkSession, paths, cols: list[str] | None = None, delimit
     return blank_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), nulls)
 
 
+def split_records(lines: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
+    """Records of text lines: a line that begins inside an open quotation belongs to the record before it.
+
+    Whether a quotation is open is the parity of the quotation marks so far, a running sum per file that crosses the
+    borders of blocks and tasks. Returns keys, ``at`` (order of the record's first line) and the record's text.
+    """
+    marks = F.length(value) - F.length(F.replace(F.col(value), F.lit('"'), F.lit("")))
+    d = scan_sum(lines, keys, order, inclusive=False, _marks=marks)
+    d = d.withColumn("_new", (F.coalesce("_marks", F.lit(0)) % 2 == 0).cast("bigint"))
+    d = scan_sum(d, keys, order, _record=F.col("_new"))
+    parts = d.groupBy(*keys, "_record").agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_l"))
+    return parts.select(*keys, F.struct(*[F.col("_l")[0][c].alias(c) for c in order]).alias("at"), F.array_join(F.transform("_l", lambda x: x[value]), "\n").alias(value))
+
+
 def read_truncated(spark: SparkSession, paths, schema: str, header: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records of possibly cut files (one record per line) and a note per file.
+    """Records of possibly cut files (a quoted field may hold line breaks) and a note per file.
 
     A short record inside a file is kept with nulls for what it lacks; a short record at the end of a file was cut by
     the transfer and is dropped. The note has n_records, n_padded and n_cut (0 or 1).
     """
     t = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    t = split_records(pin(t), ["file"], ["_block", "_row"])
     if header is not None:
         t = t.filter(F.col("value") != header)
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    r = t.select("file", "_block", "_row", F.from_csv("value", schema + ", _corrupt string", opts).alias("r"))
-    r = r.withColumn("_short", F.col("r._corrupt").isNotNull())
-    last = r.groupBy("file").agg(F.max(F.struct("_block", "_row", "_short")).alias("last"), F.count(F.lit(1)).alias("n_records"), F.count_if("_short").alias("n_short"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true", "escape": '"'}
+    r = pin(t.select("file", "at", F.from_csv("value", schema + ", _corrupt string", opts).alias("r")).withColumn("_short", F.col("r._corrupt").isNotNull()))
+    last = r.groupBy("file").agg(F.max(F.struct("at", "_short")).alias("last"), F.count(F.lit(1)).alias("n_records"), F.count_if("_short").alias("n_short"))
     cut = F.col("last._short").cast("bigint")
     note = last.select("file", "n_records", (F.col("n_short") - cut).alias("n_padded"), cut.alias("n_cut"))
-    ends = last.filter("last._short").select("file", F.col("last._block").alias("_block"), F.col("last._row").alias("_row"))
-    kept = r.join(ends, ["file", "_block", "_row"], "left_anti")
+    ends = last.filter("last._short").select("file", F.col("last.at").alias("at"))
+    kept = r.join(ends, ["file", "at"], "left_anti")
     return kept.select("file", "r.*").drop("_corrupt"), note
 
 
@@ -101,6 +117,20 @@ def batch_first(batch: DataFrame, named: DataFrame, entity: str) -> DataFrame:
     return batch.unionByName(rest, allowMissingColumns=True).distinct()
 
 
+def check_layout(raw: DataFrame, row: str, cells: dict[tuple[int, str], str]) -> DataFrame:
+    """``raw`` when its header cells still match: {(row number, column): pattern}; line breaks count as blanks. Else stops, naming the first that does not.
+
+    Positional reads go by column number, so they would silently take the wrong columns of a changed file.
+    """
+    heads = raw.where(F.col(row).isin(sorted({n for n, _ in cells})))
+    text = lambda n, c: F.max(F.when(F.col(row) == n, F.trim(F.regexp_replace(F.col(c).cast("string"), "[\r\n]+", " "))))
+    found = heads.agg(*[F.coalesce(text(n, c).rlike(p), F.lit(False)).alias(f"c{i}") for i, ((n, c), p) in enumerate(cells.items())]).first()
+    for ok, ((n, c), p) in zip(found, cells.items()):
+        if not ok:
+            raise ValueError(f"row {n}, column {c} does not match {p!r}: the layout has changed")
+    return raw
+
+
 def locate_columns(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Columns found by header pattern; stops unless each pattern names exactly one."""
 

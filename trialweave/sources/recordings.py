@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialweave.functions import design as d
+from trialweave.operators.skew import scan_sum
 
 # The marker-line and code formats.
 MARKER_LINE = r"^Mk(\d+)=([^,]*),([^,]*),(-?\d+),(-?\d+),(-?\d+)(?:,(\d*))?"
@@ -98,7 +99,54 @@ def decode_multiplexed(df: DataFrame, key: str, content: str, resolutions: list[
     return df.select(key, content).mapInPandas(run, f"{key} {key_type}, channel int, samples array<double>")
 
 
-def export_inventory(files: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """Per stem which extensions exist and whether the set is complete."""
-    g = files.groupBy("stem").agg(*[F.max((F.col("ext") == e).cast("int")).alias(f"has_{e}") for e in expected], F.count(F.lit(1)).alias("n_files"))
-    return g.withColumn("complete", sum((F.col(f"has_{e}") for e in expected), F.lit(0)) == len(expected))
+def export_inventory(values: DataFrame, headers: DataFrame, markers: DataFrame, wanted: DataFrame, segment: int) -> DataFrame:
+    """One row per stem: which files it has, its number of segments from three sources, and what its segments hold.
+
+    ``values`` (stem, value: 'name v v ...'), ``headers`` (stem, value: a whole header), ``markers`` (stem, line, value),
+    ``wanted`` (stem, cond_code). Segments come from the header's points, from the marker lines and from the values of a
+    line; a marker belongs to the last "New Segment" before it.
+    """
+    h = header_fields(headers).groupBy("stem").agg(F.max(F.col("data_points") / F.col("segment_points")).alias("n_seg_vhdr"), F.lit(1).alias("has_vhdr"))
+    t = values.groupBy("stem").agg((F.max(F.size(F.split(F.trim("value"), r"\s+")) - 1) / segment).alias("n_seg_txt"), F.lit(1).alias("has_txt"))
+    m = marker_fields(markers).join(wanted, "stem")
+    m = scan_sum(m, ["stem"], ["line"], _seg=(F.col("type") == "New Segment").cast("bigint"))
+    code, stimulus = F.col("code"), F.col("type") == "Stimulus"
+    sentence = stimulus & code.between(*d.SENTENCE_CODES)
+    condition = stimulus & code.isin(*d.CONDITION_CODES)
+    each = m.groupBy("stem", "_seg").agg(
+        F.count_if(F.col("type") == "New Segment").alias("new"), F.count_if(sentence).alias("sentences"), F.count_if(condition & (code == F.col("cond_code"))).alias("conds"),
+        F.count_if(condition & (code != F.col("cond_code"))).alias("wrong"), F.count_if(F.col("type") == "Time 0").alias("zeros"))
+    one = lambda c: F.count_if(F.col(c) == 1)
+    segs = each.groupBy("stem").agg(F.sum("new").alias("n_newseg"), F.sum("sentences").alias("sentence_lines"), one("sentences").alias("segs_one_sentence"), one("conds").alias("segs_one_cond"),
+                                    one("zeros").alias("segs_one_time0"), F.sum("wrong").alias("wrong_cond"), F.lit(1).alias("has_vmrk"))
+    codes = m.where(sentence).groupBy("stem").agg(F.countDistinct("code").alias("distinct_codes"))
+    g = t.join(h, "stem", "full").join(segs, "stem", "full").join(codes, "stem", "left")
+    has = [f"has_{e}" for e in ("txt", "vhdr", "vmrk")]
+    g = g.na.fill(0, has).withColumn("complete", sum((F.col(c) for c in has), F.lit(0)) == len(has))
+    agree = F.coalesce((F.col("n_seg_vhdr") == F.col("n_newseg")) & (F.col("n_newseg") == F.col("n_seg_txt")), F.lit(False))
+    counts = ["sentence_lines", "distinct_codes", "segs_one_sentence", "segs_one_cond", "segs_one_time0", "wrong_cond"]
+    return g.select("stem", *has, "complete", "n_seg_vhdr", "n_newseg", "n_seg_txt", agree.alias("counts_agree"), *counts)
+
+
+def deletions(name: Column, edits: int) -> Column:
+    """Every text that ``name`` leaves when up to ``edits`` characters go."""
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    out = level = F.array(name)
+    for _ in range(edits):
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def near_names(names: DataFrame, known: DataFrame, edits: int = 2) -> DataFrame:
+    """(name, near, edits): unknown names within ``edits`` edits of a known one.
+
+    Names that near leave a common text when each loses up to ``edits`` characters, so they meet in an equi-join on what
+    is left; no name is held against every other.
+    """
+    strange = names.select("name").distinct().join(known, "name", "left_anti")
+    left = strange.select("name", F.explode(deletions(F.col("name"), edits)).alias("_key"))
+    right = known.select(F.col("name").alias("near")).distinct()
+    right = right.select("near", F.explode(deletions(F.col("near"), edits)).alias("_key"))
+    pairs = left.join(right, "_key").select("name", "near").distinct().withColumn("edits", F.levenshtein("name", "near"))
+    return pairs.where(F.col("edits") <= edits)

@@ -76,6 +76,11 @@ def overlay_violations(manifest: DataFrame, disk: DataFrame, legacy: DataFrame,
         rule(rp.join(scope, "record", "left_anti"), "out of scope"), rule(want.join(rp, "file", "left_anti"), "record incomplete")])
 
 
+def disk_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(file, sha256) of every file under ``root``, from its bytes."""
+    return read_files(spark, root).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
 def git_blob_id(content: Column) -> Column:
     """Content id of a byte string: SHA-1 over 'blob <length>', a zero byte and the bytes."""
     head = F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8")
