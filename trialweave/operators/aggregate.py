@@ -206,25 +206,40 @@ def hull_vertices(points: np.ndarray) -> np.ndarray:
     return np.array(both) if both else pts[[0, -1]]
 
 
-def planar_spread(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Largest pairwise distance per key: each task keeps only hull vertices, which hold the answer."""
-    key_type = df.schema[key].dataType.simpleString()
+def hull_diameter(hull: np.ndarray) -> float:
+    """Largest distance between hull vertices in order, by rotating calipers."""
+    n = len(hull)
+    if n < 3:
+        return float(np.hypot(*(hull[-1] - hull[0]))) if n else 0.0
+    area = lambda i, j: abs((hull[(i + 1) % n][0] - hull[i][0]) * (hull[j][1] - hull[i][1]) - (hull[(i + 1) % n][1] - hull[i][1]) * (hull[j][0] - hull[i][0]))
+    best, j = 0.0, 1
+    for i in range(n):
+        while area(i, (j + 1) % n) > area(i, j):
+            j = (j + 1) % n
+        for a, b in ((i, j), ((i + 1) % n, j), (i, (j + 1) % n)):  # the third covers parallel edges
+            best = max(best, float(np.hypot(*(hull[a] - hull[b]))))
+    return best
+
+
+def planar_spread(df: DataFrame, key: str, x: str, y: str, fan: int = 64) -> DataFrame:
+    """Largest pairwise distance per key: hulls of batches, merged ``fan`` ways before one task per key takes the rest; no pairs."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {x} double, {y} double"
+
+    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame(hull_vertices(g[[x, y]].to_numpy(float)), columns=[x, y]).assign(**{key: k}) for k, g in pdf.groupby(key, dropna=False)]
+        return pd.concat(parts)[[key, x, y]] if parts else pdf[[key, x, y]]
 
     def reduce_batch(batches):
         for pdf in batches:
-            parts = [pd.DataFrame(hull_vertices(g[[x, y]].to_numpy(float)), columns=[x, y]).assign(**{key: k})
-                     for k, g in pdf.groupby(key)]
-            if parts:
-                yield pd.concat(parts)[[key, x, y]]
+            yield hulls(pdf)
 
     def widest(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = hull_vertices(pdf[[x, y]].to_numpy(float))
-        span = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(-1)).max()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "spread": [float(span)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "spread": [hull_diameter(hull_vertices(pdf[[x, y]].to_numpy(float)))]})
 
-    pts = df.select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).distinct()
-    small = pts.mapInPandas(reduce_batch, f"{key} {key_type}, {x} double, {y} double")
-    return small.groupBy(key).applyInPandas(widest, f"{key} {key_type}, spread double")
+    pts = df.select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).dropna(subset=[x, y])
+    small = pts.mapInPandas(reduce_batch, schema).distinct()
+    some = small.groupBy(key, F.pmod(F.xxhash64(x, y), F.lit(fan))).applyInPandas(hulls, schema)
+    return some.groupBy(key).applyInPandas(widest, f"{key} {df.schema[key].dataType.simpleString()}, spread double")
 
 
 def modal_value(df: DataFrame, key: str, cols: list[str]) -> DataFrame:

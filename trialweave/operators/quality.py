@@ -47,6 +47,20 @@ def presence_checks(m: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [each, *twice])
 
 
+def flow_checks(matrix: DataFrame, flow: DataFrame, stages: list[str]) -> DataFrame:
+    """Stages whose total in a stored flow table (stage, n_total) is not the matrix's, or cannot be held against it.
+
+    A stage whose flag is null on every row was not built here: its stored total is unverifiable, not wrong.
+    """
+    aggs = [F.struct(F.lit(s).alias("stage"), F.count_if(F.col(s)).alias("matrix_total"), F.count(F.col(s)).alias("known")) for s in stages]
+    totals = matrix.agg(F.array(*aggs).alias("t")).select(F.explode("t").alias("t")).select("t.*")
+    j = totals.join(flow, "stage")
+    unknown, ship = F.col("known") == 0, F.col("n_total")
+    rule = F.when(unknown & ship.isNotNull(), "flow:unverifiable").when(~unknown & ~ship.eqNullSafe(F.col("matrix_total")), "flow:mismatch")
+    out = j.select(rule.alias("rule"), F.when(unknown, "warning").otherwise("error").alias("severity"), "stage", F.when(~unknown, F.col("matrix_total")).alias("matrix_total"), F.col("n_total").alias("flow_total"))
+    return out.where("rule IS NOT NULL")
+
+
 def raise_if_any(df: DataFrame, what: str, limit: int = 10) -> DataFrame:
     """Stop with a bounded listing when a violation exists."""
     head = df.limit(limit).collect()

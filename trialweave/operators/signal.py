@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialweave.operators.skew import exact_quantiles
+from trialweave.operators.skew import exact_quantiles, null_safe_join, scan_sum
+from trialweave.runtime import pin
 
 
 def two_pass_cutoff(fc: float, fs: float, order: int, kind: str) -> float:
@@ -95,15 +96,25 @@ def filter_chunks(df: DataFrame, samples: str, keep: tuple[str, str], low: float
 
 
 def with_margins(blocks: DataFrame, recording: list[str], order: str, samples: str, margin: int) -> DataFrame:
-    """Attach up to ``margin`` samples of the neighbouring block on each side (none across recording ends)."""
-    side = lambda shift: blocks.select(*recording, (F.col(order) + shift).alias(order), F.col(samples).alias(f"_n{shift}"))
-    d = blocks.join(side(1), [*recording, order], "left").join(side(-1), [*recording, order], "left")
-    none = F.array().cast("array<double>")
-    short = F.lit(f"a neighbouring block is shorter than the margin of {margin} samples")
-    d = d.withColumn("_n1", F.when(F.size("_n1") < margin, F.raise_error(short)).otherwise(F.col("_n1"))).withColumn("_n-1", F.when(F.size("_n-1") < margin, F.raise_error(short)).otherwise(F.col("_n-1")))
-    before = F.coalesce(F.when(F.size("_n1") > margin, F.slice("_n1", -margin, margin)).otherwise(F.col("_n1")), none)
-    after = F.coalesce(F.slice("_n-1", 1, margin), none)
-    return d.withColumns({"keep_start": F.size(before), "keep_length": F.size(samples), samples: F.concat(before, F.col(samples), after)}).drop("_n1", "_n-1")
+    """Attach up to ``margin`` samples on each side, over as many neighbouring blocks as they take (none across recording ends).
+
+    A block meets the blocks whose samples it needs by a bucketed range join on sample positions; each pair meets once.
+    """
+    d = scan_sum(blocks.select(*recording, order, F.col(samples).alias("_s")), recording, [order], _stop=F.size("_s").cast("bigint"))
+    d = pin(d.withColumn("_start", F.col("_stop") - F.size("_s")))
+    width = max(1, margin)
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width)))
+    lo, hi = F.greatest(F.col("_start") - margin, F.lit(0)), F.col("_stop") + margin
+    want = d.select(*recording, order, "_start", F.size("_s").alias("keep_length"), lo.alias("_lo"), hi.alias("_hi"), span(lo, hi).alias("_bucket"))
+    have = d.where("size(_s) > 0").select(*recording, F.col("_start").alias("_from"), F.col("_stop").alias("_to"), "_s", span(F.col("_start"), F.col("_stop")).alias("_bucket"))
+    j = null_safe_join(want, have, [*recording, "_bucket"], "inner").where("_from < _hi AND _to > _lo")
+    j = j.where(F.col("_bucket") == F.greatest(F.floor(F.col("_lo") / width), F.floor(F.col("_from") / width)))  # the first bucket both are in
+    at = F.greatest("_lo", "_from")
+    piece = F.slice("_s", (at - F.col("_from") + 1).cast("int"), (F.least("_hi", "_to") - at).cast("int"))
+    g = j.groupBy(*recording, order, "_start", "_lo", "keep_length").agg(F.array_sort(F.collect_list(F.struct("_from", piece.alias("p")))).alias("_p"))
+    joined = g.select(*recording, order, F.flatten(F.transform("_p", lambda x: x["p"])).alias(samples), (F.col("_start") - F.col("_lo")).cast("int").alias("keep_start"), "keep_length")
+    rest = [c for c in blocks.columns if c not in (*recording, order, samples)]
+    return joined if not rest else null_safe_join(joined, blocks.select(*recording, order, *rest), [*recording, order])
 
 
 def project(pattern: Column, matrix: list[list[float]], offset: list[float]) -> Column:

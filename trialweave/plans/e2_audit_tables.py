@@ -84,16 +84,32 @@ def e28(spark, sf):
 _RULES = {"actual": (0, 24, -1, 6), "child_short": (0, 24, -1, 5), "child_late": (0, 24, 0, 6), "parent_wide": (-2, 28, -1, 6)}
 
 
-@query("e29_rule_what_if", "WITH " + ASOF_SQL + ", e AS (SELECT (pos - prop_marker_pos) AS lag FROM asof_events WHERE code IN (101, 102, 103) AND prop_marker IS NOT NULL)\n"
-       + " UNION ALL ".join(
-           f"SELECT '{r}' AS rule, CAST(lag // {6 * HOUR}::BIGINT AS BIGINT) AS lag_bin, CAST(count(*) AS BIGINT) AS n, "
-           f"CAST(count(*) FILTER (lag + {c0} * {HOUR}::BIGINT >= {p0} * {HOUR}::BIGINT AND lag + {c0 + cl} * {HOUR}::BIGINT <= {p0 + pl} * {HOUR}::BIGINT) AS BIGINT) AS kept FROM e GROUP BY ALL"
-           for r, (p0, pl, c0, cl) in _RULES.items()))
+# rules of a single window: no parent window is needed, only that neither a bad interval nor a new segment touches the one
+# around the event, or around its word
+_SINGLE = {"single_child": ("pos", -1, 6), "single_word": ("word_pos", -1, 3)}
+_NESTED_SQL = {r: f"prop_marker IS NOT NULL AND lag + {c0} * {HOUR}::BIGINT >= {p0} * {HOUR}::BIGINT AND lag + {c0 + cl} * {HOUR}::BIGINT <= {p0 + pl} * {HOUR}::BIGINT" for r, (p0, pl, c0, cl) in _RULES.items()}
+_SINGLE_SQL = {r: f"{at} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.recording = e.recording AND b.start < e.{at} + {c0 + cl} * {HOUR}::BIGINT AND e.{at} + {c0} * {HOUR}::BIGINT < b.stop)"
+               for r, (at, c0, cl) in _SINGLE.items()}
+
+
+@query("e29_rule_what_if", f"""WITH {ASOF_SQL},
+bad AS (SELECT recording, pos AS start, pos + CASE WHEN code IN (7, 8) THEN {12 * HOUR}::BIGINT ELSE 1 END AS stop FROM markers WHERE code IN (5, 6, 7, 8)),
+e AS (SELECT recording, prop_marker, word_pos, pos, pos - prop_marker_pos AS lag FROM asof_events WHERE code IN (101, 102, 103)),
+f AS (SELECT lag // {6 * HOUR}::BIGINT AS lag_bin, {', '.join(f'{c} AS {r}' for r, c in {**_NESTED_SQL, **_SINGLE_SQL}.items())} FROM e)
+""" + " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(lag_bin AS BIGINT) AS lag_bin, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({r}) AS BIGINT) AS kept FROM f GROUP BY ALL" for r in (*_RULES, *_SINGLE)))
 def e29(spark, sf):
-    e = asof_events(spark, sf).filter("prop_marker is not null").select((F.col("pos") - F.col("prop_marker_pos")).alias("lag"))
-    flags = {r: (F.col("lag") + c0 * HOUR >= p0 * HOUR) & (F.col("lag") + (c0 + cl) * HOUR <= (p0 + pl) * HOUR) for r, (p0, pl, c0, cl) in _RULES.items()}
+    m = markers(spark, sf)
+    e = asof_events(spark, sf).withColumn("lag", F.col("pos") - F.col("prop_marker_pos"))
+    long = F.col("code").isin(7, 8)
+    bad = m.filter(F.col("code").isin(5, 6, 7, 8)).select("recording", F.col("pos").alias("start"), (F.col("pos") + F.when(long, 12 * HOUR).otherwise(1)).alias("stop"))
+    flags = {r: F.coalesce((F.col("lag") + c0 * HOUR >= p0 * HOUR) & (F.col("lag") + (c0 + cl) * HOUR <= (p0 + pl) * HOUR), F.lit(False)) for r, (p0, pl, c0, cl) in _RULES.items()}
+    for rule, (at, c0, cl) in _SINGLE.items():
+        windows = e.withColumns({"start": F.col(at) + c0 * HOUR, "stop": F.col(at) + (c0 + cl) * HOUR})
+        touched = jn.overlap_flag(windows.where(F.col(at).isNotNull()), bad, ["recording"], "seq", rule).select("recording", "seq", rule)
+        e = e.join(touched, ["recording", "seq"], "left")
+        flags[rule] = F.coalesce(~F.col(rule), F.lit(False))
     wide = e.select(F.floor(F.col("lag") / (6 * HOUR)).alias("lag_bin"), *[c.alias(r) for r, c in flags.items()])
-    return wide.unpivot(["lag_bin"], list(_RULES), "rule", "keep").groupBy("rule", "lag_bin").agg(_n().alias("n"), _n(F.col("keep")).alias("kept"))
+    return wide.unpivot(["lag_bin"], list(flags), "rule", "keep").groupBy("rule", "lag_bin").agg(_n().alias("n"), _n(F.col("keep")).alias("kept"))
 
 
 @query("e30_projected_counts", """
@@ -329,13 +345,13 @@ def e49(spark, sf):
 
 
 @query("e50_power_summary", """
-WITH p AS (SELECT label, list_sum([x * x FOR x IN embedding[1:16]::DOUBLE[]]) AS power FROM embeddings)
+WITH p AS (SELECT label, list_sum([x * x FOR x IN embedding::DOUBLE[]]) AS power FROM embeddings)
 SELECT label, round(avg(power), 6) AS mean_power, round(median(power), 6) AS median_power, round(min(power), 6) AS min_power, round(max(power), 6) AS max_power,
- round(avg(CASE WHEN power BETWEEN 0.1 AND 0.4 THEN 1 ELSE 0 END), 6) AS in_range, CAST(count(*) FILTER (power IS NULL) AS BIGINT) AS n_null FROM p GROUP BY label""")
+ round(avg(CASE WHEN power BETWEEN 0.8 AND 1.2 THEN 1 ELSE 0 END), 6) AS in_range, CAST(count(*) FILTER (power IS NULL) AS BIGINT) AS n_null FROM p GROUP BY label""")
 def e50(spark, sf):
-    power = F.aggregate(F.slice("embedding", 1, 16), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    power = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     p = table(spark, sf, "embeddings").select("label", power.alias("power"))
     g = p.groupBy("label").agg(r6(F.avg("power"), "mean_power"), r6(F.min("power"), "min_power"), r6(F.max("power"), "max_power"),
-                               r6(F.avg(F.col("power").between(0.1, 0.4).cast("int")), "in_range"), _n(F.col("power").isNull()).alias("n_null"))
+                               r6(F.avg(F.col("power").between(0.8, 1.2).cast("int")), "in_range"), _n(F.col("power").isNull()).alias("n_null"))
     med = exact_quantiles(p, ["label"], "power", {"m": 0.5})
     return g.join(med, "label").withColumn("median_power", F.round("m", 6)).drop("m")

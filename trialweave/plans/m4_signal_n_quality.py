@@ -108,15 +108,37 @@ SELECT rule, severity, entity FROM (
  UNION ALL SELECT 'id:repeated', 'error', min(entity) FROM mx WHERE entity IS NOT NULL GROUP BY entity HAVING count(*) > 1
  UNION ALL SELECT 'secondary_id:repeated', 'error', min(entity) FROM mx WHERE sid IS NOT NULL GROUP BY sid HAVING count(*) > 1)""")
 def n01(spark, sf):
+    return ql.presence_checks(_matrix(spark, sf))
+
+
+# a stored flow table: accuracy counted over all recorded ids, signal as the matrix has it, a stage that is not built here
+# with a total, and one without
+@query("n01_flow_totals", f"""WITH {_MATRIX_SQL},
+fl AS (SELECT 'usable_accuracy' AS stage, (SELECT count(*) FROM att WHERE acc) AS ship, (SELECT count(*) FROM mx WHERE acc) AS mine UNION ALL SELECT 'usable_signal', (SELECT count(*) FROM mx WHERE erp), (SELECT count(*) FROM mx WHERE erp)
+ UNION ALL SELECT 'attended_6', NULL, (SELECT count(*) FROM mx WHERE a6))
+SELECT 'flow:mismatch' AS rule, 'error' AS severity, stage, CAST(mine AS BIGINT) AS matrix_total, CAST(ship AS BIGINT) AS flow_total FROM fl WHERE ship IS DISTINCT FROM mine
+UNION ALL SELECT 'flow:unverifiable', 'warning', 'followed_up', NULL, CAST(count(*) AS BIGINT) FROM customer""")
+def n01b(spark, sf):
+    m = _matrix(spark, sf).withColumns({"followed_up": F.lit(None).cast("boolean"), "invited": F.lit(None).cast("boolean")})
+    total = lambda df, stage, c=None: df.agg(F.lit(stage).alias("stage"), (F.count(F.lit(1)) if c is None else F.count_if(F.col(c))).alias("n_total"))
+    flow = total(_attended(spark, sf), "usable_accuracy", "usable_accuracy").unionByName(total(m, "usable_signal", "usable_signal")).unionByName(total(table(spark, sf, "customer"), "followed_up"))
+    none = total(m, "attended_6").unionByName(total(m, "invited")).withColumn("n_total", F.lit(None).cast("bigint"))
+    return ql.flow_checks(m, flow.unionByName(none), ["usable_accuracy", "usable_signal", "attended_6", "followed_up", "invited"])
+
+
+def _attended(spark, sf):
     t = trials(spark, sf)
     s, et, low = F.col("session"), F.col("event_type"), F.col("k") < 20
-    at = t.groupBy("entity").agg(*[F.bool_or((s == x) & (et == "signup")).alias(f"attended_{x}") for x in d.SESSIONS],
-                                 F.bool_or((et == "purchase") & low).alias("usable_accuracy"), F.bool_or((et == "error") & low).alias("usable_signal"))
+    return t.groupBy("entity").agg(*[F.bool_or((s == x) & (et == "signup")).alias(f"attended_{x}") for x in d.SESSIONS],
+                                   F.bool_or((et == "purchase") & low).alias("usable_accuracy"), F.bool_or((et == "error") & low).alias("usable_signal"))
+
+
+def _matrix(spark, sf):
     seg = F.col("c_mktsegment")
     c = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("entity"), F.when(seg == "BUILDING", d.GROUP_ODD).when(seg == "MACHINERY", d.GROUP_EVEN).alias("recorded_group"),
         F.bround("c_acctbal", 0).cast("bigint").alias("secondary_id"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("predictor"))
-    return ql.presence_checks(c.join(at, "entity", "left"))
+    return c.join(_attended(spark, sf), "entity", "left")
 
 
 @query("n02_cell_structure", f"""WITH {CLEAN_SQL},
