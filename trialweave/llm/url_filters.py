@@ -1,6 +1,6 @@
-"""URL filters: a Bloom filter cascade over the hosts of the corpus, under a short list of host and path rules.
+"""URL filters: a Bloom filter cascade over the hosts or addresses of the corpus, under a short list of host and path rules.
 
-The key universe is every distinct host of the corpus, so membership can be made exact: level 1 encodes the listed
+The key universe is every distinct host (or host and path) of the corpus, so membership can be made exact: level 1 encodes the listed
 keys, level 2 the unlisted keys that level 1 lets through, level 3 the listed keys that level 2 lets through, and so
 on until a level lets nothing through. A key's answer is the parity of the first level that refuses it.
 Keys are dealt to shards by hash so that one shard's bit arrays stay small (``shard_keys`` keys at ``bits_per_key``);
@@ -121,14 +121,15 @@ def build_cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = 1 <<
     return Cascade(pin(frame.select("shard", *empty)), bits, shards)
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule, verdict, listed: the longest fitting rule decides, else block for listed hosts and allow for others.
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url", addresses: bool = False) -> DataFrame:
+    """id, host, path, rule, verdict, listed: the longest fitting rule decides, else block for listed keys and allow for others.
 
-    ``listed`` has a string column ``key`` of host names.
+    ``listed`` has a string column ``key`` of host names, or of ``addresses``: host and path together.
     """
     urls = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    cascade = build_cascade(urls.select(F.col("host").alias("key")), listed)
-    out = cascade.contains(urls, F.col("host"), "listed").withColumn("_m", rule_match(F.col("host"), F.col("path"), rules))
+    key = F.concat("host", "path") if addresses else F.col("host")
+    cascade = build_cascade(urls.select(key.alias("key")), listed)
+    out = cascade.contains(urls, key, "listed").withColumn("_m", rule_match(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("_m.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", F.col("_m.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
@@ -137,10 +138,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
-def tracked_hosts(pages: DataFrame) -> DataFrame:
-    """The query's block list: hosts of which more than half of the pages carry a tracking parameter."""
-    tracked = F.col("url").contains("utm_source=") | F.col("url").contains("ref=")
-    return pages.groupBy(url_host(F.col("url")).alias("key")).agg(F.count(F.when(tracked, 1)).alias("t"), F.count(F.lit(1)).alias("n")).where("2 * t > n").select("key")
+def tracked_addresses(pages: DataFrame) -> DataFrame:
+    """The query's block list: every address (host and path) that a page has with a tracking parameter."""
+    url = F.col("url")
+    tracked = url.contains("utm_source=") | url.contains("ref=")
+    return pages.where(tracked).select(F.concat(url_host(url), url_path(url)).alias("key")).distinct()
 
 
 @query(
@@ -148,8 +150,8 @@ def tracked_hosts(pages: DataFrame) -> DataFrame:
     rf"""
     WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}') AS host,
                       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    listed AS (SELECT host FROM u GROUP BY host HAVING 2 * count(*) FILTER (WHERE url LIKE '%utm_source=%' OR url LIKE '%ref=%') > count(*)),
-    r AS (SELECT page_id, host, path, host IN (SELECT host FROM listed) AS listed,
+    listed AS (SELECT DISTINCT host || path AS address FROM u WHERE url LIKE '%utm_source=%' OR url LIKE '%ref=%'),
+    r AS (SELECT page_id, host, path, host || path IN (SELECT address FROM listed) AS listed,
                  CASE WHEN '.' || host LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
                       WHEN '.' || host LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
                       WHEN '.' || host LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
@@ -163,4 +165,4 @@ def tracked_hosts(pages: DataFrame) -> DataFrame:
 )
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, tracked_hosts(pages), RULES)
+    return judge_urls(pages, tracked_addresses(pages), RULES, addresses=True)
