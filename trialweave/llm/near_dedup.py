@@ -6,15 +6,16 @@ pair's signatures are compared in batches of 16; after each batch the pair is dr
 (uniform prior) of a similarity of at least ``threshold`` is below ``miss``. Survivors are confirmed on the full sets
 with integers, so every link is exact.
 
-Pairs come from buckets without pairing a group with itself. In each round a bucket offers its members one or more
-pivots, first the one that shares buckets with the most others, later members of small components; a member is compared with a pivot only while the two are
-in different components. Confirmed links merge components, a bucket whose members are all in one component is finished,
-and the rounds end when every bucket is finished or every member has been a pivot. After the first round the shingles
-of the classes left are counted. Pairs that have a shingle of few classes in common are listed by those shingles and
-compared if what they can share allows it. All others can share only shingles of many classes: a member that no set
-size in its bucket could link under that bound is out, the rest goes on. (In a large group of edited copies of one text
-the copies too far from it leave this way: their edits are nearly theirs alone.) No bucket, partner list or candidate
-list is capped. At the threshold itself a pair shares no band with probability (1 - 0.75⁴)³² ≈ 5·10⁻⁶.
+Pairs come from buckets without pairing a group with itself. Every bucket has one pivot, the member that shares buckets
+with the most others, and each member is compared with the pivots of its buckets: posterior pruning, then the full sets.
+The comparison also leaves the member's *difference* to the pivot: which of the pivot's shingles it lacks, and which it
+has besides. Confirmed links merge components. Where the members of a pivot still lie in several components, the pairs
+across components are judged from the differences alone, since both sets follow from them: |x ∩ y| is what of the pivot
+neither lacks, plus the extras they share. Pairs that cannot reach the threshold even if all they can share were shared
+go first (a member's own edits are nearly its alone), then those that the posterior rules out; the rest are exact. Near
+copies differ in a few shingles, so no full set is shipped twice. Large groups are dealt as pairs of blocks. No bucket,
+partner list or candidate list is capped. At the threshold itself a pair shares no band with probability
+(1 - 0.75⁴)³² ≈ 5·10⁻⁶.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; texts with fewer words than a
 shingle have the whole sequence as their one shingle; rows with equal id and text get equal results; when one id has
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import free_name, table
@@ -128,50 +129,89 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(a, b, sig_a, sig_b) → the (a, b) that the posterior does not rule out."""
-    need = least_matches(threshold, miss)
+def unpruned(left: np.ndarray, right: np.ndarray, need: list[int]) -> np.ndarray:
+    """Rows of two signature arrays that the posterior does not rule out, batch by batch."""
+    alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
+    for i, m in enumerate(need):
+        part = slice(i * BATCH, (i + 1) * BATCH)
+        matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
+        alive = alive[matches[alive] >= m]
+    return alive
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
-            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
-            alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-            for i, m in enumerate(need):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= m]
-            yield batch.select([0, 1]).take(pa.array(alive))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+MEMBER = "p binary, cls binary, n bigint, shared bigint, size_p bigint, linked boolean, lacks binary, extra binary, sig binary"
 
 
-def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, set_a, set_b) → the (a, b) with 100 · |a ∩ b| ≥ percent · |a ∪ b|."""
+def _compare(pairs: DataFrame, percent: int, need: list[int]) -> DataFrame:
+    """(p, cls, set_p, set_cls, sig_p, sig_cls) → MEMBER: whether the pair is linked, and the difference of cls to its pivot p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return pairs.mapInArrow(run, "a binary, b binary")
-
-
-def _attach(pairs: DataFrame, values: DataFrame, value: str, side: str, spread: int = 64) -> DataFrame:
-    """Add ``value`` of the class named in ``side``. A class named by many pairs has its row copied once per ``spread`` pairs."""
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sets, sigs = ([part.column(c).to_pylist() for c in names] for names in (("set_p", "set_cls"), ("sig_p", "sig_cls")))
+                near = np.zeros(part.num_rows, bool)
+                near[unpruned(*(np.frombuffer(b"".join(x), np.uint8).reshape(-1, HASHES) for x in sigs), need)] = True
+                n, shared, size, lacks, extra = [], [], [], [], []
+                for x, y in zip(*sets):
+                    p, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    at = np.minimum(np.searchsorted(p, own), len(p) - 1)
+                    has = p[at] == own
+                    gone = np.ones(len(p), bool)
+                    gone[at[has]] = False
+                    n.append(len(own)), shared.append(int(has.sum())), size.append(len(p))
+                    lacks.append(np.flatnonzero(gone).astype(np.int32).tobytes()), extra.append(own[~has].tobytes())
+                n, shared, size = (np.array(x, np.int64) for x in (n, shared, size))
+                linked = near & ((100 + percent) * shared >= percent * (n + size))
+                yield pa.RecordBatch.from_arrays([part.column("p"), part.column("cls"), *(pa.array(x) for x in (n, shared, size, linked)), *(pa.array(x, pa.binary()) for x in (lacks, extra)), part.column("sig_cls")], names=["p", "cls", "n", "shared", "size_p", "linked", "lacks", "extra", "sig"])
+
+    return pairs.select("p", "cls", "set_p", "set_cls", "sig_p", "sig_cls").mapInArrow(run, MEMBER)
+
+
+def across_components(members: pa.Table, percent: int, need: list[int]) -> list[tuple[int, int]]:
+    """Links between members of one pivot that join components, from their differences to it; enough of them to join all that belong together."""
+    n, shared = members.column("n").to_numpy(), members.column("shared").to_numpy()
+    size = int(members.column("size_p")[0].as_py())
+    names, comp = np.unique(np.array(members.column("comp").to_pylist(), object), return_inverse=True)
+    sig = np.frombuffer(b"".join(members.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+    lacks = [np.frombuffer(x, np.int32) for x in members.column("lacks").to_pylist()]
+    extra = [np.frombuffer(x, np.uint64) for x in members.column("extra").to_pylist()]
+    owner = np.repeat(np.arange(len(n)), [len(x) for x in extra])
+    _, which, times = np.unique(np.concatenate(extra), return_inverse=True, return_counts=True)
+    common = np.bincount(owner[times[which] > 1], minlength=len(n))  # extras that another member has too
+    main = np.bincount(comp).argmax()
+    other = np.flatnonzero(comp != main)
+    parent = np.arange(len(names))
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    rest = np.ones(len(n), bool)
+    for i in other:
+        rest[i] = False  # each pair once: the main component with all others, and the others among themselves
+        most = np.minimum(shared, shared[i]) + np.minimum(common, common[i])
+        j = np.flatnonzero(rest & (comp != comp[i]) & ((100 + percent) * most >= percent * (n + n[i])))
+        if len(j):
+            j = j[unpruned(sig[j], np.broadcast_to(sig[i], (len(j), HASHES)), need)]
+        for k in j:
+            if root(comp[i]) == root(comp[k]):
+                continue
+            both = size - len(lacks[i]) - len(lacks[k]) + len(np.intersect1d(lacks[i], lacks[k], assume_unique=True)) + len(np.intersect1d(extra[i], extra[k], assume_unique=True))
+            if (100 + percent) * both >= percent * (n[i] + n[k]):
+                parent[root(comp[i])] = root(comp[k])
+                links.append((int(i), int(k)))
+    return links
+
+
+def _attach(pairs: DataFrame, values: DataFrame, names: list[str], side: str, other: str, spread: int = 64) -> DataFrame:
+    """Add the values of the class named in ``side``. A class named by many pairs has its row copied once per ``spread`` pairs."""
     copies = pin(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_copies")))
-    rows = values.join(copies, values["cls"] == copies[side]).select(F.col(side), F.col(value).alias(f"{value}_{side}"), "_copies")
+    rows = values.join(copies, values["cls"] == copies[side]).select(copies[side], *[F.col(v).alias(f"{v}_{side}") for v in names], "_copies")
     rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    other = "b" if side == "a" else "a"
     dealt = pairs.join(copies, side).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_copies")).cast("int"))
     return dealt.drop("_copies").join(rows.drop("_copies"), [side, "_part"]).drop("_part")
 
@@ -198,99 +238,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def shared_counts(sets: DataFrame, members: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
-    """What classes can share, from how many of them have a shingle. ``members``: cls, n, comp.
-
-    First (cls, h): shingles that more than ``few`` classes have. Second (a, b, r) of different components: how many
-    shingles of 2 to ``few`` classes both have, for pairs with at least one; a shingle gives ``few``² / 2 pairs at most.
-    Two sets share at most the smaller h, plus r.
-    """
-    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("set", (i * 8 + 1).cast("int"), F.lit(8)))
-    each = sets.join(members, "cls").select("cls", F.explode(cells).alias("shingle"))
-    counted = pin(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= few))
-    own = pin(each.join(counted, "shingle"))
-    fewer = own.groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
-    able = members.join(fewer, "cls", "left").select("cls", (F.col("n") - F.coalesce("u", F.lit(0))).alias("h"))
-    groups = own.where("k > 1").join(members.select("cls", "comp"), "cls").groupBy("shingle").agg(F.collect_list(F.struct("cls", "comp")).alias("g"))
-    pairs = groups.select(F.explode("g").alias("x"), "g").select(F.col("x.cls").alias("a"), F.explode(F.filter("g", lambda y: (y["cls"] > F.col("x.cls")) & (y["comp"] != F.col("x.comp")))).alias("y"))
-    return able, pairs.groupBy("a", F.col("y.cls").alias("b")).agg(F.count(F.lit(1)).alias("r"))
-
-
-def _can_reach(n: Column, s: Column, n2: Column, s2: Column, percent: int) -> Column:
-    """Whether sets of n and n2 shingles, s and s2 of them shareable, can have the asked similarity."""
-    both = F.least(s, s2)
-    return 100 * both >= percent * (n + n2 - both)
+def _resolve(members: DataFrame, percent: int, need: list[int], block: int) -> DataFrame:
+    """(a, b): links across components, per pivot; a pivot of more than ``block`` members is dealt as pairs of blocks."""
+    many = pin(members.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")))
+    own = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
+    dealt = members.join(many, "p").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"_low": F.least("_own", "_with"), "_high": F.greatest("_own", "_with")}).drop("_blocks", "_own", "_with")
 
+    def run(group: pa.Table) -> pa.Table:
+        links = across_components(group, percent, need)
+        at = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+        return pa.Table.from_arrays([group.column("cls").take(i) for i in at], names=["a", "b"])
 
-def _hopeful(open_: DataFrame, percent: int) -> DataFrame:
-    """Bucket members that some size found in their bucket could link; the others are proven to have no partner there."""
-    sizes = open_.groupBy("bucket", F.col("n").alias("size")).agg(F.max("s").alias("most"))
-    sizes = pin(sizes.groupBy("bucket").agg(F.collect_list(F.struct("size", "most")).alias("_sizes")))
-    kept = open_.join(sizes, "bucket").where(F.exists("_sizes", lambda z: _can_reach(F.col("n"), F.col("s"), z["size"], z["most"], percent)))
-    return kept.drop("_sizes")
+    return dealt.groupBy("p", "_low", "_high").applyInArrow(run, "a binary, b binary")
 
 
-def link_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, miss: float, few: int = 8) -> DataFrame:
+def link_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, miss: float, block: int = 4096) -> DataFrame:
     """(cls, comp) of every class that has a link. ``classes``: cls, n, bands, sig; ``sets_of``: (cls) → (cls, set)."""
-    percent = round(100 * threshold)
-    at = classes.select("cls", "n", F.explode("bands").alias("bucket"))
+    percent, need = round(100 * threshold), least_matches(threshold, miss)
+    at = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = pin(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
-    open_ = pin(at.join(shared, "bucket").withColumn("comp", F.col("cls")).withColumn("s", F.col("n")))
+    open_ = pin(at.join(shared, "bucket"))
     hubs = pin(open_.groupBy("cls").agg(F.sum("many").alias("met")))  # who shares buckets with the most others leads
-    open_ = open_.drop("many")
-    wanted = hubs.select("cls")
-    sigs = pin(classes.select("cls", "sig").join(wanted, "cls"))
-    sets = pin(sets_of(wanted))
-    links, tested = None, None
-
-    def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Confirm the links among ``pairs`` not yet compared; ``rows`` with their components after that."""
-        nonlocal links, tested
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pin(pairs)
-        tested = pairs if tested is None else pin(tested.unionByName(pairs))
-        alive = pin(_prune(_attach(_attach(pairs, sigs, "sig", "a"), sigs, "sig", "b").select("a", "b", "sig_a", "sig_b"), threshold, miss))
-        found = pin(_confirm(_attach(_attach(alive, sets, "set", "a"), sets, "set", "b").select("a", "b", "set_a", "set_b"), percent))
-        if found.isEmpty():
-            return rows
-        links = found if links is None else pin(links.unionByName(found))
-        comp = pin(components(links))
-        return rows.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets whose members lie in several components."""
-        keys = pin(rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
-        return pin(rows.join(keys, "bucket"))
-
-    pivots = 1
-    while not (open_ := mixed(open_)).isEmpty():
-        if pivots == 1:
-            first = open_.join(hubs, "cls").withColumn("_o", -F.col("met"))
-        else:  # members of small components lead: once they have met the others, only one component is left
-            held = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_o")))
-            first = open_.join(held, ["bucket", "comp"])
-        ranked = first.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("_o", "cls"))).where(F.col("_k") <= pivots)
-        lead = pin(ranked.select("bucket", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")))
-        hope = (F.col("comp") != F.col("comp_a")) & _can_reach(F.col("n"), F.col("s"), F.col("n_a"), F.col("s_a"), percent)
-        pairs = open_.join(lead, (open_["bucket"] == lead["bucket"]) & hope).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        open_ = compare(pairs, open_)
-        # a pivot has met every member of its bucket
-        open_ = pin(open_.join(lead.select("bucket", F.col("a").alias("cls")), ["bucket", "cls"], "left_anti").select("bucket", "cls", "comp", "n", "s"))
-        if pivots == 1 and not (open_ := mixed(open_)).isEmpty():
-            members = pin(open_.select("cls", "n", "comp").distinct())
-            able, rare = shared_counts(sets, members, few)
-            able = pin(able)
-            side = lambda c: able.join(members, "cls").select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("h").alias(f"h_{c}"))
-            both = F.least("h_a", "h_b") + F.col("r")
-            close = rare.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-            open_ = compare(close.select("a", "b"), open_)
-            # what is left shares only shingles that many have
-            open_ = _hopeful(open_.drop("s").join(able.withColumnRenamed("h", "s"), "cls"), percent)
-        pivots *= 4
-    if links is None:
-        return classes.select("cls", F.col("cls").alias("comp")).limit(0)
-    comp = components(links)
+    lead = pin(open_.join(hubs, "cls").groupBy("bucket").agg(F.max(F.struct("met", "cls")).alias("_l")).select("bucket", F.col("_l.cls").alias("p")))
+    pairs = pin(open_.select("bucket", "cls").join(lead, "bucket").where("p <> cls").select("p", "cls").distinct())
+    values = pin(sets_of(hubs.select("cls")).join(classes.select("cls", "sig"), "cls"))
+    sided = _attach(_attach(pairs, values, ["set", "sig"], "p", "cls"), values, ["set", "sig"], "cls", "p")
+    members = pin(_compare(sided, percent, need))
+    links = members.where("linked").select(F.col("p").alias("a"), F.col("cls").alias("b"))
+    comp = pin(components(links))
+    # every member with its component, the pivots too; only pivots whose members lie in several components go on
+    pivots = members.select("p", "size_p").distinct().join(classes.select(F.col("cls").alias("p"), "sig"), "p")
+    pivots = pivots.select("p", F.col("p").alias("cls"), F.col("size_p").alias("n"), F.col("size_p").alias("shared"), "size_p", F.lit(True).alias("linked"), F.unhex(F.lit("")).alias("lacks"), F.unhex(F.lit("")).alias("extra"), "sig")
+    every = pin(members.unionByName(pivots).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    mixed = pin(every.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("p"))
+    more = pin(_resolve(every.join(mixed, "p"), percent, need, block))
+    if not more.isEmpty():  # links between components: only these are merged anew
+        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = pin(components(pin(ends)))
+        moved = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left")
+        comp = pin(moved.select("node", F.coalesce("_to", "comp").alias("comp")).unionByName(joined))
     return comp.select(F.col("node").alias("cls"), "comp").unionByName(comp.select(F.col("comp").alias("cls"), "comp").distinct())
 
 
