@@ -14,8 +14,9 @@ frequent passage brings a row or two per batch to its shard, not one per documen
 Texts are dealt once, by document, and read twice from there.
 
 Defined results: null text has no words; words are maximal runs without ASCII white space, unchanged; null ids are larger
-than all others and neither smaller nor larger than each other; repeated ids do not repeat each other; a text of which
-nothing is left is empty; an empty table stays empty; extra columns are kept as they are.
+than all others and neither smaller nor larger than each other; ids lie below 2⁶²; repeated ids do not repeat each other
+(whether a window of theirs is removed depends on the id and the window alone, so rows of one id share their finds); a
+text of which nothing is left is empty; an empty table stays empty; extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import free_name, shuffle_width, table
-from trialweave.runtime import pin
 
 KEY_BITS = 40
-FLUSH_WORDS = 1 << 20
+FLUSH_WORDS = 1 << 19
 FLUSH_DOCS = 8_000
 SHARD_ROWS = 2_000_000
 MAX_SHARDS = 1 << 23
-LAST = (1 << 63) - 1
+NULLS = 1 << 62  # ids from here on stand for null ids: equal in order, apart by text
+NEVER = (1 << 63) - 1
 _RNG = np.random.default_rng(20240911)
 FACTORS = _RNG.integers(1, 1 << 63, (3, 64), dtype=np.uint64) | np.uint64(1)
 
@@ -76,8 +77,8 @@ def batch_hashes(texts: Iterator[bytes | None], known: WordHashes) -> tuple[np.n
     return sizes, np.fromiter((known[w] for p in parts for w in p), np.uint64, int(sizes.sum()))
 
 
-def flushes(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, words per text, word hashes) of about FLUSH_WORDS words."""
+def flushes(batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(other columns, words per text, word hashes) of about FLUSH_WORDS words; texts are not held."""
     known, held, sizes, hashes = WordHashes(), [], [], []
 
     def joined() -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -88,8 +89,8 @@ def flushes(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
-            n, h = batch_hashes((t.as_py() for t in part.column(text)), known)
-            held.append(part), sizes.append(n), hashes.append(h)
+            n, h = batch_hashes((t.as_py() for t in part.column("text")), known)
+            held.append(part.select(others)), sizes.append(n), hashes.append(h)
             if sum(map(len, hashes)) >= FLUSH_WORDS or sum(map(len, sizes)) >= FLUSH_DOCS - 1000:
                 yield joined()
     if held:
@@ -111,139 +112,138 @@ def _group_edges(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-PACK = "shard int, ids binary, marks binary, high binary, low binary, refs binary"
+PACK = "shard int, ids binary, high binary, low binary, refs binary"
 
 
-def _packed(shard: np.ndarray, high: np.ndarray, low: np.ndarray, text: np.ndarray, flags: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Entries in order of shard as one row per shard; ids and text hashes stand once per text. ``refs`` holds text number and three flags."""
+def _packed(shard: np.ndarray, high: np.ndarray, low: np.ndarray, text: np.ndarray, flags: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries in order of shard as one row per shard; an id stands once per text. ``refs`` holds text number and three flags."""
     edges = np.append(_group_edges(shard), len(shard)) if len(shard) else []
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
         own, ref = np.unique(text[a:b], return_inverse=True)
-        out.append((int(shard[a]), ids[own].tobytes(), marks[own].tobytes(), high[a:b].tobytes(), low[a:b].tobytes(), (ref << 3 | flags[a:b]).astype(np.uint16).tobytes()))
+        out.append((int(shard[a]), ids[own].tobytes(), high[a:b].tobytes(), low[a:b].tobytes(), (ref << 3 | flags[a:b]).astype(np.uint16).tobytes()))
     for start in range(0, len(out), 64):
         columns = list(zip(*out[start : start + 64]))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "ids", "marks", "high", "low", "refs"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "ids", "high", "low", "refs"])
 
 
 def _unpacked(group: pa.Table, high: type, low: type) -> tuple[np.ndarray, ...]:
-    """(ids, marks, high, low, flags) of all entries of a shard."""
+    """(ids, high, low, flags) of all entries of a shard."""
     parts = []
-    for i, m, h, l, refs in zip(*(group.column(c).to_pylist() for c in ("ids", "marks", "high", "low", "refs"))):
+    for i, h, l, refs in zip(*(group.column(c).to_pylist() for c in ("ids", "high", "low", "refs"))):
         ref = np.frombuffer(refs, np.uint16)
-        parts.append((np.frombuffer(i, np.int64)[ref >> 3], np.frombuffer(m, np.int32)[ref >> 3], np.frombuffer(h, high), np.frombuffer(l, low), ref & 7))
+        parts.append((np.frombuffer(i, np.int64)[ref >> 3], np.frombuffer(h, high), np.frombuffer(l, low), ref & 7))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-FOUND = "dest int, ids binary, marks binary, keys binary"
+FOUND = "dest int, ids binary, keys binary"
 
 
-def _home(ids: np.ndarray, marks: np.ndarray, shards: int) -> np.ndarray:
+def _home(ids: np.ndarray, shards: int) -> np.ndarray:
     """The task that a text's hits go to."""
-    h = (ids.view(np.uint64) + marks.astype(np.uint32)) * FACTORS[2, -1]
-    return ((h >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
+    return ((ids.view(np.uint64) * FACTORS[2, -1] >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
 
 
-def _sent_home(ids: np.ndarray, marks: np.ndarray, keys: np.ndarray, shards: int) -> pa.Table:
+def _sent_home(ids: np.ndarray, keys: np.ndarray, shards: int) -> pa.Table:
     """A shard's hits as one row per home."""
-    home = _home(ids, marks, shards)
-    order = np.argsort(home, kind="stable")
-    home, ids, marks, keys = home[order], ids[order], marks[order], keys[order]
+    home = _home(ids, shards)
+    order = np.lexsort((ids, home))
+    home, ids, keys = home[order], ids[order], keys[order]
     edges = np.append(_group_edges(home), len(home)) if len(home) else np.zeros(1, np.int64)
-    parts = list(zip(edges[:-1], edges[1:]))
-    binary = lambda x: pa.array([x[a:b].tobytes() for a, b in parts], pa.binary())
-    return pa.Table.from_arrays([pa.array(home[edges[:-1]].astype(np.int32)), binary(ids), binary(marks), binary(keys)], names=["dest", "ids", "marks", "keys"])
+    binary = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+    return pa.Table.from_arrays([pa.array(home[edges[:-1]].astype(np.int32)), binary(ids), binary(keys)], names=["dest", "ids", "keys"])
 
 
 def _per_text(found: DataFrame) -> DataFrame:
-    """(id, mark, keys): one row per text with the list of its keys."""
+    """(id, keys): one row per id with the list of its keys."""
 
     def merge(group: pa.Table) -> pa.Table:
-        ids, marks, keys = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("marks", np.int32), ("keys", np.int64)))
-        order = np.lexsort((keys, marks, ids))
-        ids, marks, keys = ids[order], marks[order], keys[order]
-        once = _group_edges(ids, marks, keys) if len(ids) else np.zeros(0, np.int64)
-        ids, marks, keys = ids[once], marks[once], keys[once]
-        edges = _group_edges(ids, marks) if len(ids) else np.zeros(0, np.int64)
+        ids, keys = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("ids", "keys"))
+        order = np.lexsort((keys, ids))
+        ids, keys = ids[order], keys[order]
+        once = _group_edges(ids, keys) if len(ids) else np.zeros(0, np.int64)
+        ids, keys = ids[once], keys[once]
+        edges = _group_edges(ids) if len(ids) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(ids)).astype(np.int32)), pa.array(keys))
-        return pa.Table.from_arrays([pa.array(ids[edges]), pa.array(marks[edges]), lists], names=["id", "mark", "keys"])
+        return pa.Table.from_arrays([pa.array(ids[edges]), lists], names=["id", "keys"])
 
-    return found.groupBy("dest").applyInArrow(merge, "id bigint, mark int, keys array<bigint>")
+    return found.groupBy("dest").applyInArrow(merge, "id bigint, keys array<bigint>")
 
 
 ALIGNED, CROWDED, SETTLED = 1, 2, 4
 
 
 def probe_packs(rows: DataFrame, block: int, shards: int) -> DataFrame:
-    """Anchors and probes of (id, mark, text) rows. Flags: the text's own block; others of the batch hold the key; a hit already."""
+    """Anchors and probes of (id, text) rows. Flags: the text's own block; others of the batch hold the key; a hit already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, sizes, hashes in flushes(batches, 2):
-            ids, marks = held.column(0).to_numpy(), held.column(1).to_numpy().astype(np.int32)
+        for held, sizes, hashes in flushes(batches, ["id"]):
+            ids = held.column("id").to_numpy()
+            rank = np.minimum(ids, NULLS)
             at, text, place = _within(sizes, block)
             if not len(at):
                 continue
             keys = anchor_keys(hashes, block, shards)[at]
-            order = np.lexsort((ids[text], keys))
+            order = np.lexsort((text, rank[text], keys))
             keys, text, aligned = keys[order], text[order], (place % block == 0)[order]
-            edges = _group_edges(keys, ids[text], text)
+            edges = _group_edges(keys, text)
             aligned = np.maximum.reduceat(aligned, edges)
             keys, text = keys[edges], text[edges]
             edges = _group_edges(keys)
             group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(keys))))
-            own = ids[text]
+            own = rank[text]
             least = own[edges][group]
-            block_least = np.minimum.reduceat(np.where(aligned, own, LAST), edges)[group]
+            block_least = np.minimum.reduceat(np.where(aligned, own, NEVER), edges)[group]
             settled = own > least
             crowded = np.maximum.reduceat(settled, edges)[group]
             travel = ~settled | (aligned & (own == block_least))
             flags = aligned * ALIGNED + (crowded & ~settled) * CROWDED
             flags[settled & travel] = ALIGNED
             shard = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
-            yield from _packed(shard[travel], (keys[travel] >> np.uint64(32)).astype(np.uint32), keys[travel].astype(np.uint32), text[travel], flags[travel], ids, marks)
+            yield from _packed(shard[travel], (keys[travel] >> np.uint64(32)).astype(np.uint32), keys[travel].astype(np.uint32), text[travel], flags[travel], ids)
             if settled.any():
-                near = _home(ids, marks, shards)[text[settled]]  # settled hits only pass through: dealt by document
+                near = _home(ids, shards)[text[settled]]  # settled hits only pass through: dealt by document
                 order = np.argsort(near, kind="stable")
                 k, t = keys[settled][order], text[settled][order]
-                yield from _packed(near[order], (k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), t, np.full(len(k), SETTLED), ids, marks)
+                yield from _packed(near[order], (k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), t, np.full(len(k), SETTLED), ids)
 
     return rows.mapInArrow(run, PACK)
 
 
 def probe_hits(packs: DataFrame, shards: int) -> DataFrame:
-    """(id, mark, keys): per text the keys at which it meets a block of a smaller id, and its own blocks so met."""
+    """(id, keys): per text the keys at which it meets a block of a smaller id, and its own blocks so met."""
 
     def judge(group: pa.Table) -> pa.Table:
-        ids, marks, high, low, flags = _unpacked(group, np.uint32, np.uint32)
+        ids, high, low, flags = _unpacked(group, np.uint32, np.uint32)
         keys = high.astype(np.uint64) << np.uint64(32) | low
         settled = flags == SETTLED
-        known = ids[settled], marks[settled], keys[settled]
-        ids, marks, keys, flags = (x[~settled] for x in (ids, marks, keys, flags))
+        known = ids[settled], keys[settled]
+        ids, keys, flags = (x[~settled] for x in (ids, keys, flags))
         if len(ids):
-            order = np.lexsort((ids, keys))
-            ids, marks, keys, flags = ids[order], marks[order], keys[order], flags[order]
+            order = np.argsort(keys, kind="stable")
+            ids, keys, flags = ids[order], keys[order], flags[order]
             edges = _group_edges(keys)
             group_of = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(keys))))
-            aligned = (flags & ALIGNED) > 0
-            least = np.minimum.reduceat(np.where(aligned, ids, LAST), edges)[group_of]
-            hit = ids > least
+            aligned, rank = (flags & ALIGNED) > 0, np.minimum(ids, NULLS)
+            hit = rank > np.minimum.reduceat(np.where(aligned, rank, NEVER), edges)[group_of]
             met = np.maximum.reduceat(hit | ((flags & CROWDED) > 0), edges)[group_of]
             keep = hit | (aligned & met)
-            known = tuple(np.concatenate([a, b[keep]]) for a, b in zip(known, (ids, marks, keys)))
+            known = tuple(np.concatenate([a, b[keep]]) for a, b in zip(known, (ids, keys)))
         return _sent_home(*known, shards)
 
     return _per_text(packs.groupBy("shard").applyInArrow(judge, FOUND))
 
 
 def window_packs(texts: DataFrame, window: int, block: int, shards: int) -> DataFrame:
-    """Keys of the windows around the hits of (id, mark, text, keys) rows; of a batch's equal windows the smallest id travels, the others are settled."""
+    """Keys of the windows around the hits of (id, text, keys) rows; of a batch's equal windows the smallest id travels, the others are settled."""
     reach = window - block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, sizes, hashes in flushes(batches, 2):
-            ids, marks = held.column(0).to_numpy(), held.column(1).to_numpy().astype(np.int32)
+        for held, sizes, hashes in flushes(batches, ["id", "keys"]):
+            ids = held.column("id").to_numpy()
+            rank = np.minimum(ids, NULLS)
             at, text, _ = _within(sizes, block)
-            lists = held.column(3).combine_chunks()
+            lists = held.column("keys").combine_chunks()
             if not len(at):
                 continue
             salt = lambda t: t.astype(np.uint64) * FACTORS[0, -1]  # noqa: E731  a key of another text is no hit
@@ -258,7 +258,7 @@ def window_packs(texts: DataFrame, window: int, block: int, shards: int) -> Data
             w1, w2 = (rolling(hashes, window, f)[at] for f in (1, 2))
             low = w2.astype(np.uint16)
             shard = ((w1 >> np.uint64(KEY_BITS)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((ids[text], low, w1, shard))
+            order = np.lexsort((text, rank[text], low, w1, shard))
             shard, w1, low, text = (x[order] for x in (shard, w1, low, text))
             edges = _group_edges(w1, low, text) if len(w1) else np.zeros(0, np.int64)
             shard, w1, low, text = (x[edges] for x in (shard, w1, low, text))
@@ -266,30 +266,31 @@ def window_packs(texts: DataFrame, window: int, block: int, shards: int) -> Data
                 continue
             edges = _group_edges(w1, low)
             group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(w1))))
-            settled = ids[text] > ids[text][edges][group]
+            settled = rank[text] > rank[text][edges][group]
             go = ~settled
-            yield from _packed(shard[go], w1[go], low[go], text[go], np.zeros(go.sum(), np.int64), ids, marks)
-            to = _home(ids, marks, shards)[text[settled]]
+            yield from _packed(shard[go], w1[go], low[go], text[go], np.zeros(go.sum(), np.int64), ids)
+            to = _home(ids, shards)[text[settled]]
             order = np.argsort(to, kind="stable")
-            yield from _packed(to[order], w1[settled][order], low[settled][order], text[settled][order], np.full(len(to), SETTLED), ids, marks)
+            yield from _packed(to[order], w1[settled][order], np.zeros(len(to), np.uint16), text[settled][order], np.full(len(to), SETTLED), ids)
 
     return texts.mapInArrow(run, PACK)
 
 
 def settled_windows(packs: DataFrame, shards: int) -> DataFrame:
-    """(id, mark, keys): the windows of each text that stand in a smaller id."""
+    """(id, keys): the windows of each text that stand in a smaller id."""
 
     def judge(group: pa.Table) -> pa.Table:
-        ids, marks, w1, low, flags = _unpacked(group, np.uint64, np.uint16)
+        ids, w1, low, flags = _unpacked(group, np.uint64, np.uint16)
         settled = flags == SETTLED
-        known = ids[settled], marks[settled], w1[settled]
-        ids, marks, w1, low = (x[~settled] for x in (ids, marks, w1, low))
+        known = ids[settled], w1[settled]
+        ids, w1, low = (x[~settled] for x in (ids, w1, low))
         if len(ids):
-            order = np.lexsort((ids, low, w1))
-            ids, marks, w1, low = ids[order], marks[order], w1[order], low[order]
+            rank = np.minimum(ids, NULLS)
+            order = np.lexsort((rank, low, w1))
+            ids, rank, w1, low = ids[order], rank[order], w1[order], low[order]
             edges = _group_edges(w1, low)
-            later = ids > ids[edges][np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(w1))))]
-            known = tuple(np.concatenate([a, b[later]]) for a, b in zip(known, (ids, marks, w1)))
+            later = rank > rank[edges][np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(w1))))]
+            known = tuple(np.concatenate([a, b[later]]) for a, b in zip(known, (ids, w1)))
         return _sent_home(*known, shards)
 
     return _per_text(packs.groupBy("shard").applyInArrow(judge, FOUND))
@@ -313,20 +314,20 @@ def keep_words(words: list[bytes], hashes: np.ndarray, window: int, keys: np.nda
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """``docs`` with two more columns, last, ``_n_words`` and ``_n_removed``. Texts that lose words become the rest, joined by single spaces."""
     block = (window + 1) // 2
-    own, mark, total, gone, kid, kmark, kept = (free_name(docs, n) for n in ("_own", "_mark", "_n_words", "_n_removed", "_kid", "_kmark", "_keys"))
-    named = docs.withColumns({own: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)), mark: F.hash(text_col)})
-    rows = named.select(F.col(own).alias("id"), F.col(mark).alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    own, total, gone, kid, kept = (free_name(docs, n) for n in ("_own", "_n_words", "_n_removed", "_kid", "_keys"))
+    nulls = F.lit(NULLS) + F.pmod(F.xxhash64(text_col), F.lit(NULLS))
+    named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("bigint"), nulls))
+    rows = named.select(F.col(own).alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     shards = min(max(shuffle_width(docs), -(-size // (6 * SHARD_ROWS))), MAX_SHARDS)  # words are counted as six bytes
-    hits = pin(probe_hits(probe_packs(rows, block, shards), shards))
+    hits = probe_hits(probe_packs(rows, block, shards), shards)
     at, n_columns = docs.columns.index(text_col), len(docs.columns)
 
     def with_keys(found: DataFrame, how: str) -> DataFrame:
         """Texts with the keys found in them. Both joins take all columns, so that they read the same shuffled rows."""
-        lists = found.toDF(kid, kmark, kept)
-        return named.join(lists.hint("merge"), (F.col(own) == F.col(kid)) & (F.col(mark) == F.col(kmark)), how)
+        return named.join(found.toDF(kid, kept).hint("merge"), F.col(own) == F.col(kid), how)
 
-    near = with_keys(hits, "inner").select(F.col(own).alias("id"), F.col(mark).alias("mark"), F.col(text_col).cast("binary").alias("text"), F.col(kept).alias("keys"), F.struct(*docs.columns).alias("row"))
+    near = with_keys(hits, "inner").select(F.col(own).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(kept).alias("keys"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
     found = settled_windows(window_packs(near, window, block, shards), shards)
     schema = docs.select("*", F.lit(0).cast("bigint").alias(total), F.lit(0).cast("bigint").alias(gone)).schema
 
