@@ -13,14 +13,14 @@ it the candidates come from scaled sums with their rounding bound added, and are
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count
 as filled with zeros; equal scores go to the smaller id; rows with the query's id are no candidates; with fewer
-candidates than k all are returned; empty tables give none. Ranks go by exact scores of up to 38 digits (larger ones
-count as equal); a score outside 64 bits is shown as the nearest 64-bit number.
+candidates than k all are returned; empty tables give none. Ranks go by exact scores of any size; a score outside 64 bits
+is shown as the nearest 64-bit number.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialweave.llm import query
 from trialweave.llm.common import table
@@ -29,7 +29,22 @@ from trialweave.llm.vector_shards import search_shards, usable
 LEVELS = 32
 WAVES = (0.8, 1.0)  # parts of all that segments can add
 EXACT = 1 << 53
-MOST = 10**38 - 1
+COMPLEMENT = str.maketrans("0123456789", "9876543210")
+
+
+def sortable(score: int) -> str:
+    """Text that sorts as the whole number does: sign, number of digits, digits (complemented below zero)."""
+    digits = str(abs(score))
+    return f"1{len(digits):04d}{digits}" if score >= 0 else f"0{9999 - len(digits):04d}{digits.translate(COMPLEMENT)}"
+
+
+def shown(key: Column) -> Column:
+    """The number of a sortable text, cut to 64 bits."""
+    up = F.substring(key, 1, 1) == "1"
+    digits = F.when(up, F.substring(key, 6, 700)).otherwise(F.translate(F.substring(key, 6, 700), "0123456789", "9876543210"))
+    size = F.when(F.length(digits) <= 37, digits.try_cast("decimal(38,0)")).otherwise(F.lit(str(2**64)).cast("decimal(38,0)"))
+    signed = F.when(up, size).otherwise(-size)
+    return F.greatest(F.least(signed, F.lit(2**63 - 1).cast("decimal(38,0)")), F.lit(-(2**63)).cast("decimal(38,0)")).cast("bigint")
 
 
 def whole(x: float, scale: float) -> int:
@@ -103,7 +118,7 @@ def _best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tupl
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, scale: float):
-    """(query number, id, score) of each query's k best rows of the shard; scores as whole numbers."""
+    """(query number, id, score) of each query's k best rows of the shard; scores as sortable texts."""
     with np.errstate(over="ignore"):
         top = [float(np.abs(np.floor(scale * x)).max(initial=0.0)) for x in (vectors, queries)]
     own = np.argsort(ids, kind="stable")
@@ -135,7 +150,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
                 rows = rows[high >= np.partition(low, len(low) - want)[len(low) - want]]
             best, score = _best(ids, rows, np.array([sum(a * b for a, b in zip(exact[r], q)) for r in rows], object), k)
             number.append(np.full(len(best), i)), found.append(best), scores.append(score)
-    return np.concatenate(number), np.concatenate(found), [max(-MOST, min(MOST, int(s))) for part in scores for s in part]
+    return np.concatenate(number), np.concatenate(found), [sortable(int(s)) for part in scores for s in part]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
@@ -145,9 +160,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
     def run(ids, vectors, query_ids, asked):
         return search(ids, vectors, query_ids, asked, k, scale)
 
-    found = search_shards(pick(rows), pick(queries).where("id IS NOT NULL"), run, k, "decimal(38,0)", shard_rows, query_rows)
-    shown = F.greatest(F.least("score", F.lit(2**63 - 1).cast("decimal(38,0)")), F.lit(-(2**63)).cast("decimal(38,0)")).cast("bigint")
-    return found.withColumn("score", shown)
+    found = search_shards(pick(rows), pick(queries).where("id IS NOT NULL"), run, k, "string", shard_rows, query_rows)
+    return found.withColumn("score", shown(F.col("score")))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 from math import ceil
 
 import numpy as np
@@ -43,7 +42,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, k: int,
 
     ``search(ids, vectors, query ids, query vectors)`` gets one shard of about ``shard_rows`` rows and one block of
     about ``query_rows`` queries as numpy arrays and returns (query number, id, score) arrays with at most ``k`` rows
-    per query. Rows are dealt by a hash of the id, so copies of one vector spread evenly. Rows equal in id and vector
+    per query; ``score`` is the scores' type, double or string (texts that sort as the scores do). Rows are dealt by a hash of the id, so copies of one vector spread evenly. Rows equal in id and vector
     count once; an id with several vectors is a query for each of them. Null ids come last among equal scores.
     """
     rows = pin(rows.select("id", "vector").distinct())
@@ -52,7 +51,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, k: int,
     deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     left = rows.withColumn("shard", deal(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", deal(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("q", F.xxhash64("vector"))
-    kind = pa.float64() if score == "double" else pa.decimal128(38, 0)
+    kind = pa.float64() if score == "double" else pa.string()
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         width = max(longest(own["vector"]), longest(asked["vector"]))
@@ -65,7 +64,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, search: Callable, k: int,
             number, ids, scores = search(numbers, matrix(own["vector"], width), asked["id"].to_numpy().astype(np.int64), matrix(asked["vector"], width))
         found = pa.array(ids, pa.int64(), mask=np.asarray(ids) == np.iinfo(np.int64).max)
         at = pa.array(number, pa.int64())
-        return pa.table({"query_id": asked["id"].cast(pa.int64()).take(at), "q": asked["q"].take(at), "vec_id": found, "score": pa.array(scores if score == "double" else [Decimal(s) for s in scores], kind)})
+        return pa.table({"query_id": asked["id"].cast(pa.int64()).take(at), "q": asked["q"].take(at), "vec_id": found, "score": pa.array(scores, kind)})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"query_id bigint, q bigint, vec_id bigint, score {score}")
     best = W.partitionBy("query_id", "q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
