@@ -221,10 +221,11 @@ WEIGHT = {3: 1.0, 2: 0.9, 1: 0.6, 0: 0.3}
 def signature_rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, regex) in order; several hundred."""
     cells = lambda text: [[c.strip() for c in line.split(" | ")] for line in text.strip().splitlines()]
+    same = {"MIT": "mit", "Apache-2.0": "apache-2", "CC-BY-NC": "cc-by-nc"}  # one label for a licence that the base names too
     rules = [(label, 3, phrase.split()[-1], phrase) for label, phrase in BASE]
     for label, keyword, name in cells(NAMES):
-        rules += [(label, int(priority), keyword, form.format(name)) for priority, form in cells(FORMS)]
-    return rules + [(label, int(priority), keyword, rx) for label, priority, keyword, rx in cells(SINGLE)]
+        rules += [(same.get(label, label), int(priority), keyword, form.format(name)) for priority, form in cells(FORMS)]
+    return rules + [(same.get(label, label), int(priority), keyword, rx) for label, priority, keyword, rx in cells(SINGLE)]
 
 
 def normalise(text: Column) -> Column:
@@ -251,12 +252,38 @@ def detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Colu
     return F.flatten(F.transform(F.filter(listed, lambda g: F.contains(norm, g["keyword"])), lambda g: F.flatten(F.transform(g["rules"], lambda r: _places(norm, r)))))
 
 
-def unsuppressed(found: Column, top: int = 3) -> Column:
-    """Places not contained in one of higher priority nor in a longer one of their own; ``top`` priority always stays."""
-    within = lambda a, b: (b["low"] <= a["low"]) & (a["high"] <= b["high"])
-    longer = lambda a, b: (b["high"] - b["low"]) > (a["high"] - a["low"])
-    beaten = lambda a: F.exists(found, lambda b: within(a, b) & ((b["priority"] > a["priority"]) | ((b["priority"] == a["priority"]) & longer(a, b))))
-    return F.filter(found, lambda a: (a["priority"] == top) | ~beaten(a))
+def unsuppressed(found: Column, top: int = 3, piece: int = 128) -> Column:
+    """Places not contained in one of higher priority nor in a longer one of their own; ``top`` priority always stays.
+
+    Places are taken in order of (low, -high, -priority), so whatever contains a place comes before it. They are swept in
+    pieces: a place is held against those before it in its piece, and against the widest reach per priority of all pieces
+    before. Work grows with places × ``piece``, not with places².
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  a value used in a lambda is worked out once
+    ordered = F.array_sort(F.transform(found, lambda a: F.struct(a["low"].alias("low"), (-a["high"]).alias("left"), (-a["priority"]).alias("below"), a["label"].alias("label"))))
+    # per piece and priority: the furthest end, and with it the least start; as negatives, so that the least is the widest
+    reach = lambda own, p: F.array_min(F.transform(F.filter(own, lambda a: a["below"] == -p), lambda a: F.struct(a["left"].alias("left"), a["low"].alias("low"))))
+    wider = lambda a, b: (b["left"] < a["left"]) | ((b["left"] == a["left"]) & (b["low"] < a["low"]))
+
+    def beaten(a: Column, i: Column, own: Column, far: Column) -> Column:
+        near = F.exists(F.slice(own, 1, i), lambda b: (b["left"] <= a["left"]) & ((b["below"] < a["below"]) | ((b["below"] == a["below"]) & wider(a, b))))
+        for p in range(top + 1):
+            b = far[p]
+            near = near | F.coalesce((b["left"] <= a["left"]) & ((F.lit(-p) < a["below"]) | ((F.lit(-p) == a["below"]) & wider(a, b))), F.lit(False))
+        return near
+
+    def sweep(pieces: Column) -> Column:
+        def kept(reaches: Column) -> Column:
+            far = lambda k: F.array(*[F.array_min(F.transform(F.slice(reaches, 1, k), lambda r: r[p])) for p in range(top + 1)])
+            one = lambda own, k: let(far(k), lambda f: F.filter(own, lambda a, i: (a["below"] == -top) | ~beaten(a, i, own, f)))
+            return F.flatten(F.transform(pieces, one))
+
+        return let(F.transform(pieces, lambda own: F.array(*[reach(own, p) for p in range(top + 1)])), kept)
+
+    cut = lambda rows: F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / piece).cast("int")), lambda k: F.slice(rows, k * piece + 1, F.lit(piece)))
+    stay = let(ordered, lambda rows: let(cut(rows), sweep))
+    back = F.transform(stay, lambda a: F.struct(a["label"].alias("label"), (-a["below"]).alias("priority"), a["low"].alias("low"), (-a["left"]).alias("high")))
+    return F.when(F.size(found) > 1, back).otherwise(found)
 
 
 def default_gate(low: Column) -> Column:
