@@ -2,9 +2,9 @@
 
 Each task streams its documents in scan order. A document's tokens fill whole windows first; the rest (shorter than
 a window) goes to the fill level that minimises the sum over levels of (number of partially filled windows)², kept in a
-level array, ties to the fullest level. When the stream ends, or the number of open windows reaches ``max_open``, the
-emptiest open windows are cut up to fill the fullest; what remains of the last one is cut at powers of two, so no
-sequence needs padding. Nothing is shuffled: a rerun of a lost task reads the same split and gives the same sequences.
+level array, ties to the fullest level. When the stream ends, the emptiest open windows are cut up to fill the fullest;
+what remains of the last one is cut at powers of two, so no sequence needs padding. Open windows hold at most the ids of
+the task's own split. Nothing is shuffled: a rerun of a lost task reads the same split and gives the same sequences.
 
 Defined results: null text is an empty document (its end token only); rows with equal ids are packed separately;
 an empty table gives no piece; other columns are ignored.
@@ -13,6 +13,7 @@ an empty table gives no piece; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from trialweave.llm.common import table
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = re.compile(r"\s{2000}")
 _ENCODERS: dict[str, object] = {}
 
 
@@ -61,7 +63,8 @@ def encoder(path: str):
     fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        return slow(text) if any(s in text for s in special) else fast.encode_ordinary(text)
+        # the fast encoder's pattern matcher overflows its stack on very long runs of white space
+        return slow(text) if any(s in text for s in special) or LONG_SPACE.search(text) else fast.encode_ordinary(text)
 
     _ENCODERS[path] = ids
     return ids
@@ -73,8 +76,8 @@ class LevelPacker:
     A piece is (document, first token, ids, tokens of the document).
     """
 
-    def __init__(self, size: int, max_open: int):
-        self.size, self.max_open, self.n_open = size, max_open, 0
+    def __init__(self, size: int):
+        self.size = size
         self.stacks: list[list[list]] = [[] for _ in range(size + 1)]
         self.gain_to = np.ones(size + 1, np.int64)  # (n + 1)² - n² at the level reached; a full window counts nothing
         self.gain_to[size] = 0
@@ -97,22 +100,21 @@ class LevelPacker:
             window = self.stacks[level].pop()
             self._count(level)
         else:
-            window, self.n_open = [], self.n_open + 1
+            window = []
         window.append(piece)
         if level + n == self.size:
-            self.n_open -= 1
             return [window]
         self.stacks[level + n].append(window)
         self._count(level + n)
-        return self.close(keep_last=True) if self.n_open > self.max_open else []
+        return []
 
-    def close(self, keep_last: bool = False) -> list[list]:
-        """Pour the emptiest open windows into the fullest; the last one is cut at powers of two or kept open."""
+    def close(self) -> list[list]:
+        """Pour the emptiest open windows into the fullest; the last one is cut at powers of two."""
         left = [(level, w) for level in range(self.size - 1, 0, -1) for w in self.stacks[level]]
         for level in range(1, self.size):
             self.stacks[level] = []
             self._count(level)
-        self.n_open, done, donor = 0, [], []
+        done, donor = [], []
         fullest, emptiest, spare = 0, len(left) - 1, 0
         while fullest <= emptiest or spare:
             if fullest <= emptiest:
@@ -134,10 +136,6 @@ class LevelPacker:
                 level, spare = level + take, spare - take
             if level == self.size:
                 done.append(window)
-            elif keep_last:
-                self.stacks[level].append(window)
-                self._count(level)
-                self.n_open = 1
             else:
                 done += self._powers(level, window)
         return done
@@ -159,18 +157,15 @@ class LevelPacker:
         return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, tokenizer: str | None = None, end_id: int = 0, max_open: int = 8192, with_ids: bool = True) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (``with_ids``) the ids.
-
-    ``max_open`` bounds a task's memory (windows of ``size`` ids), not the work.
-    """
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (``with_ids``) the ids."""
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType
     schema = f"`{id_col}` {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, first = encoder(path), LevelPacker(size, max_open), TaskContext.get().partitionId() << 36
+        encode, packer, first = encoder(path), LevelPacker(size), TaskContext.get().partitionId() << 36
         made, out, id_type = 0, [], None
 
         def emit(windows: list[list]) -> None:
