@@ -113,9 +113,11 @@ class Graph:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         heads, first, count = np.unique(target, return_index=True, return_counts=True)
-        for i in range(0, len(heads), 256):
-            part, width = heads[i : i + 256], int(count[i : i + 256].max())
-            width = min(width, 3 * self.degree)  # a hub sees its first reverse edges; every point keeps its own edges
+        width = 3 * self.degree
+        # a hub takes its reverse edges in by turns of ``width``, each turn pruned with what the last one kept
+        turns = [(heads[some], first[some] + w, count[some] - w) for w in range(0, int(count.max()) if len(count) else 0, width) for some in [np.flatnonzero(count > w)]]
+        for heads, first, count, i in ((h, f, c, i) for h, f, c in turns for i in range(0, len(h), 256)):
+            part = heads[i : i + 256]
             at = first[i : i + 256][:, None] + np.arange(width)
             mine = np.where(np.arange(width) < count[i : i + 256][:, None], source[np.minimum(at, len(source) - 1)], -1)
             near = np.concatenate([self.out[part], mine], axis=1)
@@ -153,10 +155,12 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     if len(distinct) <= 4 * beam:
         near = np.broadcast_to(np.arange(len(distinct)), (len(queries), len(distinct)))
     else:
-        size = (distinct * distinct).sum(axis=1)
-        x = np.concatenate([distinct, np.sqrt(np.maximum(size.max() - size, 0))[:, None]], axis=1).astype(np.float32)
+        # rows and queries are scaled to components of at most 1: the order by inner product stays, and float32 holds the squares
+        x = distinct / np.abs(distinct).max()
+        size = (x * x).sum(axis=1)
+        x = np.concatenate([x, np.sqrt(np.maximum(size.max() - size, 0))[:, None]], axis=1).astype(np.float32)
         graph = Graph(x)
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        q = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
         near = np.concatenate([graph.walk(q[i : i + 256], beam)[0] for i in range(0, len(q), 256)])
     number, found, scores = [], [], []
     for i, qid in enumerate(query_ids):
