@@ -86,74 +86,36 @@ def test_pruning_bound_keeps_likely_links():
 # line dedup -----------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, window=2, min_words=20):
-    """Texts after deletion, by plain loops over all documents in order."""
-    docs = sorted({(doc is None, doc or 0, t) for doc, t in rows})
-    docs = [(None if no else d, t) for no, d, t in docs]
-    lines = [[s.strip() for s in (t or "").split("\n") if s.strip()] for _, t in docs]
-    picks = [line_dedup.fingerprints([line_dedup._hash(s) for s in own], [len(s.split()) for s in own], window, min_words) for own in lines]
-    first, out = {}, {}
-    for d, own in enumerate(lines):
-        gone = set()
-        for p in picks[d]:
-            e, q = first.setdefault(own[p], (d, p))
-            if (e, q) == (d, p):
-                continue
-            lo, hi = 0, 0
-            while p - lo - 1 >= 0 and q - lo - 1 >= 0 and own[p - lo - 1] == lines[e][q - lo - 1]:
-                lo += 1
-            while p + hi + 1 < len(own) and q + hi + 1 < len(lines[e]) and own[p + hi + 1] == lines[e][q + hi + 1]:
-                hi += 1
-            gone |= set(range(p - lo, p + hi + 1))
-        runs, k = set(), 0
-        while k < len(own):
-            end = k
-            while end in gone and end < len(own):
-                end += 1
-            if end > k and sum(len(s.split()) for s in own[k:end]) >= min_words:
-                runs |= set(range(k, end))
-            k = end + 1
-        out[docs[d]] = [s for i, s in enumerate(own) if i not in runs]
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = np.random.default_rng(5)
-    pool = [" ".join(words(rng, int(rng.integers(1, 30)))) for _ in range(40)]
-    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 12))))) for i in range(80)]
-    # distinct text hashes decide the order only within one id, and ids here differ
-    out = line_dedup.delete_repeats(frame(spark, rows)).collect()
-    expected = brute_lines(rows)
-    assert len(out) == len(rows)
-    for r in out:
-        before = dict(rows)[r.doc_id]
-        assert [s.strip() for s in r.text.split("\n") if s.strip()] == expected[r.doc_id, before], r.doc_id
-        assert r["_n_lines"] - r["_n_deleted"] == len(expected[r.doc_id, before])
-
-
-def test_line_dedup_finds_every_earlier_run(spark):
-    """All lines of a contiguous run of 20 words or more that stood earlier go, whatever the lines' first occurrences."""
-    rng = np.random.default_rng(5)
-    pool = [" ".join(words(rng, int(rng.integers(1, 30)))) for _ in range(40)]
-    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 12))))) for i in range(80)]
-    short = [" ".join(f"{name}{k}" for k in range(12)) for name in "abcd"]
-    rows += [(100, f"{short[0]}\n{short[2]}"), (101, f"{short[1]}\n{short[3]}"), (102, f"{short[0]}\n{short[1]}"), (103, f"{short[0]}\n{short[1]}")]
-    out = {r.doc_id: r for r in line_dedup.delete_repeats(frame(spark, rows), every_window=True).collect()}
-    plain = {r.doc_id: r for r in line_dedup.delete_repeats(frame(spark, rows)).collect()}
-    seen = set()
-    for doc, text in rows:
-        own, gone = text.split("\n"), set()
+def brute_lines(rows, min_words=20):
+    """Per row: what is left when every run of lines of ``min_words`` words or more that stood earlier goes, by loops over all runs."""
+    seen, out = set(), []
+    for _, text in rows:
+        own, gone = [s.strip() for s in (text or "").split("\n") if s.strip()], set()
         for low in range(len(own)):
             for high in range(low, len(own)):
                 run = tuple(own[low : high + 1])
-                if sum(len(s.split()) for s in run) >= 20 and run in seen:
+                if sum(len(s.split()) for s in run) >= min_words and run in seen:
                     gone |= set(range(low, high + 1))
                 seen.add(run)
-        left = out[doc].text.split("\n") if out[doc]["_n_deleted"] < len(own) else []
-        at = iter(s for i, s in enumerate(own) if i not in gone)
-        assert all(s in at for s in left), doc  # what is left is a part of what the loops leave, in order
-        assert out[doc]["_n_deleted"] >= max(len(gone), plain[doc]["_n_deleted"])
-    assert out[103]["_n_deleted"] == 2
+        out.append([s for i, s in enumerate(own) if i not in gone])
+    return out
+
+
+@pytest.mark.parametrize("seed, longest", [(5, 30), (6, 12), (7, 3)])
+def test_line_dedup_equals_brute_force(spark, seed, longest):
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(words(rng, int(rng.integers(1, longest)))) for _ in range(12)]
+    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), int(rng.integers(1, 25))))) for i in range(60)]
+    short = {name: " ".join(f"{name}{k}" for k in range(12)) for name in "ABCXY"}
+    # A and B stood before, but never next to each other, and neither has 20 words: nothing of "A B C" is repeated
+    rows += [(100 + i, "\n".join(short[n] for n in text)) for i, text in enumerate(["AX", "YB", "ABC", "XAB", "BCA", "AXYB"])]
+    out = {r.doc_id: r for r in line_dedup.delete_repeats(frame(spark, rows)).collect()}
+    assert len(out) == len(rows)
+    for (doc, _), expected in zip(rows, brute_lines(rows)):
+        left = [s.strip() for s in out[doc].text.split("\n") if s.strip()]
+        assert left == expected, doc
+        assert out[doc]["_n_lines"] - out[doc]["_n_deleted"] == len(expected)
+    assert out[102]["_n_deleted"] == 0 and out[103]["_n_deleted"] == 2 and out[104]["_n_deleted"] == 2
 
 
 def test_line_dedup_odd_rows(spark):
@@ -250,6 +212,52 @@ def test_license_keywords_miss_nothing(spark):
     assert "MS-PL" in labels["ms pl"] and "MS-RL" in labels["ms rl"] and "PSF-2.0" in labels["psf"] and "0BSD" in labels["zero clause bsd"] and "Libpng" in labels["png reference library"]
 
 
+def places(rng, n):
+    out = []
+    for _ in range(n):
+        low = int(rng.integers(0, 40))
+        out.append((f"l{int(rng.integers(0, 4))}", int(rng.integers(0, 4)), low, low + int(rng.integers(0, 6))))
+    return out
+
+
+@pytest.mark.parametrize("piece", [3, 128])
+def test_suppression_equals_all_pairs(spark, piece):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(piece)
+    rows = [(i, places(rng, int(rng.integers(0, 30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, found array<struct<label:string,priority:int,low:int,high:int>>")
+    got = {r.id: sorted(map(tuple, r.kept)) for r in df.select("id", license_scan.unsuppressed(F.col("found"), piece=piece).alias("kept")).collect()}
+    for i, found in rows:
+        beaten = lambda a: any(b[2] <= a[2] and a[3] <= b[3] and (b[1] > a[1] or (b[1] == a[1] and b[3] - b[2] > a[3] - a[2])) for b in found)
+        assert got[i] == sorted(a for a in found if a[1] == 3 or not beaten(a))
+
+
+def test_license_columns_equal_loops(spark):
+    """n_words, n_base, first and last word, base labels and score of random texts, by plain loops."""
+    rng = np.random.default_rng(2)
+    pool = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "x", "Under the mit license", "cc-by--nc", "apache License, version 2", "é", "licensed"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 14)))) for _ in range(120)] + ["", None]
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    from pyspark.sql import functions as F
+
+    out = license_scan.scan(frame(spark, list(enumerate(texts)))).withColumn("base", F.filter("found", lambda p: p["priority"] == 3)).collect()
+    for r in out:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        want = sorted((i, name) for name, p in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert r.n_words == len(w) and sorted((p.low, p.label) for p in r.base) == want
+
+
+def test_dense_license_text_is_swept_in_time(spark):
+    import time
+
+    text = "released under the MIT license or the Apache License, Version 2.0; " * 6000
+    began = time.time()
+    kept = license_scan.scan(frame(spark, [(1, text)])).selectExpr("size(kept) AS n").first().n
+    assert kept >= 12_000 and time.time() - began < 60
+
+
 # packing --------------------------------------------------------------------------------------------------------------
 
 
@@ -283,9 +291,29 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    texts = {1: "x" + "\n" * 1_100_000 + "y", 2: " " * 2_000_000, 3: "a \t\n b" * 10}
+    out = packing.pack(frame(spark, list(texts.items()))).collect()
+    for doc, text in texts.items():
+        ids = [i for r in sorted((r for r in out if r.doc_id == doc), key=lambda r: r.start) for i in r.ids]
+        assert ids == [*own.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_many_open_windows_keep_the_rule():
+    """No bound on open windows changes the choice of level: texts that never fit together stay apart until the end."""
+    packer = packing.LevelPacker(1024)
+    assert not any(packer.place((i, 0, np.zeros(600, "<u4"), 600)) for i in range(9000))
+    assert len(packer.stacks[600]) == 9000
+    done = packer.close()
+    assert sum(len(p[2]) for w in done for p in w) == 600 * 9000
+
+
 def test_level_choice_minimises_squares():
     rng = np.random.default_rng(1)
-    packer, counts = packing.LevelPacker(32, 10_000), np.zeros(33, int)
+    packer, counts = packing.LevelPacker(32), np.zeros(33, int)
     for i, n in enumerate(rng.integers(1, 33, 400)):
         before = [len(s) for s in packer.stacks]
         best = min(sum(x * x for x in after[1:32]) for level in range(33 - n) if level == 0 or before[level] for after in [[c - (k == level and level > 0) + (k == level + n) for k, c in enumerate(before)]])
@@ -295,8 +323,8 @@ def test_level_choice_minimises_squares():
             assert sum(x * x for x in counts[1:32]) == best
 
 
-def test_open_window_bound_loses_nothing():
-    packer, out = packing.LevelPacker(64, 5), []
+def test_open_windows_lose_nothing():
+    packer, out = packing.LevelPacker(64), []
     for i in range(300):
         out += packer.place((i, 0, np.full(40, i, "<u4"), 40))
     out += packer.close()
@@ -307,6 +335,26 @@ def test_open_window_bound_loses_nothing():
 # toxicity -------------------------------------------------------------------------------------------------------------
 
 
+def test_one_class_gives_its_share(spark):
+    docs = frame(spark, [(i, f"some words number {i}") for i in range(40)] + [(99, "")])
+    for toxic, low, high in ((1, 0.99, 1.0), (0, 0.0, 0.01)):
+        labels = spark.createDataFrame([(i, 1, toxic) for i in range(40)], "doc_id long, quality int, toxic int")
+        scores = [r.p for r in toxicity.score(docs, toxicity.fit(docs, labels), name="p").where("doc_id < 50").collect()]
+        assert all(low <= p <= high for p in scores)
+
+
+def test_long_texts_are_learnt_from(spark):
+    """Labelled texts that are all longer than the training text bound still teach."""
+    rng = np.random.default_rng(3)
+    text = lambda bad: " ".join("vile filth" if bad and k % 9 == 0 else w for k, w in enumerate(words(rng, 2600)))
+    rows = [(i, text(i % 2)) for i in range(60)]
+    assert min(len(t) for _, t in rows) > 12_000
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    out = {r.doc_id: r.p for r in toxicity.score(docs, toxicity.fit(docs, labels), name="p").collect()}
+    assert np.mean([(out[i] >= 0.5) == (i % 2 == 1) for i in out]) > 0.9
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)
