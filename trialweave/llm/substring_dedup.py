@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = (window + 1) // 2
     own, total, gone, kid, kept = (free_name(docs, n) for n in ("_own", "_n_words", "_n_removed", "_kid", "_keys"))
     nulls = F.lit(NULLS) + F.pmod(F.xxhash64(text_col), F.lit(NULLS))
-    named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("bigint"), nulls))
+    named = docs.withColumn(own, F.coalesce(F.col(id_col).cast("bigint"), nulls, F.lit(NULLS)))  # never null, so both joins see the same rows
     rows = named.select(F.col(own).alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     shards = min(max(shuffle_width(docs), -(-size // (6 * SHARD_ROWS))), MAX_SHARDS)  # words are counted as six bytes
